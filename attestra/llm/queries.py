@@ -2,12 +2,16 @@
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .pii import op9_pii
+from .quality_model import op5_quality_model
 from .secrets import op3_secrets
 from .token_counts import op8_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_model": op5_quality_model,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
 }
