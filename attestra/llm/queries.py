@@ -1,8 +1,10 @@
 """The registered queries of this package and, where SQL can say it, the same in SQL."""
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .mixing import op10_mixing
 from .pii import op9_pii
 from .quality_model import op5_quality_model
+from .quality_rules import op6_quality_rules
 from .secrets import op3_secrets
 from .token_counts import op8_token_counts
 from .toxicity import op4_toxicity
@@ -12,7 +14,9 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL}

@@ -19,7 +19,7 @@ from .common import columns_of, cut_lineage, map_batches, table
 from .quality_model import held_out, training_labels
 
 #: Bounds: labelled rows for mining, mined patterns, and rows of either posterior label for the classifier.
-LABELLED, PATTERNS, FITTED = 20_000, 400, 8_000
+LABELLED, PATTERNS, FITTED = 20_000, 400, 5_000
 THRESHOLD = 0.5
 #: A small lexicon of insults.
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "disgusting", "worthless", "clown")
@@ -155,7 +155,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.1
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(s.encode()) % DIMENSIONS for s in (f"={word}", *stems(word)))
+    """None for short words, which say little and are most of a text."""
+    return tuple(zlib.crc32(s.encode()) % DIMENSIONS for s in (f"={word}", *stems(word))) if len(word) > 3 else ()
 
 
 class Weights(dict):
@@ -171,18 +172,21 @@ class Weights(dict):
         return v
 
 
-def fit_linear(rows: list[np.ndarray], votes: np.ndarray, y: np.ndarray, weight: np.ndarray, *, rounds: int = 60, l2: float = 3e-3, word_rate: float = 0.01) -> np.ndarray:
-    """Logistic regression on hashed word features, voters and a constant (the last weights), by Adam on all rows."""
+def fit_linear(rows: list[np.ndarray], votes: np.ndarray, y: np.ndarray, weight: np.ndarray, *, rounds: int = 60, l2: float = 3e-3, word_rate: float = 0.01, at_once: int = 500) -> np.ndarray:
+    """Logistic regression on hashed word features, voters and a constant (the last weights), by Adam on all rows; memory follows at_once."""
     size = DIMENSIONS + VOTERS + 1
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    lengths = np.array([len(r) for r in rows])
-    flat, row = np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), lengths)
+    parts = [slice(i, i + at_once) for i in range(0, len(rows), at_once)]
     weight = weight / weight.sum()
     rate = np.r_[np.full(DIMENSIONS, word_rate), np.full(VOTERS + 1, 0.1)]
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[flat], len(rows)) + votes @ w[DIMENSIONS:-1] + w[-1]
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.concatenate([np.bincount(flat, r[row], DIMENSIONS), votes.T @ r, [r.sum()]])
+        g = np.zeros(size)
+        for part in parts:
+            lengths = np.array([len(r) for r in rows[part]])
+            flat, row = np.concatenate(rows[part]), np.repeat(np.arange(len(lengths)), lengths)
+            z = np.bincount(row, w[flat], len(lengths)) + votes[part] @ w[DIMENSIONS:-1] + w[-1]
+            r = weight[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part])
+            g += np.concatenate([np.bincount(flat, r[row], DIMENSIONS), votes[part].T @ r, [r.sum()]])
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
