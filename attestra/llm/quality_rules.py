@@ -7,6 +7,8 @@ against a fixed threshold; nothing is drawn at random.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,41 +39,44 @@ def without(text: Column, chars: str) -> Column:
     return text
 
 
-def dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACES))) > 0)
-    return F.size(lines) - F.size(F.array_distinct(lines))
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACES))) > 0)
 
 
-def _hashes(df: DataFrame) -> DataFrame:
-    """id, text, w, n and h: a hash of every word."""
-    out = df.select("id", "text", words(F.coalesce("text", F.lit(""))).alias("w"))
-    return out.select("id", "text", "w", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+def _from(array: str, first: int) -> Column:
+    return F.slice(array, F.lit(first), F.greatest(F.size(array) - (first - 1), F.lit(0)))
 
 
-def _grams(h: str) -> Column:
-    """Hashes of the words and of the pairs of neighbours."""
-    return F.concat(F.col(h), F.zip_with(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+def _but_last(array: str, short: int) -> Column:
+    return F.slice(array, F.lit(1), F.greatest(F.size(array) - short, F.lit(0)))
+
+
+def _hashes(df: DataFrame) -> DataFrame:
+    """id, text, lines (those with a word), n (words), h (a hash of each word) and p (one of each pair of neighbours)."""
+    t = F.coalesce("text", F.lit(""))
+    out = df.select("id", t.alias("text"), words(t).alias("w"), _lines(t).alias("lines"))
+    out = out.select("id", "text", "lines", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return out.withColumn("p", F.zip_with(_but_last("h", 1), _from("h", 2), lambda a, b: F.xxhash64(a, b)))
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside a 3-word window that occurs twice or more.
 
-    A window's hash, shifted left, and its position share one long integer, so that equal windows
-    are neighbours once sorted. At least 43 bits of hash remain for a million words, 54 for a thousand.
+    Only where windows repeat at all, a window's hash, shifted left, and its position share one long
+    integer, so that equal windows are neighbours once sorted. At least 43 bits of hash remain for a
+    million words, 54 for a thousand.
     """
-    bits = F.length(F.bin(F.col("n")))
-    out = df.withColumn("bits", F.coalesce(bits, F.lit(1)).cast("int"))
-    window = lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))
-    marked = F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: _shift(window(i), F.col("bits")).bitwiseOR(i.cast("long")))
-    out = out.withColumn("m", F.when(F.col("n") >= 3, F.sort_array(marked)).otherwise(F.array().cast("array<bigint>")))
-    k = F.size("m")
-    same = F.zip_with(F.slice("m", F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice("m", F.lit(2), F.greatest(k - 1, F.lit(0))), lambda a, b: _unshift(a, F.col("bits")) == _unshift(b, F.col("bits")))
-    out = out.withColumn("same", same)
+    none = F.array().cast("array<bigint>")
+    out = df.withColumn("t", F.zip_with(_but_last("p", 1), _from("h", 3), lambda a, b: F.xxhash64(a, b)))
+    out = out.withColumn("bits", F.when(F.size(F.array_distinct("t")) < F.size("t"), F.length(F.bin(F.col("n")))).otherwise(F.lit(0)))
+    marked = F.sort_array(F.transform("t", lambda x, i: _shift(x, F.col("bits")).bitwiseOR(i.cast("long"))))
+    out = out.withColumn("m", F.when(F.col("bits") > 0, marked).otherwise(none))
+    out = out.withColumn("same", F.zip_with(_but_last("m", 1), _from("m", 2), lambda a, b: _unshift(a, F.col("bits")) == _unshift(b, F.col("bits"))))
     at = F.filter("m", lambda x, i: F.coalesce(F.get("same", i), F.lit(False)) | F.coalesce(F.get("same", i - 1), F.lit(False)))
-    out = out.withColumn("at", F.when(F.array_contains("same", True), F.sort_array(F.transform(at, lambda x: x.bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))))).otherwise(F.array().cast("array<bigint>")))
-    k = F.size("at")
-    gaps = F.zip_with(F.slice("at", F.lit(1), F.greatest(k - 1, F.lit(0))), F.slice("at", F.lit(2), F.greatest(k - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
-    return out.withColumn("n_repeat_words", F.when(k > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long")))
+    at = F.sort_array(F.transform(at, lambda x: x.bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))))
+    out = out.withColumn("at", F.when(F.array_contains("same", True), at).otherwise(none))
+    gaps = F.zip_with(_but_last("at", 1), _from("at", 2), lambda a, b: F.least(b - a, F.lit(3)))
+    return out.withColumn("n_repeat_words", F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long")))
 
 
 def _shift(x: Column, bits: Column) -> Column:
@@ -83,41 +88,38 @@ def _unshift(x: Column, bits: Column) -> Column:
 
 
 def _counts(df: DataFrame) -> DataFrame:
-    """Adds the counts of the base rules; df has id, text, w, n and h."""
-    t = F.coalesce("text", F.lit(""))
+    """Adds the counts of the base rules to what _hashes gives."""
     return (
         _repeat_words(df)
-        .withColumn("word_chars", F.length(without(t, _SPACES)).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(without(t, _SYMBOLS))).cast("long"))
-        .withColumn("n_dup_lines", dup_lines(t).cast("long"))
+        .withColumn("word_chars", F.length(without(F.col("text"), _SPACES)).cast("long"))
+        .withColumn("n_symbols", (F.length("text") - F.length(without(F.col("text"), _SYMBOLS))).cast("long"))
+        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     )
 
 
-def trusted_by_rule(text: Column, w: Column, n: Column) -> Column:
+def trusted_by_rule() -> Column:
     """A stricter rule than the base ones, which no label enters: long enough, few symbols and shouts, many different words, no repeated line."""
-    t = F.coalesce(text, F.lit(""))
-    symbols = F.length(t) - F.length(without(t, _SYMBOLS))
-    shouts = F.length(t) - F.length(without(t, "!"))
-    return (n >= 50) & (100 * symbols <= n) & (20 * shouts <= n) & (100 * F.size(F.array_distinct(w)) >= 35 * n) & (dup_lines(t) == 0)
+    n, length = F.col("n"), F.length("text")
+    symbols, shouts = length - F.length(without(F.col("text"), _SYMBOLS)), length - F.length(without(F.col("text"), "!"))
+    return (n >= 50) & (100 * symbols <= n) & (20 * shouts <= n) & (100 * F.size(F.array_distinct("h")) >= 35 * n) & (F.size("lines") == F.size(F.array_distinct("lines")))
 
 
 def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: int = BUCKETS) -> list[int]:
     """For each bucket, the log of its share among trusted documents over its share among all, in thousandths.
 
-    docs has id and text; trusted is a condition on text (and on w, its words, and n, their number).
-    All documents are counted, each n-gram first within its task. Only `buckets` numbers reach the driver.
+    docs has id and text; trusted is a condition on text, lines and n (the number of words). All
+    documents are counted, each n-gram first within its task. Only counts of `buckets` buckets reach the driver.
     """
-    h = _hashes(docs).withColumn("trusted", F.coalesce(trusted_by_rule(F.col("text"), F.col("w"), F.col("n")) if trusted is None else trusted, F.lit(False)))
-    grams = h.select("trusted", F.explode(_grams("h")).alias("x"))
-    counted = grams.groupBy(F.pmod("x", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target"))
-    share = lambda c: (F.col(c) + SMOOTHING) / (F.lit(SMOOTHING * buckets) + F.col(f"all_{c}"))
-    total = counted.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    sums = total.first()
-    told = counted.withColumn("all_raw", F.lit(sums["all_raw"])).withColumn("all_target", F.lit(sums["all_target"]))
-    out = [0] * buckets
-    for r in told.select("b", F.round(UNIT * F.log(share("target") / share("raw"))).cast("int").alias("v")).collect():
-        out[r["b"]] = r["v"]
-    return out
+    of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).alias("trusted"), F.concat("h", "p").alias("g"))
+    bucket = F.pmod("x", F.lit(buckets)).cast("int") + F.when(F.col("trusted"), F.lit(buckets)).otherwise(F.lit(0))
+    counted = of.select("trusted", F.explode("g").alias("x")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    target, raw = [0] * buckets, [0] * buckets
+    for r in counted.collect():
+        raw[r["b"] % buckets] += r["n"]
+        if r["b"] >= buckets:
+            target[r["b"] - buckets] = r["n"]
+    shift = math.log((SMOOTHING * buckets + sum(raw)) / (SMOOTHING * buckets + sum(target)))
+    return [round(UNIT * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + shift)) for t, r in zip(target, raw)]
 
 
 def quality_rules(docs: DataFrame, ratios: list[int] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -133,7 +135,7 @@ def quality_rules(docs: DataFrame, ratios: list[int] | None = None, *, id_col: s
     ratios = bucket_ratios(rows) if ratios is None else ratios
     size = len(ratios)
     held = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # folded once, by the optimizer
-    out = _counts(_hashes(rows)).withColumn("g", _grams("h"))
+    out = _counts(_hashes(rows)).withColumn("g", F.concat("h", "p"))
     total = F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + F.get(held, F.pmod(x, F.lit(size)).cast("int")))
     out = out.withColumn("score", F.when(F.col("n") > 0, total / (UNIT * F.size("g"))).otherwise(F.lit(0.0)))
     failed = (F.col("n") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n"))

@@ -2,6 +2,7 @@
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .mixing import op10_mixing
+from .near_duplicates import OP7_SQL, op7_near_duplicates
 from .pii import op9_pii
 from .quality_model import op5_quality_model
 from .quality_rules import op6_quality_rules
@@ -15,8 +16,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
     "op6_quality_rules": op6_quality_rules,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_near_duplicates": OP7_SQL}
