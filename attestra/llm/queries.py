@@ -1,6 +1,7 @@
 """The registered queries of this package and, where SQL can say it, the same in SQL."""
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html_extract import op2_html_extract
 from .mixing import op10_mixing
 from .near_duplicates import OP7_SQL, op7_near_duplicates
 from .pii import op9_pii
@@ -12,6 +13,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_extract": op2_html_extract,
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
