@@ -19,16 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and reads it from there.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests on one
-    machine) a temporary folder is taken. A lost executor loses nothing that was written.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, `spark.checkpoint.dir`; a temporary one only where that is unset (tests on one machine)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there: a lost executor loses nothing that was written."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -52,5 +53,11 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, kind)
 
 
-def sha(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+def beside(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (a struct of all other columns) and text: an operator takes row for the id and carries it along, without a join."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"), docs[text_col].alias("text"))
+
+
+def restored(df: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The columns that beside packed, in their order; df has row and text."""
+    return df.select(*[df["text"].alias(c) if c == text_col else df["row"][c].alias(c) for c in columns])

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut_lineage, map_batches, table
+from .common import beside, columns_of, cut_lineage, map_batches, restored, table
 
 #: Words of a benchmark window.
 WINDOW = 13
@@ -136,6 +136,12 @@ def _finished(x: dict[str, list]) -> dict[str, list]:
     }
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with their columns."""
+    judged = decontaminate(beside(docs, text_col), benchmark, id_col="row", text_col="text")
+    return restored(judged.where(~F.col("contaminated")), docs.columns, text_col)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -138,15 +138,17 @@ def quality_rules(docs: DataFrame, ratios: list[int] | None = None, *, id_col: s
     out = _counts(_hashes(rows)).withColumn("g", F.concat("h", "p"))
     total = F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + F.get(held, F.pmod(x, F.lit(size)).cast("int")))
     out = out.withColumn("score", F.when(F.col("n") > 0, total / (UNIT * F.size("g"))).otherwise(F.lit(0.0)))
+    # Row numbers are no function of the row, so a later filter on kept isn't pushed below, where it would compute all arrays again and again.
+    once = F.monotonically_increasing_id() >= 0
     failed = (F.col("n") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (once & ~failed & (F.col("score") >= threshold)).alias("kept"))
 
 
 def keep_by_rules(docs: DataFrame, ratios: list[int] | None = None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns; the verdict is computed beside the row, without a join."""
-    verdict = "kept by quality_rules"
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return quality_rules(packed, ratios, id_col="row", text_col="text", threshold=threshold).withColumnRenamed("kept", verdict).where(F.col(f"`{verdict}`")).select("row.*")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    judged = quality_rules(packed, ratios, id_col="row", text_col="text", threshold=threshold).where("kept")
+    return judged.select(*[judged["row"][c].alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
