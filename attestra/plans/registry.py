@@ -1,7 +1,7 @@
 """All registered queries of the library."""
 
-from . import core
+from . import core, more
 
-MODULES = (core,)
+MODULES = (core, more)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
