@@ -240,7 +240,9 @@ def _page(rng: np.random.Generator, blocks: list[str]) -> str:
 def fit_extractor(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sampled: int = SAMPLED, trained: int = TRAINED) -> trees.Trees:
     """Trees fitted on `trained` generated pages; their words come from at most `sampled` pages, by a hash of the id."""
     rows = columns_of(pages, id=pages[id_col].cast("string"), html=html_col).where("html is not null")
-    sample = rows.orderBy(F.xxhash64("id", "html"), "id").limit(sampled).select(F.substring("html", 1, 20_000).alias("html")).collect()
+    rows = rows.withColumn("key", F.xxhash64("id", "html"))
+    keys = rows.select("key").distinct().orderBy("key").limit(sampled)  # no page leaves its task before the sample is known
+    sample = rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("html").alias("html")).collect()
     blocks = sorted({" ".join(entities.unescape(raw).split()) for r in sample for _, raw, _ in parse(r["html"])[1]} - {""}) or ["Some words, that stand for a text."]
     rng = np.random.default_rng(7)
     x, y = [], []
