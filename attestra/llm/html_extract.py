@@ -26,6 +26,8 @@ SAMPLED, TRAINED = 200, 400
 # Elements of HTML, and tokens that authors use in class, id and role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript textarea title svg iframe object select button".split())
+_CODE, _CLOSES = ("script", "style"), {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.IGNORECASE) for t in _RAW}
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _GROUPS = {"p": 0, "blockquote": 0, "pre": 0, "h1": 1, "h2": 1, "h3": 1, "h4": 1, "h5": 1, "h6": 1, "ul": 2, "ol": 2, "dl": 2, "li": 3, "dd": 3, "dt": 3, "nav": 4, "menu": 4, "header": 5, "footer": 6, "aside": 7, "form": 8, "fieldset": 8, "dialog": 8, "article": 9, "main": 10, "section": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "tbody": 12, "figure": 13, "figcaption": 13, "body": 14, "html": 14}
 _DIV, _N_GROUPS = 15, 16
@@ -46,13 +48,18 @@ class Node:
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, int]]]:
-    """(block nodes in page order, pieces): a piece is a block's (node, raw text, characters of it inside links)."""
+    """(block nodes in page order, pieces): a piece is a block's (node, raw text, characters of it inside links).
+
+    As in browsers, text and elements that aren't of the head end it, and begin a body where no tag
+    does; what follows </body> is still of it. So all text lies in a body.
+    """
     nodes, pieces = [Node("html", -1, 0)], []
     if not page:
         return nodes, pieces
     open_: list[tuple[str, int]] = [("html", 0)]  # every open element, with the block node that holds its text
     text: list[str] = []
-    linked, in_link, at, raw = 0, 0, 0, None
+    linked, in_link, at, body = 0, 0, 0, 0
+    unclosed: set[str] = set()  # raw elements without an end tag in what is left
 
     def flush() -> None:
         nonlocal linked
@@ -71,24 +78,49 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, int]]]:
         in_link -= sum(t == "a" for t, _ in open_[k:])
         del open_[k:]
 
-    for m in _TOKEN.finditer(page):
-        if raw is None and m.start() > at:
-            text.append(page[at : m.start()])
-            linked += (m.start() - at) * (in_link > 0)
-        if raw is not None and not (m[1] and m[2].lower() == raw):
-            continue
+    def close_head() -> None:
+        if k := next((i for i, (t, _) in enumerate(open_) if t == "head"), 0):
+            close(k)
+
+    def begin_body(attrs: str = "") -> None:
+        nonlocal body
+        close_head()
+        nodes.append(Node("body", 0, 1, attrs))
+        body = len(nodes) - 1
+        open_.append(("body", body))
+
+    def read(upto: int) -> None:
+        nonlocal linked
+        if upto > at:
+            if not body and not page[at:upto].isspace():
+                begin_body()
+            text.append(page[at:upto])
+            linked += (upto - at) * (in_link > 0)
+
+    while m := _TOKEN.search(page, at):
+        read(m.start())
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if raw is not None:
-            raw = None
-            continue
         if m[1]:
             k = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), 0)
             if k:
-                close(k)
+                close(k + (tag == "body"))
+            if tag == "body":
+                flush()
+            continue
+        if tag == "html" or (tag == "head" and body):
             continue
+        if tag == "body":
+            flush()
+            if body:
+                nodes[body].attrs += m[3]
+            else:
+                begin_body(m[3])
+            continue
+        if not body and tag != "head" and tag not in _IN_HEAD:
+            begin_body()
         if tag == "br":
             text.append(" ")
         if tag in _VOID:
@@ -96,9 +128,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, int]]]:
                 flush()
             continue
         if tag in _RAW and not m[3].rstrip().endswith("/"):
-            raw = tag
-            continue
-        if tag in ("html",):
+            end = None if tag in unclosed else _CLOSES[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in _CODE:
+                at = len(page)
+            else:
+                unclosed.add(tag)
             continue
         if tag in _INLINE:
             in_link += tag == "a"
@@ -117,9 +153,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str, int]]]:
         up = open_[-1][1]
         nodes.append(Node(tag, up, nodes[up].depth + 1, m[3], hidden=tag == "head"))
         open_.append((tag, len(nodes) - 1))
-    if raw is None and at < len(page):
-        text.append(page[at:])
-        linked += (len(page) - at) * (in_link > 0)
+    read(len(page))
     flush()
     return nodes, pieces
 
