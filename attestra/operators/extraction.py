@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.scalars import clean_item, header_key, post_key
 
-#: A document's text, as far as it is read (part of the extraction's contract).
+#: How many characters of a document the reference reads; a caller of document_lines may set it, no query does.
 MOST_CHARACTERS = 120_000
 
 
@@ -32,9 +32,10 @@ def text_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SRC-4: id, line_no, line: collapsed, non-empty lines of the bounded text."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.substring(text_col, 1, MOST_CHARACTERS), "\n")).alias("line_no", "line"))
+def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+    """SRC-4: id, line_no, line: collapsed, non-empty lines of the whole text, or of its first `most` characters where that is set."""
+    text = F.col(text_col) if most is None else F.substring(text_col, 1, most)
+    lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return lines.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where(F.col("line") != "")
 
 
