@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import lifecycle
+from attestra.functions.scalars import age_on, header_key, lifecycle
 
 #: Fixed value: the order in which lifecycles are listed.
 LIFECYCLES = ("OPEN", "RECENTLY_CLOSED", "UPCOMING", "CLOSED", "UNKNOWN")
@@ -127,7 +127,7 @@ def age_outcome(age: Column, low: Column, high: Column, category: Column, relaxa
 
 
 def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """JOIN-13, PIPE-19: by profile and bound, how many rules' outcomes there are.
+    """JOIN-13, the age rule of PIPE-19 alone: by profile and bound, how many rules' outcomes there are.
 
     Rules are first summed by their bounds: there are as many as there are whole-year bounds, so
     profiles meet distinct bounds and not jobs. profiles: profile_id, age, category; rules: low, high, relaxation.
@@ -137,3 +137,47 @@ def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     each = profiles.join(F.broadcast(packed), F.lit(True)).select("profile_id", "age", "category", F.explode("b").alias("r"))
     outcome = age_outcome(F.col("age"), F.col("r.low"), F.col("r.high"), F.col("category"), F.col("r.relaxation"))
     return each.select("profile_id", outcome.alias("outcome"), F.col("r.jobs").alias("jobs")).groupBy("profile_id").agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == s, F.col("jobs"))), F.lit(0)).alias(s.lower()) for s in SEVERITY])
+
+
+def qualification_outcome(required: Column, kind: Column, held: Column) -> Column:
+    """PIPE-19, qualification: only the same text is a match; anything else is for review."""
+    match = F.exists(held, lambda x: header_key(x) == header_key(required))
+    return F.when(required.isNull() | F.coalesce(F.size(held) == 0, F.lit(True)), "UNKNOWN").when((kind == "STRING") & match, "ELIGIBLE").otherwise("REVIEW_REQUIRED")
+
+
+def domicile_outcome(required: Column, lives_there: Column, region: str) -> Column:
+    """PIPE-19, domicile: a rule that names the region and residence is decided, another is for review."""
+    text = F.lower(required)
+    known = text.contains(region.lower()) & text.rlike("domicile|resident")
+    return F.when(required.isNull(), "UNKNOWN").when(~known, "REVIEW_REQUIRED").when(lives_there.isNull(), "UNKNOWN").when(lives_there, "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+
+
+def experience_outcome(months: Column, years: Column, text: Column, has: Column) -> Column:
+    """PIPE-19, experience: months before years; a rule without either is for review."""
+    least = F.coalesce(months, years * 12)
+    return F.when(least.isNull() & text.isNull(), "UNKNOWN").when(least.isNull(), "REVIEW_REQUIRED").when(has.isNull(), "UNKNOWN").when(has >= least, "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+
+
+#: What an eligibility rule is made of.
+RULE = ("low", "high", "cutoff", "relaxations", "qualification", "qualification_kind", "domicile", "months", "years", "experience")
+
+
+def evaluate_eligibility(profiles: DataFrame, rules: DataFrame, region: str) -> DataFrame:
+    """PIPE-19, JOIN-13, AGG-28: by profile and distinct rule, the four criteria's outcomes and the most severe.
+
+    profiles: profile_id, born, category, qualifications (array), lives_there, experience_months. rules:
+    job_id and RULE; low and high are text as published, relaxations an array of (category, years).
+    A rule's jobs, counted in jobs and the least in first_job, share its outcome, so that no
+    pair of profile and job is written; jobs meet their rule again by RULE.
+    """
+    packed = rules.groupBy(*RULE).agg(F.count(F.lit(1)).alias("jobs"), F.min("job_id").alias("first_job")).agg(F.collect_list(F.struct(*RULE, "jobs", "first_job")).alias("all"))
+    each = profiles.join(F.broadcast(packed), F.lit(True)).select(*profiles.columns, F.explode("all").alias("r")).select("*", "r.*").drop("r")
+    low, high = F.col("low").try_cast("int"), F.col("high").try_cast("int")
+    relaxation = F.get(F.transform(F.filter("relaxations", lambda x: x["category"] == F.col("category")), lambda x: x["years"]), F.lit(0))
+    unread = F.col("cutoff").isNull() | (F.col("low").isNotNull() & low.isNull()) | (F.col("high").isNotNull() & high.isNull())
+    age = F.when((F.col("low").isNull() & F.col("high").isNull()) | F.col("born").isNull(), "UNKNOWN").when(unread, "REVIEW_REQUIRED").otherwise(age_outcome(age_on("born", "cutoff"), low, high, F.col("category"), relaxation))
+    out = each.select(
+        "profile_id", "first_job", "jobs", age.alias("age"), qualification_outcome(F.col("qualification"), F.col("qualification_kind"), F.col("qualifications")).alias("qualification"),
+        domicile_outcome(F.col("domicile"), F.col("lives_there"), region).alias("domicile"), experience_outcome(F.col("months"), F.col("years"), F.col("experience"), F.col("experience_months")).alias("experience"),
+    )
+    return out.withColumn("outcome", overall(*map(F.col, ("age", "qualification", "domicile", "experience"))))

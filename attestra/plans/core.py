@@ -306,7 +306,7 @@ SELECT profile_id, CAST(coalesce(sum(jobs) FILTER (o = 'ELIGIBLE'), 0) AS BIGINT
 
 @query(_ELIGIBLE)
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIPE-19, JOIN-13, AGG-28."""
+    """JOIN-13, the age rule of PIPE-19; job_eligibility has all four rules."""
     c, p = B.t(spark, sf_dir, "customer"), B.t(spark, sf_dir, "part")
     k = F.col("c_custkey")
     profiles = c.select(k.alias("profile_id"), F.when(k % 11 != 0, 18 + k % 40).alias("age"), F.when(k % 3 == 0, "GENERAL").when(k % 3 == 1, "RESERVED").alias("category"))
@@ -315,6 +315,38 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.eligible_jobs(profiles, rules)
 
 
+_JOB_ELIGIBILITY = """WITH p AS (SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 11 <> 0 THEN DATE '1955-02-28' + CAST(c_custkey * 37 % 14000 AS INTEGER) END AS born, CASE c_custkey % 3 WHEN 0 THEN 'GENERAL' WHEN 1 THEN 'RESERVED' END AS category,
+  CASE WHEN c_custkey % 5 <> 0 THEN [c_mktsegment, 'Degree'] END AS held, CASE WHEN c_nationkey < 20 THEN c_nationkey < 10 END AS lives, CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_custkey % 90 AS INTEGER) END AS has FROM customer),
+r AS (SELECT p_size AS s, min(p_partkey) AS first_job, count(*) AS jobs, CASE WHEN p_size % 3 <> 0 THEN p_size % 20 + 18 END AS low, p_size % 5 = 0 AS open_, CASE WHEN p_size % 10 <> 3 THEN p_size % 20 + 25 END AS high, CASE WHEN p_size % 7 <> 0 THEN DATE '1998-01-01' + CAST(p_size AS INTEGER) * 30 END AS cutoff,
+  CASE p_size % 6 WHEN 1 THEN 'building' WHEN 2 THEN 'automobile' WHEN 3 THEN 'degree' WHEN 4 THEN 'doctor' END AS q, p_size % 13 = 0 AS json, p_size % 4 AS d, CASE WHEN p_size % 5 = 1 THEN p_size WHEN p_size % 5 = 2 THEN p_size % 6 * 12 END AS least, p_size % 5 = 3 AS told FROM part GROUP BY p_size),
+a AS (SELECT *, date_diff('year', born, cutoff) - CASE WHEN (month(cutoff), day(cutoff)) < (month(born), day(born)) THEN 1 ELSE 0 END AS years FROM p, r),
+o AS (SELECT profile_id, first_job, jobs, CASE WHEN (low IS NULL AND open_) OR born IS NULL THEN 'UNKNOWN' WHEN cutoff IS NULL OR (NOT open_ AND high IS NULL) THEN 'REVIEW_REQUIRED' WHEN years < low THEN 'NOT_ELIGIBLE' WHEN open_ OR years <= high THEN 'ELIGIBLE' WHEN category IS NULL OR category = 'GENERAL' THEN 'NOT_ELIGIBLE' WHEN s % 2 <> 0 THEN 'REVIEW_REQUIRED' WHEN years > high + 5 THEN 'NOT_ELIGIBLE' ELSE 'ELIGIBLE' END AS age,
+  CASE WHEN q IS NULL OR held IS NULL THEN 'UNKNOWN' WHEN NOT json AND (q = lower(held[1]) OR q = 'degree') THEN 'ELIGIBLE' ELSE 'REVIEW_REQUIRED' END AS qualification,
+  CASE WHEN d = 0 THEN 'UNKNOWN' WHEN d = 1 THEN 'REVIEW_REQUIRED' WHEN lives IS NULL THEN 'UNKNOWN' WHEN lives THEN 'ELIGIBLE' ELSE 'NOT_ELIGIBLE' END AS domicile,
+  CASE WHEN told THEN 'REVIEW_REQUIRED' WHEN least IS NULL OR has IS NULL THEN 'UNKNOWN' WHEN has >= least THEN 'ELIGIBLE' ELSE 'NOT_ELIGIBLE' END AS experience FROM a)
+SELECT *, CASE WHEN 'NOT_ELIGIBLE' IN (age, qualification, domicile, experience) THEN 'NOT_ELIGIBLE' WHEN 'REVIEW_REQUIRED' IN (age, qualification, domicile, experience) THEN 'REVIEW_REQUIRED' WHEN 'UNKNOWN' IN (age, qualification, domicile, experience) THEN 'UNKNOWN' ELSE 'ELIGIBLE' END AS outcome FROM o"""
+
+
+@query(_JOB_ELIGIBILITY)
+def job_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE-19, JOIN-13, AGG-28: customers as profiles, parts as jobs whose rules follow from their size."""
+    c, p = B.t(spark, sf_dir, "customer"), B.t(spark, sf_dir, "part")
+    k, n, s = F.col("c_custkey"), F.col("c_nationkey"), F.col("p_size")
+    profiles = c.select(
+        k.alias("profile_id"), F.when(k % 11 != 0, F.date_add(F.lit("1955-02-28").cast("date"), (k * 37 % 14000).cast("int"))).alias("born"), F.when(k % 3 == 0, "GENERAL").when(k % 3 == 1, "RESERVED").alias("category"),
+        F.when(k % 5 != 0, F.array("c_mktsegment", F.lit("Degree"))).alias("qualifications"), F.when(n < 20, n < 10).alias("lives_there"), F.when(k % 6 != 0, (k % 90).cast("int")).alias("experience_months"),
+    )
+    none = F.expr("cast(array() as array<struct<category:string,years:int>>)")
+    rules = p.select(
+        F.col("p_partkey").alias("job_id"), F.when(s % 3 != 0, (s % 20 + 18).cast("string")).alias("low"), F.when(s % 5 != 0, F.when(s % 10 == 3, "about 30").otherwise((s % 20 + 25).cast("string"))).alias("high"),
+        F.when(s % 7 != 0, F.date_add(F.lit("1998-01-01").cast("date"), (s * 30).cast("int"))).alias("cutoff"), F.when(s % 2 == 0, F.array(F.struct(F.lit("RESERVED").alias("category"), F.lit(5).alias("years")))).otherwise(none).alias("relaxations"),
+        F.when(s % 6 == 1, "Building.").when(s % 6 == 2, " automobile").when(s % 6 == 3, "DEGREE").when(s % 6 == 4, "Doctor").alias("qualification"), F.when(s % 13 == 0, "JSON").otherwise("STRING").alias("qualification_kind"),
+        F.when(s % 4 == 1, "Local candidates").when(s % 4 == 2, "Permanent resident of ASSAM").when(s % 4 == 3, "Assam domicile").alias("domicile"),
+        F.when(s % 5 == 1, s).alias("months"), F.when(s % 5 == 2, s % 6).alias("years"), F.when(s % 5 == 3, "Some").alias("experience"),
+    )
+    return P.evaluate_eligibility(profiles, rules, "Assam")
+
+
 @query("SELECT l_orderkey AS fact_id, n_name AS authority, CASE l_suppkey % 3 WHEN 0 THEN 'AUTHORITATIVE_OFFICIAL' WHEN 1 THEN 'OFFICIAL_SUPPORTING' ELSE 'SECONDARY_DISCOVERY_ONLY' END AS source_class, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3")
 def field_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-1, JOIN-2, PIPE-18: fact, document, endpoint, authority."""

@@ -1,6 +1,9 @@
 """Cases in which a query once did less than its whole job."""
 
+import datetime
+
 from attestra.operators import extraction as E
+from attestra.operators import serving as P
 
 
 def test_lines_and_tables_behind_long_text(spark):
@@ -12,3 +15,19 @@ def test_lines_and_tables_behind_long_text(spark):
     assert lines.count() == 3005 and lines.orderBy("line_no").tail(1)[0]["line"].startswith("The last line")
     assert E.document_lines(docs, most=E.MOST_CHARACTERS).count() < 3000
     assert E.pipe_tables(docs).first()["status"] == "EXPLICIT" and E.structure_posts(docs).first()["strategy"] == "TABLE"
+
+
+def test_eligibility_by_all_criteria(spark):
+    day = datetime.date(1990, 6, 1)
+    profiles = spark.createDataFrame(
+        [("fits", day, "GENERAL", ["B.A. (Honours)"], True, 24), ("lives elsewhere", day, "GENERAL", ["B.A. (Honours)"], False, 24), ("other degree", day, "GENERAL", ["M.A."], True, 24), ("too new", day, "GENERAL", ["B.A. (Honours)"], True, 23), ("says nothing", None, None, None, None, None), ("relaxed", datetime.date(1980, 6, 1), "OBC", ["B.A. (Honours)"], True, 24)],
+        "profile_id string, born date, category string, qualifications array<string>, lives_there boolean, experience_months int",
+    )
+    rule = (datetime.date(2020, 5, 31), [("OBC", 9)], "b a honours", "STRING", "Permanent resident of Assam", None, 2, None)
+    rules = spark.createDataFrame([(1, "18", "30", *rule), (2, "18", "30", *rule), (3, "18", "thirty", *rule), (4, *[None] * 3, [], *[None] * 6)], "job_id int, low string, high string, cutoff date, relaxations array<struct<category:string,years:int>>, qualification string, qualification_kind string, domicile string, months int, years int, experience string")
+    got = {(r["profile_id"], r["first_job"]): (r["jobs"], r["age"], r["qualification"], r["domicile"], r["experience"], r["outcome"]) for r in P.evaluate_eligibility(profiles, rules, "Assam").collect()}
+    assert len(got) == 18
+    yes, no, ask, unknown = "ELIGIBLE", "NOT_ELIGIBLE", "REVIEW_REQUIRED", "UNKNOWN"
+    assert got["fits", 1] == (2, yes, yes, yes, yes, yes) and got["fits", 3] == (1, ask, yes, yes, yes, ask) and got["fits", 4] == (1, *[unknown] * 5)
+    assert got["lives elsewhere", 1] == (2, yes, yes, no, yes, no) and got["other degree", 1] == (2, yes, ask, yes, yes, ask)
+    assert got["too new", 1] == (2, yes, yes, yes, no, no) and got["says nothing", 1] == (2, *[unknown] * 5) and got["relaxed", 1] == (2, yes, yes, yes, yes, yes)
