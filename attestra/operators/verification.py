@@ -149,6 +149,87 @@ def interpret_counts(text: Column, expected: Column) -> Column:
     return F.when(F.size(found) == 0, "CONTEXT_ONLY").when(total == expected, "SUPPORTS").when(n > 1, "CONTEXT_ONLY").when(F.get(found, F.lit(0)) == expected, "SUPPORTS").otherwise("CONTRADICTS")
 
 
+#: Words of a window by which a fact finds the texts that may contain it.
+WINDOW = 8
+
+
+def contained_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:
+    """PIPE-3 for strings over all pairs: doc_id and fact_id of each text that contains a fact; all other pairs are context.
+
+    facts: fact_id, value; documents: doc_id, text; ids may repeat. A fact's inner words are whole words of a text that contains it, so they
+    meet in one window, the one of least hash; what meets is compared in full. Facts of one or two
+    words have no inner word and are compared with all texts.
+    """
+    known = facts.select("fact_id", comparison_text("value", F.lit(None).cast("string")).alias("value")).where("value <> ''").distinct()
+    inner = known.withColumn("words", F.split("value", " ")).withColumn("words", F.expr("slice(words, 2, greatest(size(words) - 2, 0))")).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
+    windows = lambda width: F.expr(f"transform(sequence(0, size(words) - {width}), i -> xxhash64(slice(words, i + 1, {width})))")
+    texts = documents.select("doc_id", comparison_text("text", F.lit(None).cast("string")).alias("text"))
+    words = texts.select("doc_id", F.split("text", " ").alias("words"))
+    pairs = texts.crossJoin(inner.where("width = 0").select("fact_id", "value")).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id")
+    for width in sorted(r["width"] for r in inner.where("width > 0").select("width").distinct().collect()):  # WINDOW at most
+        keys = inner.where(F.col("width") == width).select("fact_id", "value", F.array_min(windows(width)).alias("window"))
+        met = words.where(F.size("words") >= width).select("doc_id", F.explode(F.array_distinct(windows(width))).alias("window")).join(keys, "window").select(F.col("doc_id").alias("met"), "fact_id", "value").distinct()
+        pairs = pairs.unionByName(texts.join(met, F.col("doc_id").eqNullSafe(F.col("met"))).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id"))
+    return pairs.distinct()
+
+
+# What labels a number, and a date in the order in which labels are tried.
+_AGE = r"(?:not\s+(?:be\s+)?{less}\s+than|{least}\s+age)\s*[:=\-]?\s*(\d+)\s*years?\b"
+NUMBER_LABELS = {
+    "vacancies.total": r"(?:no\.?\s*of\s*posts?|number\s+of\s+posts?|vacanc(?:y|ies)|total\s+posts?)\s*[:=\-]{0,2}\s*0*(\d+)\b",
+    **{path: _AGE.format(less="less", least="minimum") for path in ("eligibility.minimum_age", "age.minimum")},
+    **{path: _AGE.format(less="more", least="maximum") for path in ("eligibility.maximum_age", "age.maximum")},
+}
+DATE_LABELS = {
+    "application.start_date": ("starting date for online application", "application start date", "start date"), "application.end_date": ("closing date for online application", "application end date", "last date", "end date"),
+    "eligibility.age_cutoff_date": ("age cutoff date", "reckoned as on", "as on"), "notification.date": ("notification date", "dated", "guwahati the"),
+}
+
+
+def _asserted(values: Column, expected: Column) -> Column:
+    """One labelled value supports or contradicts; none or several are context."""
+    return F.when(F.size(values) != 1, "CONTEXT_ONLY").when(F.get(values, F.lit(0)) == expected, "SUPPORTS").otherwise("CONTRADICTS")
+
+
+def interpret_integer(path: Column, expected: Column, text: Column) -> Column:
+    """PIPE-3 and AGG-17 for whole numbers: counts of posts that sum to a total support it, several others are context; else the path's labels decide."""
+    number = lambda x: F.regexp_replace(x, ",", "").try_cast("decimal(38,0)")
+    expected = expected.try_cast("decimal(38,0)")
+    posts = F.transform(F.regexp_extract_all(text, F.lit(r"\b([0-9][0-9,]*)\s+posts?\b"), F.lit(1)), number)
+    total = F.aggregate(posts, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+    out = F.lit("CONTEXT_ONLY")
+    for p, label in NUMBER_LABELS.items():
+        found = _asserted(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(label), F.lit(1)), number)), expected)
+        if p == "vacancies.total":
+            found = F.when((F.size(posts) > 0) & (total == expected), "SUPPORTS").when(F.size(posts) > 1, "CONTEXT_ONLY").otherwise(found)
+        out = F.when(path == p, found).otherwise(out)
+    return out
+
+
+def interpret_date(path: Column, expected: Column, text: Column) -> Column:
+    """PIPE-3 for dates: the first label with a date after it decides."""
+    day = lambda x: F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for f in ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd")])
+    out = F.lit("CONTEXT_ONLY")
+    for p, labels in DATE_LABELS.items():
+        decided = F.lit("CONTEXT_ONLY")
+        for label in reversed(labels):
+            found = F.regexp_extract_all(text, F.lit(label + r"[^\n]{0,100}?(\d{2}[/-]\d{2}[/-]\d{4}|\d{4}-\d{2}-\d{2})"), F.lit(1))
+            values = F.array_distinct(F.array_compact(F.transform(found, day)))
+            decided = F.when(F.size(values) > 0, _asserted(values, expected.try_cast("date"))).otherwise(decided)
+        out = F.when(path == p, decided).otherwise(out)
+    return out
+
+
+def interpret_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """PIPE-3: facts (fact_id, path, value_type, value) against their evidence (fact_id, evidence_id, excerpt, context), by the value's type."""
+    text, kind = F.col("comparison"), F.col("value_type")
+    value = comparison_text("value", F.lit(None).cast("string"))
+    joined = facts.join(evidence.withColumn("comparison", comparison_text("excerpt", "context")), "fact_id")
+    string = F.when((value != "") & text.contains(value), "SUPPORTS").otherwise("CONTEXT_ONLY")
+    assessment = F.when(kind == "STRING", string).when(kind == "INTEGER", interpret_integer(F.col("path"), F.col("value"), text)).when(kind == "DATE", interpret_date(F.col("path"), F.col("value"), text)).otherwise("CONTEXT_ONLY")
+    return joined.select("fact_id", "evidence_id", "path", assessment.alias("assessment"))
+
+
 def select_for_verification(revisions: DataFrame, completed: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     """PIPE-5, JOIN-5, JOIN-14, SORT-5: revisions (revision_id, created_at) never completed, or asked for again after their last run; oldest first.
 

@@ -460,8 +460,31 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.doc_id, f.doc_id AS fact_id, CASE WHEN contains(trim(regexp_replace(lower(e.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(f.text[1:60]), '\\s+', ' ', 'g'))) THEN 'SUPPORTS' ELSE 'CONTEXT_ONLY' END AS assessment FROM documents e JOIN documents f ON f.doc_id = e.doc_id - e.doc_id % 3")
 def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIPE-3, FLT-5: the opening of every third document as a fact, that document and its two followers as evidence."""
+    """FLT-5, the string rule of PIPE-3 between given pairs (passage_support and typed_evidence have the rest): the opening of every third document as a fact, that document and its two followers as evidence."""
     d = B.t(spark, sf_dir, "documents")
     evidence = d.select((F.col("doc_id") - F.col("doc_id") % 3).alias("fact_id"), F.col("doc_id").alias("evidence_id"), F.col("text").alias("excerpt"), F.lit(None).cast("string").alias("context"))
     facts = d.select(F.col("doc_id").alias("fact_id"), F.substring("text", 1, 60).alias("value"))
     return V.interpret_text(facts, evidence).select(F.col("evidence_id").alias("doc_id"), "fact_id", "assessment")
+
+
+@query("WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT DISTINCT doc_id, item_id AS fact_id, 'SUPPORTS' AS assessment FROM d JOIN b ON contains(d.t, b.t) WHERE b.t <> ''")
+def passage_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE-3 for strings: whole benchmark passages as facts, all documents as evidence; a pair that isn't there is context."""
+    facts = B.t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fact_id"), F.col("text").alias("value"))
+    return V.contained_facts(facts, B.t(spark, sf_dir, "documents")).withColumn("assessment", F.lit("SUPPORTS"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS fact_id, 'vacancies.total' AS path, CASE o_orderstatus WHEN 'F' THEN 'SUPPORTS' WHEN 'O' THEN CASE WHEN n > 1 THEN 'CONTEXT_ONLY' ELSE 'CONTRADICTS' END ELSE 'CONTEXT_ONLY' END AS assessment FROM orders JOIN l ON l_orderkey = o_orderkey
+UNION ALL SELECT o_orderkey, 'application.end_date', CASE o_orderstatus WHEN 'F' THEN 'SUPPORTS' WHEN 'O' THEN 'CONTRADICTS' ELSE 'CONTEXT_ONLY' END FROM orders JOIN l ON l_orderkey = o_orderkey""")
+def typed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE-3 for numbers and dates, AGG-17: notices written out of orders and their lines; by status they agree, differ or are unlabelled."""
+    li, o, status = B.t(spark, sf_dir, "lineitem"), B.t(spark, sf_dir, "orders"), F.col("o_orderstatus")
+    sums = li.groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("long")).alias("q"), F.sum(F.col("l_quantity").cast("long")).alias("total"))
+    j, day = o.join(sums, F.col("o_orderkey") == F.col("l_orderkey")), F.to_date("o_orderdate")
+    posts = F.array_join(F.transform("q", lambda x: F.concat((x + (status == "O").cast("int")).cast("string"), F.lit(" posts of clerk"))), ", ")
+    text = F.when(status == "F", F.concat(posts, F.lit(". Last date for fees and forms: "), F.date_format(day, "dd/MM/yyyy"), F.lit(". End date 01-01-1970."))).when(
+        status == "O", F.concat(posts, F.lit(". Number of posts: 0"), (F.col("total") + 1).cast("string"), F.lit(". Closing date for online application is 1970-01-01; last date "), F.date_format(day, "yyyy-MM-dd")))
+    rows = j.select(F.col("o_orderkey").alias("fact_id"), F.coalesce(text, F.lit("To be announced.")).alias("excerpt"), F.col("total").cast("string").alias("total"), day.cast("string").alias("day"))
+    facts = lambda path, kind, v: V.interpret_evidence(rows.select("fact_id", F.lit(path).alias("path"), F.lit(kind).alias("value_type"), F.col(v).alias("value")), rows.select("fact_id", F.col("fact_id").alias("evidence_id"), "excerpt", F.lit(None).cast("string").alias("context")))
+    return facts("vacancies.total", "INTEGER", "total").unionByName(facts("application.end_date", "DATE", "day")).select("fact_id", "path", "assessment")

@@ -4,6 +4,7 @@ import datetime
 
 from attestra.operators import extraction as E
 from attestra.operators import serving as P
+from attestra.operators import verification as V
 
 
 def test_lines_and_tables_behind_long_text(spark):
@@ -31,3 +32,22 @@ def test_eligibility_by_all_criteria(spark):
     assert got["fits", 1] == (2, yes, yes, yes, yes, yes) and got["fits", 3] == (1, ask, yes, yes, yes, ask) and got["fits", 4] == (1, *[unknown] * 5)
     assert got["lives elsewhere", 1] == (2, yes, yes, no, yes, no) and got["other degree", 1] == (2, yes, ask, yes, yes, ask)
     assert got["too new", 1] == (2, yes, yes, yes, no, no) and got["says nothing", 1] == (2, *[unknown] * 5) and got["relaxed", 1] == (2, yes, yes, yes, yes, yes)
+
+
+def test_facts_contained_anywhere(spark):
+    many = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"x {many} y"), (2, f"pre{many}post"), (None, f"  {many.upper()}\n"), (4, many[:-1]), (5, "a short ONE"), (5, "a shor"), (6, "")], "doc_id int, text string")
+    facts = spark.createDataFrame([("many", many), ("three", "a  short one"), ("part", "short"), ("empty", " "), ("null", None)], "fact_id string, value string")
+    assert {tuple(r) for r in V.contained_facts(facts, docs).collect()} == {(1, "many"), (2, "many"), (None, "many"), (5, "three"), (5, "part")}
+
+
+def test_numbers_and_dates_of_evidence(spark):
+    cases = [
+        ("vacancies.total", "INTEGER", "5", "2 posts of A and 3 posts of B", "SUPPORTS"), ("vacancies.total", "INTEGER", "6", "2 posts of A and 3 posts of B", "CONTEXT_ONLY"), ("vacancies.total", "INTEGER", "6", "Total posts: 07", "CONTRADICTS"),
+        ("age.minimum", "INTEGER", "18", "Not less than 18 years", "SUPPORTS"), ("age.maximum", "INTEGER", "18", "Not less than 18 years", "CONTEXT_ONLY"), ("application.end_date", "DATE", "2024-03-01", "Last date: 01/03/2024. End date 2024-03-09", "SUPPORTS"),
+        ("application.end_date", "DATE", "2024-03-01", "Last date: 31/02/2024. End date 2024-03-09", "CONTRADICTS"), ("application.end_date", "DATE", "2024-03-01", "Last date 01/03/2024, last date 02/03/2024", "CONTEXT_ONLY"), ("x", "BOOLEAN", "true", "true", "CONTEXT_ONLY"), ("x", "STRING", "True  story", "a true story", "SUPPORTS"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "fact_id int, path string, value_type string, value string, excerpt string, want string")
+    evidence = rows.selectExpr("fact_id", "fact_id AS evidence_id", "excerpt", "cast(null as string) AS context")
+    got = {r["fact_id"]: r["assessment"] for r in V.interpret_evidence(rows.select("fact_id", "path", "value_type", "value"), evidence).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[-1] for c in cases]
