@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -250,14 +251,17 @@ def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + B.OBSERVATIONS_SQL + " SELECT endpoint_id, url, content_hash, count(*) AS n FROM observations GROUP BY 1, 2, 3")
 def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIPE-1 as a stream: orders are read as a stream, joined to the customers and counted; the result is in the memory sink."""
+    """PIPE-1 as a stream: orders are read as a stream, joined to the customers and counted; every micro-batch writes the result as Parquet under spark.checkpoint.dir."""
     schema = B.t(spark, sf_dir, "orders").schema
     orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     c = B.t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     seen = orders.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("endpoint_id"), F.col("o_custkey").alias("url"), F.sha2(F.concat("o_orderstatus", "o_orderpriority"), 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"))
-    name = f"versions_{uuid.uuid4().hex}"
-    seen.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/versions_{uuid.uuid4().hex}"
+    rows = f"{folder}/rows"
+    spark.createDataFrame([], seen.schema).write.parquet(rows)  # a stream without files makes no batch
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(rows)
+    seen.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(rows)
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS header, CASE WHEN contains(url, 'example.com') THEN 'COM' WHEN contains(url, 'example.org') THEN 'ORG' ELSE 'Official PAGE' END AS label, CASE WHEN regexp_matches(lower(url), 'page|en') AND NOT regexp_matches(lower(url), 'ref|top') THEN TRUE ELSE FALSE END AS opening FROM pages")

@@ -5,6 +5,7 @@ import datetime
 from attestra.operators import extraction as E
 from attestra.operators import serving as P
 from attestra.operators import verification as V
+from attestra.plans import registry
 
 
 def test_lines_and_tables_behind_long_text(spark):
@@ -51,3 +52,8 @@ def test_numbers_and_dates_of_evidence(spark):
     evidence = rows.selectExpr("fact_id", "fact_id AS evidence_id", "excerpt", "cast(null as string) AS context")
     got = {r["fact_id"]: r["assessment"] for r in V.interpret_evidence(rows.select("fact_id", "path", "value_type", "value"), evidence).collect()}
     assert [got[i] for i in range(len(cases))] == [c[-1] for c in cases]
+
+
+def test_streamed_versions_lie_in_files(spark):
+    df = registry.QUERIES["streamed_versions"](spark, "/root/testdata/sf0.001")
+    assert df.inputFiles() and df.count() > 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("versions_")]
