@@ -268,10 +268,17 @@ def public_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_JOBS + """SELECT job_id, lifecycle FROM j ORDER BY CASE lifecycle WHEN 'OPEN' THEN 1 WHEN 'RECENTLY_CLOSED' THEN 2 WHEN 'UPCOMING' THEN 3 WHEN 'CLOSED' THEN 4 ELSE 5 END,
   CASE lifecycle WHEN 'OPEN' THEN end_date - DATE '1970-01-01' WHEN 'UPCOMING' THEN start_date - DATE '1970-01-01' WHEN 'RECENTLY_CLOSED' THEN DATE '1970-01-01' - end_date WHEN 'CLOSED' THEN DATE '1970-01-01' - end_date END NULLS LAST, job_id LIMIT 200""")
 def lifecycle_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SORT-2."""
+    """SORT-2: the first page; lifecycle_table has all jobs."""
     return jobs(spark, sf_dir).orderBy(*P.lifecycle_order("job_id")).limit(200).select("job_id", "lifecycle")
 
 
+@query(_JOBS + """SELECT job_id, lifecycle FROM j ORDER BY CASE lifecycle WHEN 'OPEN' THEN 1 WHEN 'RECENTLY_CLOSED' THEN 2 WHEN 'UPCOMING' THEN 3 WHEN 'CLOSED' THEN 4 ELSE 5 END,
+  CASE lifecycle WHEN 'OPEN' THEN end_date - DATE '1970-01-01' WHEN 'UPCOMING' THEN start_date - DATE '1970-01-01' WHEN 'RECENTLY_CLOSED' THEN DATE '1970-01-01' - end_date WHEN 'CLOSED' THEN DATE '1970-01-01' - end_date END NULLS LAST, job_id""")
+def lifecycle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SORT-2: all jobs in lifecycle order."""
+    return jobs(spark, sf_dir).orderBy(*P.lifecycle_order("job_id")).select("job_id", "lifecycle")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber OFFSET 100 LIMIT 50")
 def listed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-5."""

@@ -57,3 +57,9 @@ def test_numbers_and_dates_of_evidence(spark):
 def test_streamed_versions_lie_in_files(spark):
     df = registry.QUERIES["streamed_versions"](spark, "/root/testdata/sf0.001")
     assert df.inputFiles() and df.count() > 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("versions_")]
+
+
+def test_lifecycle_order_has_all_jobs(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    page, everything = (registry.QUERIES[q](spark, sf_dir).collect() for q in ("lifecycle_page", "lifecycle_table"))
+    assert len(everything) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() > 200 and everything[:200] == page
