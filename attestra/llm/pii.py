@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,21 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
-#: Words that speak for a kind, or against personal data of any kind, when near a span.
+#: Words that speak for a kind, or against personal data of any kind, when they stand near a span.
 NEAR = {
-    "email": ("mail", "contact", "write", "reply"),
-    "ip": ("ip", "host", "address", "login", "server"),
-    "card": ("card", "visa", "credit", "payment", "cvv", "expires"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
-    "iban": ("iban", "bank", "account", "transfer", "bic"),
-    "ssn": ("ssn", "social", "security", "taxpayer"),
+    "email": frozenset("mail email contact write reply kontakt schreiben courriel écrire correo escribir contacto".split()),
+    "ip": frozenset("ip host address login server adresse serveur servidor dirección".split()),
+    "card": frozenset("card visa mastercard credit payment cvv expires karte kreditkarte zahlung carte paiement tarjeta pago".split()),
+    "phone": frozenset("phone telephone call tel mobile fax contact telefon handy anrufen téléphone appeler teléfono móvil llamar".split()),
+    "iban": frozenset("iban bank account transfer bic swift konto bankverbindung überweisung compte banque virement cuenta banco transferencia".split()),
+    "ssn": frozenset("ssn social security taxpayer sozialversicherung sécurité sociale seguridad".split()),
 }
-AGAINST = ("example", "version", "sample", "isbn", "invoice", "order")
-#: Score before words are looked at; a checksum counts more than a shape alone.
-PRIOR = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+AGAINST = frozenset("example version sample isbn invoice order serial beispiel rechnung bestellung exemple facture commande ejemplo factura pedido".split())
+#: Score before words are looked at. A checksum counts more than a shape alone; an added kind is listed from LEAST on, so words decide for each of them.
+PRIOR = {"email": 0.8, "ip": 0.7, "card": 0.9, "phone": 0.6, "iban": 0.6, "ssn": 0.4}
+#: Characters on either side of a span in which words count, what words of either list move a score by, and the least score of an added span.
 REACH, STEP, LEAST = 40, 0.2, 0.5
 
 
@@ -56,8 +59,14 @@ def digits_of(s: str) -> str:
     return "".join(_DIGIT.findall(s))
 
 
+def octet(part: str) -> bool:
+    """Whether digits, as many as there may be, say at most 255."""
+    bare = part.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
-    """Each @ with a domain is taken with the longest local part before it; time is linear in the text."""
+    """Each @ with a domain is taken with the longest local part before it, not beyond the span before; time is linear in the text."""
     out, free = [], 0
     for m in _DOMAIN.finditer(text):
         a = m.start()
@@ -73,24 +82,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            found += [("ip", *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+            found += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(octet, m.group().split(".")))]
         found += [("card", *m.span()) for m in _CARD.finditer(text) if 12 <= len(d := digits_of(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(digits_of(m.group())) <= 15]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def nearby(text: str, start: int, end: int) -> set[str]:
+    """Lower-cased whole words within REACH characters of a span; a word that the reach cuts doesn't count."""
+    first, last = max(0, start - REACH), min(len(text), end + REACH)
+    before = [m.group() for m in _LETTERS.finditer(text, first, start) if m.start() > first or not first or not text[first - 1].isalpha()]
+    after = [m.group() for m in _LETTERS.finditer(text, end, last) if m.end() < last or last == len(text) or not text[last].isalpha()]
+    return {w.lower() for w in before + after}
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = f"{text[max(0, start - REACH) : start]} {text[end : end + REACH]}".lower()
-    value = PRIOR[kind] + STEP * any(w in near for w in NEAR[kind]) - STEP * any(w in near for w in AGAINST)
+    near = nearby(text, start, end)
+    value = PRIOR[kind] + STEP * bool(near & NEAR[kind]) - STEP * bool(near & AGAINST)
     return round(min(1.0, max(0.0, value)), 2)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Bank accounts whose check digits fit and numbers of social security with words that say so; none over a base span."""
+    """Bank accounts whose check digits fit and numbers of social security, each as far as the words near it allow; none over a base span."""
     found = [("iban", *m.span()) for m in _IBAN.finditer(text) if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group())]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)] if "-" in text else []
-    return [s for s in found if score(text, *s) >= LEAST and not any(a < s[2] and s[1] < b for _, a, b in base)]
+    if not found:
+        return []
+    taken: list[list[int]] = []  # base spans, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    free = lambda a, b: not (k := bisect_left(starts, b)) or taken[k - 1][1] <= a
+    return [s for s in found if free(s[1], s[2]) and score(text, *s) >= LEAST]
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
@@ -154,4 +181,4 @@ def mask_pii(docs: DataFrame, *, text_col: str = "text", chars_col: str | None =
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents")).drop("scored")
+    return find_pii(table(spark, sf_dir, "documents"))
