@@ -89,22 +89,36 @@ def slug(value: str | Column, joiner: str = "_") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]+", joiner), f"^{joiner}+|{joiner}+$", "")
 
 
+def collapsed(value: str | Column) -> Column:
+    """White space runs as one space, none at the ends; null becomes empty."""
+    return F.trim(F.regexp_replace(F.coalesce(_c(value), F.lit("")), SPACE, " "))
+
+
 def post_key(title: str | Column, organisation: str | Column, most: int = 110) -> Column:
-    """The slug of both, or 97 characters of it and 12 of its hash where it is too long."""
-    full = F.concat_ws(" ", _c(title), _c(organisation))
-    short = slug(full)
-    return F.when(F.length(short) <= most, short).otherwise(F.concat(F.substring(short, 1, 97), F.lit("_"), F.substring(F.sha2(full, 256), 1, 12)))
+    """FN-11: the slug of both in lower case, "post" where nothing is left of it, or 97 characters of it and 12 of the hash where it is too long."""
+    seed = F.replace(F.lower(collapsed(F.concat_ws(" ", collapsed(title), collapsed(organisation)))), F.lit("ß"), F.lit("ss"))
+    short = F.coalesce(F.nullif(slug(seed), F.lit("")), F.lit("post"))
+    head = F.regexp_replace(F.substring(short, 1, 97), "_+$", "")
+    return F.when(F.length(short) <= most, short).otherwise(F.concat(head, F.lit("_"), F.substring(F.sha2(seed, 256), 1, 12)))
+
+
+def _named(value: str | Column) -> Column:
+    return F.regexp_replace(collapsed(value), r"^[ .,:;]+|[ .,:;]+$", "")
 
 
-def canonical_post_name(title: str | Column, unit: str | Column) -> Column:
-    """title without a trailing '- unit' or '– unit', then ' – unit'."""
-    title, unit = F.trim(_c(title)), F.trim(_c(unit))
-    cut = F.length(title) - F.length(unit)
-    bare = F.when(F.endswith(title, unit) & (cut > 0), F.regexp_replace(title.substr(F.lit(1), cut), r"\s*[-–]\s*$", "")).otherwise(title)
-    return F.when(F.length(unit) > 0, F.concat(bare, F.lit(" – "), unit)).otherwise(title)
+def canonical_post_name(title: str | Column, unit: str | Column, previous: str | Column | None = None) -> Column:
+    """FN-12: title without a trailing ' - unit' or ' – unit', in any case, of the previous unit and of this one; then ' – unit'."""
+    title, unit = _named(title), _named(unit)
+    for ending in ([] if previous is None else [F.coalesce(_c(previous), F.lit(""))]) + [unit]:
+        cut = F.length(title) - F.length(ending) - 3
+        tail = F.lower(title.substr(cut + 1, F.length(title)))
+        ends = (F.length(ending) > 0) & (cut >= 0) & (tail == F.lower(F.concat(F.lit(" - "), ending))) | (tail == F.lower(F.concat(F.lit(" – "), ending))) & (F.length(ending) > 0) & (cut >= 0)
+        title = F.when(ends, F.trim(F.substring(title, F.lit(1), cut))).otherwise(title)
+    return F.when(F.length(unit) > 0, F.concat(title, F.lit(" – "), unit)).otherwise(title)
 
 
 def header_key(value: str | Column) -> Column:
+    """FN-13: words of letters and digits, as names are compared by."""
     return F.trim(F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]+", " "))
 
 
@@ -230,9 +244,10 @@ def next_due(last: str | Column, minutes: str | Column) -> Column:
 
 # Predicates (FLT-6, FLT-9, FLT-10, FLT-11)
 
+# The paths that count as critical.
 CRITICAL_EXACT = ("application.start_date", "application.end_date", "application.deadline", "application.last_date", "application.url", "application.apply_url", "eligibility.minimum_age", "eligibility.maximum_age", "eligibility.age_cutoff_date", "vacancies.total")
 CRITICAL_PREFIX = r"^(eligibility\.(age_relaxation|qualification|domicile|experience)|qualification\.|domicile\.|experience\.)"
-CRITICAL_POST = {1: r"^posts\.[a-z0-9_]+\.(vacancies|eligibility|qualification|experience|age)(\.|$)", 2: r"^posts\.[^.]+\.(vacancies|eligibility|qualification|experience|age|application)(\.|$)"}
+CRITICAL_POST = {1: r"^posts\.[0-9]+\.(vacancies|eligibility|qualification|experience|age)(\.|$)", 2: r"^posts\.[^.]+\.(vacancies|eligibility|qualification|experience|age|application)(\.|$)"}
 
 
 def is_critical(path: str | Column, version: int = 1) -> Column:

@@ -184,3 +184,16 @@ def quality_report(docs: DataFrame, headings: DataFrame, structured: DataFrame,
     """EXT-13: by document, its headings (30 at most) and status."""
     h = headings.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_set("heading")), 1, 30).alias("headings"))
     return docs.select(id_col).join(h, id_col, "left").join(structured.select(id_col, "status", "strategy"), id_col, "left")
+
+
+def breakdown_rows(df: DataFrame, id_col: str, json_col: str, depth: int) -> DataFrame:
+    """FN-29: id, path, value of the scalars in a JSON object, as deep as `depth` keys; keys are joined by dots."""
+    level = df.select(id_col, F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
+    found = None
+    for _ in range(depth):
+        entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+        level = level.select(id_col, "path", F.explode(entries).alias("e")).select(id_col, F.concat_ws(".", F.nullif("path", F.lit("")), F.col("e.key")).alias("path"), F.col("e.value").alias("v"))
+        rows = level.where(~F.schema_of_variant("v").startswith("OBJECT")).select(id_col, "path", F.try_variant_get("v", "$", "string").alias("value"))
+        found = rows if found is None else found.unionByName(rows)
+        level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
+    return found

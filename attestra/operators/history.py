@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestra.functions.scalars import canonical_hash, fact_set_hash
+
 
 def classify_observations(observations: DataFrame) -> DataFrame:
     """WIN-5, PIPE-1: adds label: UNCHANGED if the endpoint's URL had this content before, CHANGED if it had other content, else NEW.
@@ -113,3 +115,33 @@ def facts_of(df: DataFrame, subject: str, columns: dict[str, str]) -> DataFrame:
     """subject, path, type, value in long form; columns maps a column to its declared type."""
     rows: list[Column] = [F.struct(F.lit(c).alias("path"), F.lit(k).alias("type"), F.col(c).cast("string").alias("value")) for c, k in columns.items()]
     return df.select(F.col(subject).alias("subject"), F.explode(F.array(*rows)).alias("f")).select("subject", "f.*")
+
+
+def public_jobs(masters: DataFrame, posts: DataFrame) -> DataFrame:
+    """JOIN-17: public_id, master_id, by_post: a master (master_id) is found by its posts (post_id, master_id), or by its own id only if it has none."""
+    by_post = posts.join(masters, "master_id").select(F.col("post_id").alias("public_id"), "master_id", F.lit(True).alias("by_post"))
+    alone = masters.join(posts, "master_id", "left_anti").select(F.col("master_id").alias("public_id"), "master_id", F.lit(False).alias("by_post"))
+    return by_post.unionByName(alone)
+
+
+def published_posts(posts: DataFrame, current: DataFrame, master_posts: DataFrame) -> DataFrame:
+    """JOIN-16: posts (subject, post_key) of subjects with a current master (subject, master_id), which is null where that master lacks the post (master_id, post_key)."""
+    has = master_posts.select(F.col("master_id").alias("has_master"), F.col("post_key").alias("has_post"))
+    found = posts.join(current, "subject").join(has, (F.col("master_id") == F.col("has_master")) & (F.col("post_key") == F.col("has_post")), "left")
+    return found.select("subject", "post_key", F.col("has_master").alias("master_id"))
+
+
+def with_hashes(revisions: DataFrame) -> DataFrame:
+    """FN-1, FN-3, FN-5: revisions (subject, status, priority, excerpt, facts) with input_hash, evidence_hash, fact_set and facts_total."""
+    return revisions.select(
+        "subject", "facts", canonical_hash(F.col("status"), F.col("priority")).alias("input_hash"), canonical_hash(F.col("subject"), F.col("excerpt")).alias("evidence_hash"),
+        fact_set_hash(F.col("facts")).alias("fact_set"), F.greatest(F.coalesce(F.size("facts"), F.lit(0)), F.lit(0)).alias("facts_total"),
+    )
+
+
+def hash_violations(stored: DataFrame, anew: DataFrame) -> DataFrame:
+    """PIPE-15, FN-2: subject and violation of each stored hash or count that differs from the one computed anew."""
+    checks = {"INPUT_HASH": "input_hash", "EVIDENCE_HASH": "evidence_hash", "FACT_SET": "fact_set", "FACTS": "facts_total"}
+    j = stored.alias("s").join(anew.alias("n"), "subject")
+    broken = F.array_compact(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(v)) for v, c in checks.items()]))
+    return j.select("subject", F.explode(broken).alias("violation"))

@@ -181,3 +181,14 @@ def evaluate_eligibility(profiles: DataFrame, rules: DataFrame, region: str) ->
         domicile_outcome(F.col("domicile"), F.col("lives_there"), region).alias("domicile"), experience_outcome(F.col("months"), F.col("years"), F.col("experience"), F.col("experience_months")).alias("experience"),
     )
     return out.withColumn("outcome", overall(*map(F.col, ("age", "qualification", "domicile", "experience"))))
+
+
+def detail_results(jobs: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
+    """PIPE-18, JOIN-1: job_id, sources, result: a job with a source that is missing or of another authority isn't shown.
+
+    jobs: job_id, authority; links: job_id, source_id; sources: source_id, source_authority.
+    """
+    j = links.join(jobs, "job_id").join(sources, "source_id", "left")
+    own = F.bool_and(F.col("source_authority") == F.col("authority"))
+    out = j.groupBy("job_id").agg(F.count(F.lit(1)).alias("sources"), F.bool_or(F.col("source_authority").isNull()).alias("missing"), own.alias("own"))
+    return out.select("job_id", "sources", F.when(F.col("missing"), "SOURCE_MISSING").when(~F.col("own"), "OTHER_AUTHORITY").otherwise("SHOWN").alias("result"))

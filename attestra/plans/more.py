@@ -162,13 +162,13 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.extract_links(B.t(spark, sf_dir, "pages")).select("page_id", "block_no", "href", "link_text")
 
 
-@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(range(0, len(string_split(text[1:120000], chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text[1:120000], chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> ''""")
+@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> ''""")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-4."""
     return E.document_lines(B.t(spark, sf_dir, "documents"))
 
 
-_LINES = r"""WITH l AS (SELECT doc_id, i AS line_no, line FROM (SELECT doc_id, unnest(range(0, len(string_split(text[1:120000], chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text[1:120000], chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> ''),
+_LINES = r"""WITH l AS (SELECT doc_id, i AS line_no, line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> ''),
 s AS (SELECT *, length(line) < 25 AS h, sum((length(line) < 25)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM l) """
 
 
