@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """cut_lineage by a Parquet table in that folder: the planner knows its size, and nothing of what df was made from stays in later plans."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of one key that a task joins before the key is dealt out further, and keys that are dealt out at most: no other key has more than a ten-thousandth of all rows.
+HOT_ROWS, MOST_HOT = 256, 10_000
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """key, salts of the keys in counts (key, n) with more than `rows` rows: the MOST_HOT largest, so that they can be broadcast."""
+    top = counts.where(F.col("n") > rows).orderBy(F.desc("n"), key).limit(MOST_HOT)
+    return F.broadcast(top.select(key, F.ceil(F.col("n") / rows).cast("int").alias("salts")))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], *, counts: DataFrame | None = None, how: str = "inner", rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right, which has at most one row for each key; hot keys of left lie in several tasks, by a hash of its columns `by`.
+
+    counts (key, n) says how many rows of left a key has; it is counted unless given.
+    """
+    hot = hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts, key, rows)
+    salts = F.coalesce("salts", F.lit(1))
+    many = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("salts")
+    one = right.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return many.join(one, [key, "salt"], how).drop("salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, key: str, by: list[str], n: str, *, rows: int = HOT_ROWS) -> DataFrame:
+    """spread_join where every row of either side says in column n how many rows of left its key has; right's column n is dropped."""
+    salts = F.ceil(F.col(n) / rows).cast("int")
+    many = left.withColumn("salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
+    one = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(n)
+    return many.join(one, [key, "salt"]).drop("salt")
+
+
 def columns_of(df: DataFrame, **names: str | Column) -> DataFrame:
     """df with exactly these columns, so that other columns of the input can't clash with results."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(k) for k, c in names.items()])
