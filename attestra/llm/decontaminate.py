@@ -1,7 +1,10 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items.
 
-A text is scanned once. Hits are found in the normalised text and mapped back to words and to
-code points of the original.
+The automaton holds each item's words in pieces that don't overlap, short enough that every window
+of the item contains a whole piece. A text is scanned once; where a piece occurs, its item is
+followed to both sides as far as the words agree, and a run as long as a window is a hit. So the
+automaton is as large as the benchmark and not as all its windows. Hits are found in the normalised
+text and mapped back to words and to code points of the original.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -20,8 +23,8 @@ from .common import beside, columns_of, cut_lineage, map_batches, restored, tabl
 
 #: Words of a benchmark window.
 WINDOW = 13
-#: Benchmark bytes that one automaton holds (about 80 trie nodes a word); more are scanned in blocks.
-BLOCK_BYTES = 400_000
+#: Benchmark bytes that one automaton holds (about one trie node each, some 60 bytes); a larger benchmark is scanned in blocks, with the same result.
+BLOCK_BYTES = 6_000_000
 
 _SPACE = 0x20
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else _SPACE for c in range(256))
@@ -32,25 +35,40 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_KEEP).split() if text else []
 
 
-def windows(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> dict[str, tuple[int, tuple[str, ...]]]:
-    """Normalised window -> (its words, the items that have it). Bytes are written as Latin-1 characters."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            part = w[i : i + size]
-            found.setdefault(f" {b' '.join(part).decode('latin-1')} ", (len(part), set()))[1].update([item] if item is not None else [])
-    return {k: (n, tuple(sorted(ids))) for k, (n, ids) in found.items()}
+@dataclass(frozen=True)
+class Pieces:
+    """items: (id, words) of each item. The automaton's value of a piece is (its words, [(item's number, the piece's place in it)])."""
 
+    items: list[tuple[str | None, list[bytes]]]
+    size: int
+    automaton: ahocorasick.Automaton | None
 
-@lru_cache(maxsize=1)
-def automaton(items: tuple[tuple[str | None, str | None], ...], size: int) -> ahocorasick.Automaton | None:
-    out = ahocorasick.Automaton()
-    for pattern, value in windows(list(items), size).items():
-        out.add_word(pattern, value)
-    if len(out):
-        out.make_automaton()
-    return out if len(out) else None
+    @classmethod
+    def of(cls, benchmark: tuple[tuple[str | None, str | None], ...], size: int) -> Pieces:
+        items = [(item, w) for item, text in benchmark if (w := words(text))]
+        found: dict[str, tuple[int, list[tuple[int, int]]]] = {}
+        for number, (_, w) in enumerate(items):
+            # A window of `size` words that begins anywhere has a multiple of `step` among its first `step` places.
+            step = (size + 1) // 2 if len(w) >= size else len(w)
+            for at in range(0, len(w) - step + 1, step):
+                key = f" {b' '.join(w[at : at + step]).decode('latin-1')} "
+                found.setdefault(key, (step, []))[1].append((number, at))
+        out = ahocorasick.Automaton()
+        for key, value in found.items():
+            out.add_word(key, value)
+        if found:
+            out.make_automaton()
+        return cls(items, size, out if found else None)
+
+
+_BUILT: list[tuple[object, int, Pieces]] = []
+
+
+def pieces(benchmark: tuple[tuple[str | None, str | None], ...], size: int) -> Pieces:
+    """A worker's last automaton, while it is asked for the same broadcast value."""
+    if not (_BUILT and _BUILT[0][0] is benchmark and _BUILT[0][1] == size):
+        _BUILT[:] = [(benchmark, size, Pieces.of(benchmark, size))]
+    return _BUILT[0][2]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,18 +82,38 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan(text: str | None, machine: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: str | None, bench: Pieces) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(words, hit word ranges, items with an occurring window) of one text."""
     w = words(text)
-    if not w or machine is None:
+    if not w or bench.automaton is None:
         return len(w), [], set()
     joined = b" ".join(w)
-    ends = [(end, n, ids) for end, (n, ids) in machine.iter(f" {joined.decode('latin-1')} ")]
+    ends = list(bench.automaton.iter(f" {joined.decode('latin-1')} "))
     if not ends:
         return len(w), [], set()
     gaps = np.flatnonzero(np.frombuffer(b" " + joined + b" ", np.uint8) == _SPACE)
-    last = np.searchsorted(gaps, [e for e, _, _ in ends]) - 1
-    return len(w), merged([(int(k) - n + 1, int(k)) for k, (_, n, _) in zip(last, ends)]), {i for _, _, ids in ends for i in ids}
+    last = np.searchsorted(gaps, [e for e, _ in ends]) - 1
+    hits: list[tuple[int, int]] = []
+    met: set[int] = set()
+    first, stop = 0, 0  # the range of hit words that was joined last
+    followed: dict[tuple[int, int], int] = {}  # up to which word an item is known to agree, or not to, for each place that it would begin at
+    for k, (_, (n, places)) in zip(last.tolist(), ends):
+        at = k - n + 1
+        for number, place in places:
+            item, begins = bench.items[number][1], at - place
+            if followed.get((number, begins), -1) >= at + n or (number in met and first <= max(begins, 0) and begins + len(item) <= stop):
+                continue
+            a, b, low, high = at, at + n, max(begins, 0), min(begins + len(item), len(w))
+            while a > low and w[a - 1] == item[a - 1 - begins]:
+                a -= 1
+            while b < high and w[b] == item[b - begins]:
+                b += 1
+            followed[number, begins] = b
+            if b - a >= min(bench.size, len(item)):
+                hits.append((a, b - 1))
+                met.add(number)
+                first, stop = (min(a, first), max(b, stop)) if a <= stop and b >= first and stop else (a, b)
+    return len(w), merged(hits), {i for number in met if (i := bench.items[number][0]) is not None}
 
 
 def spans_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,8 +134,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Empty tables give an empty result or no hits. Only the named columns are read.
 
     The benchmark is the query set: it is read in blocks of about block_bytes, each of which is
-    broadcast and scanned against all documents. Between blocks the state is written to the
-    shared checkpoint folder.
+    broadcast and scanned against all documents; one block is the rule. Between blocks the state is
+    written to the shared checkpoint folder.
     """
     items = columns_of(benchmark, item=benchmark[item_col].cast("string"), text=item_text_col).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
@@ -109,8 +147,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         held = docs.sparkSession.sparkContext.broadcast(tuple((r["item"], r["text"]) for r in of_block.collect()))
 
         def run(x: dict[str, list], held=held) -> dict[str, list]:
-            machine = automaton(held.value, size)
-            found = [scan(t, machine) for t in x["text"]]
+            bench = pieces(held.value, size)
+            found = [scan(t, bench) for t in x["text"]]
             if "hits" in x:
                 found = [(n, merged([*h, *((r["first"], r["last"]) for r in old)]), ids | set(was)) for (n, h, ids), old, was in zip(found, x["hits"], x["items"])]
             return {"id": x["id"], "text": x["text"], "n_words": [n for n, _, _ in found], "hits": [[{"first": a, "last": b} for a, b in h] for _, h, _ in found], "items": [sorted(ids) for _, _, ids in found]}
