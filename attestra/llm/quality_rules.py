@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, table
 
-#: Hash buckets of words and word pairs, together. Their ratios (32-bit integers) go to the tasks, whatever the corpus.
-BUCKETS = 1 << 15
+#: Hash buckets of words and word pairs, together: a power of two, this many at least, and as many as BUCKETS_A_ROOT times the square root of the corpus's bytes.
+BUCKETS, BUCKETS_A_ROOT = 1 << 15, 5
 #: Thousandths of a nat, as which ratios are stored: sums are then exact and the same in any order.
 UNIT = 1000
 #: Nats for each n-gram; a document below this reads less like the trusted ones than like the others.
@@ -52,29 +52,37 @@ def _but_last(array: str, short: int) -> Column:
 
 
 def _hashes(df: DataFrame) -> DataFrame:
-    """id, text, lines (those with a word), n (words), h (a hash of each word) and p (one of each pair of neighbours)."""
+    """id, text, w (words), lines (those with a word), n (number of words), h (a hash of each word) and p (one of each pair of neighbours)."""
     t = F.coalesce("text", F.lit(""))
     out = df.select("id", t.alias("text"), words(t).alias("w"), _lines(t).alias("lines"))
-    out = out.select("id", "text", "lines", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    out = out.select("id", "text", "w", "lines", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     return out.withColumn("p", F.zip_with(_but_last("h", 1), _from("h", 2), lambda a, b: F.xxhash64(a, b)))
 
 
+def _beside_equal(items: str, same: str) -> Column:
+    """The items of a sorted array that equal a neighbour, where same[i] says whether items i and i + 1 are equal."""
+    return F.filter(items, lambda x, i: F.coalesce(F.get(same, i), F.lit(False)) | F.coalesce(F.get(same, i - 1), F.lit(False)))
+
+
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside a 3-word window that occurs twice or more.
 
-    Only where windows repeat at all, a window's hash, shifted left, and its position share one long
-    integer, so that equal windows are neighbours once sorted. At least 43 bits of hash remain for a
-    million words, 54 for a thousand.
+    Only where windows repeat at all, the lower bits of a window's hash and its position share one
+    long integer, so that windows which may be equal are neighbours once sorted. Those alone are
+    sorted again by their whole hash and their words, which decide: the number is exact.
     """
-    none = F.array().cast("array<bigint>")
+    none, nothing = F.array().cast("array<bigint>"), F.expr("cast(array() as array<struct<h:bigint,words:array<string>,at:bigint>>)")
     out = df.withColumn("t", F.zip_with(_but_last("p", 1), _from("h", 3), lambda a, b: F.xxhash64(a, b)))
     out = out.withColumn("bits", F.when(F.size(F.array_distinct("t")) < F.size("t"), F.length(F.bin(F.col("n")))).otherwise(F.lit(0)))
     marked = F.sort_array(F.transform("t", lambda x, i: _shift(x, F.col("bits")).bitwiseOR(i.cast("long"))))
     out = out.withColumn("m", F.when(F.col("bits") > 0, marked).otherwise(none))
     out = out.withColumn("same", F.zip_with(_but_last("m", 1), _from("m", 2), lambda a, b: _unshift(a, F.col("bits")) == _unshift(b, F.col("bits"))))
-    at = F.filter("m", lambda x, i: F.coalesce(F.get("same", i), F.lit(False)) | F.coalesce(F.get("same", i - 1), F.lit(False)))
-    at = F.sort_array(F.transform(at, lambda x: x.bitwiseAND(F.expr("shiftleft(1L, bits) - 1"))))
-    out = out.withColumn("at", F.when(F.array_contains("same", True), at).otherwise(none))
+    places = F.transform(_beside_equal("m", "same"), lambda x: x.bitwiseAND(F.expr("shiftleft(1L, bits) - 1")))
+    out = out.withColumn("maybe", F.when(F.array_contains("same", True), places).otherwise(none))
+    whole = F.sort_array(F.transform("maybe", lambda i: F.struct(F.get("t", i.cast("int")).alias("h"), F.slice("w", i.cast("int") + 1, F.lit(3)).alias("words"), i.alias("at"))))
+    out = out.withColumn("m", F.when(F.size("maybe") > 0, whole).otherwise(nothing))
+    out = out.withColumn("same", F.zip_with(_but_last("m", 1), _from("m", 2), lambda a, b: (a["h"] == b["h"]) & (a["words"] == b["words"])))
+    out = out.withColumn("at", F.sort_array(F.transform(_beside_equal("m", "same"), lambda x: x["at"])))
     gaps = F.zip_with(_but_last("at", 1), _from("at", 2), lambda a, b: F.least(b - a, F.lit(3)))
     return out.withColumn("n_repeat_words", F.when(F.size("at") > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long")))
 
@@ -104,20 +112,29 @@ def trusted_by_rule() -> Column:
     return (n >= 50) & (100 * symbols <= n) & (20 * shouts <= n) & (100 * F.size(F.array_distinct("h")) >= 35 * n) & (F.size("lines") == F.size(F.array_distinct("lines")))
 
 
-def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: int = BUCKETS) -> list[int]:
+def buckets_for(docs: DataFrame) -> int:
+    """How many buckets the texts of docs (id, text) get: distinct n-grams grow with a corpus, and so do the statistics about them."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return max(BUCKETS, 1 << math.ceil(math.log2(max(1.0, BUCKETS_A_ROOT * math.sqrt(size)))))
+
+
+def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: int | None = None) -> list[int]:
     """For each bucket, the log of its share among trusted documents over its share among all, in thousandths.
 
     docs has id and text; trusted is a condition on text, lines and n (the number of words). All
-    documents are counted, each n-gram first within its task. Only counts of `buckets` buckets reach the driver.
+    documents are counted, each n-gram first within its task. What reaches the driver is one line
+    with the counts of the buckets, which grow with the square root of the corpus.
     """
+    buckets = buckets_for(docs) if buckets is None else buckets
     of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).alias("trusted"), F.concat("h", "p").alias("g"))
     bucket = F.pmod("x", F.lit(buckets)).cast("int") + F.when(F.col("trusted"), F.lit(buckets)).otherwise(F.lit(0))
     counted = of.select("trusted", F.explode("g").alias("x")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    line = counted.agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "b", "n"))).alias("line")).first()["line"]
     target, raw = [0] * buckets, [0] * buckets
-    for r in counted.collect():
-        raw[r["b"] % buckets] += r["n"]
-        if r["b"] >= buckets:
-            target[r["b"] - buckets] = r["n"]
+    for b, n in (map(int, x.split(":")) for x in line.split(",") if x):
+        raw[b % buckets] += n
+        if b >= buckets:
+            target[b - buckets] = n
     shift = math.log((SMOOTHING * buckets + sum(raw)) / (SMOOTHING * buckets + sum(target)))
     return [round(UNIT * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + shift)) for t, r in zip(target, raw)]
 
