@@ -55,13 +55,14 @@ def training_labels(labels: DataFrame, id_col: str, label_col: str, most: int) -
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> trees.Trees:
-    """Trees fitted on at most `labelled` rows with labels that are not held out. Only those rows' statistics reach the driver."""
+    """Trees fitted on at most `labelled` ids with labels that are not held out; of rows that repeat an id, one counts. Only those rows' statistics reach the driver."""
     rows = columns_of(docs, id=id_col, text=text_col).join(F.broadcast(training_labels(labels, id_col, label_col, labelled)), "id")
 
     def run(x: dict[str, list]) -> dict[str, list]:
         return {"id": x["id"], "y": x["y"], "x": [statistics(t) for t in x["text"]]}
 
-    got = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>").collect()
+    each = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>")
+    got = each.groupBy("id").agg(F.max("y").alias("y"), F.min("x").alias("x")).collect()
     got.sort(key=lambda r: (r["id"], r["x"]))
     return trees.fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], float))
 

@@ -177,7 +177,7 @@ def labelled(spark, n=600):
 @pytest.mark.parametrize("label", ["quality", "toxic"])
 def test_classifiers_on_held_out_rows(spark, label):
     docs, labels = labelled(spark)
-    score = (lambda: quality_model.score_quality(docs, quality_model.fit_quality(docs, labels))) if label == "quality" else (lambda: toxicity.score_toxicity(docs, labels))
+    score = (lambda: quality_model.score_quality(docs, quality_model.fit_quality(docs, labels))) if label == "quality" else (lambda: toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)))
     out = score().join(labels, "doc_id").where("held_out").collect()
     assert len(out) > 20 and sum(r["predicted"] == r[label] for r in out) / len(out) > 0.95
     assert got(score(), "doc_id", "score") == got(score(), "doc_id", "score")
@@ -185,10 +185,10 @@ def test_classifiers_on_held_out_rows(spark, label):
 
 def test_classifiers_on_odd_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for out in (quality_model.score_quality(docs, quality_model.fit_quality(docs, none)), toxicity.score_toxicity(docs, none)):
+    for out in (quality_model.score_quality(docs, quality_model.fit_quality(docs, none)), toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none))):
         rows = out.collect()
         assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.score_toxicity(empty, none).count() == 0
+    assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, none)).count() == 0
     assert quality_model.score_quality(empty, quality_model.fit_quality(empty, none)).count() == 0
 
 
