@@ -88,9 +88,9 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def capped_by(df: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
-    """SORT-8: at most cap rows of a key, and whether the key had more."""
-    w = Window.partitionBy(key)
-    return df.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("exceeded", F.count(F.lit(1)).over(w) > cap).where(F.col("nth") <= cap)
+    """SORT-8: at most cap rows of a key, and whether the key had more. Rows are counted by aggregate, and the window keeps cap rows of a key in each task before it shuffles."""
+    top = df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= cap)
+    return top.join(df.groupBy(key).agg((F.count(F.lit(1)) > cap).alias("exceeded")), key)
 
 
 def sections(fields: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -127,16 +127,20 @@ def age_outcome(age: Column, low: Column, high: Column, category: Column, relaxa
 
 
 def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """JOIN-13, the age rule of PIPE-19 alone: by profile and bound, how many rules' outcomes there are.
+    """JOIN-13, the age rule of PIPE-19 alone: by profile, how many rules' outcomes there are.
 
-    Rules are first summed by their bounds: there are as many as there are whole-year bounds, so
-    profiles meet distinct bounds and not jobs. profiles: profile_id, age, category; rules: low, high, relaxation.
+    Profiles are first reduced to distinct ages and categories, rules to distinct bounds with their
+    number. These few meet, and profiles take their counts by an equi-join. profiles: profile_id, age,
+    category; rules: low, high, relaxation.
     """
     bounds = rules.groupBy("low", "high", "relaxation").agg(F.count(F.lit(1)).alias("jobs"))
-    packed = bounds.agg(F.collect_list(F.struct("low", "high", "relaxation", "jobs")).alias("b"))
-    each = profiles.join(F.broadcast(packed), F.lit(True)).select("profile_id", "age", "category", F.explode("b").alias("r"))
+    packed = bounds.agg(F.collect_list(F.struct("low", "high", "relaxation", "jobs")).alias("b"))  # whole years: one row
+    each = profiles.select("age", "category").distinct().join(packed, F.lit(True)).select("age", "category", F.explode("b").alias("r"))
     outcome = age_outcome(F.col("age"), F.col("r.low"), F.col("r.high"), F.col("category"), F.col("r.relaxation"))
-    return each.select("profile_id", outcome.alias("outcome"), F.col("r.jobs").alias("jobs")).groupBy("profile_id").agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == s, F.col("jobs"))), F.lit(0)).alias(s.lower()) for s in SEVERITY])
+    counts = [F.coalesce(F.sum(F.when(F.col("outcome") == s, F.col("jobs"))), F.lit(0)).alias(s.lower()) for s in SEVERITY]
+    told = each.select("age", "category", outcome.alias("outcome"), F.col("r.jobs").alias("jobs")).groupBy("age", "category").agg(*counts)
+    same = profiles["age"].eqNullSafe(told["age"]) & profiles["category"].eqNullSafe(told["category"])
+    return profiles.join(told, same).select("profile_id", *[s.lower() for s in SEVERITY])
 
 
 def qualification_outcome(required: Column, kind: Column, held: Column) -> Column:

@@ -213,7 +213,7 @@ def name_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12."""
     c, n = B.t(spark, sf_dir, "customer"), B.t(spark, sf_dir, "nation")
     left = F.concat(F.col("c_mktsegment"), F.lit(" office"))
-    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("a"), F.col("n_nationkey").alias("b"), E.token_overlap(left, F.lit("Office of building works")).alias("overlap"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("a"), F.col("n_nationkey").alias("b"), E.token_overlap(left, F.lit("Office of building works")).alias("overlap"))
 
 
 # Sources

@@ -1,7 +1,7 @@
 """All registered queries of the library."""
 
-from . import core, detail, more
+from . import core, detail, more, streams
 
-MODULES = (core, more, detail)
+MODULES = (core, more, detail, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

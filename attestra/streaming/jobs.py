@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Labels(StatefulProcessor):
-    """What an endpoint's URL has shown so far: one entry of state for each content hash."""
+    """What an endpoint's URL has shown so far: one entry of state for each content hash, as long as ttl_ms says."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "content_hash string", "n long")
+        self.seen = handle.getMapState("seen", "content_hash string", "n long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for df in rows:
-            out = []
-            for _, r in df.sort_values(["observed_at", "observation_id"]).iterrows():
-                h = (r["content_hash"],)
-                label = "UNCHANGED" if self.seen.containsKey(h) else "CHANGED" if self.seen.exists() else "NEW"
-                self.seen.updateValue(h, (1,))
-                out.append((int(r["observation_id"]), label))
-            yield pd.DataFrame(out, columns=["observation_id", "label"])
+        df = pd.concat(rows).sort_values(["observed_at", "observation_id"])
+        first = ~df["content_hash"].duplicated()
+        hashes = df.loc[first, "content_hash"]
+        fresh = {h for h in hashes if not self.seen.containsKey((h,))}
+        label = np.where(first & df["content_hash"].isin(fresh), "CHANGED", "UNCHANGED")
+        if not self.seen.exists():
+            label[0] = "NEW"
+        for h in hashes:
+            self.seen.updateValue((h,), (1,))
+        yield pd.DataFrame({"observation_id": df["observation_id"].to_numpy(), "label": label})
 
     def close(self) -> None:
         pass
 
 
-def label_observations(stream: DataFrame) -> DataFrame:
-    """STR-1: NEW, CHANGED or UNCHANGED as observations arrive, by endpoint and URL. Needs the RocksDB state store. Twin: classify_observations."""
-    return stream.groupBy("endpoint_id", "url").transformWithStateInPandas(_Labels(), "observation_id long, label string", "Append", "None")
+def label_observations(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """STR-1: NEW, CHANGED or UNCHANGED as observations arrive, by endpoint and URL. Needs the RocksDB state store. Twin: classify_observations.
+
+    With ttl_ms, content that wasn't seen for so long is forgotten, which bounds the state.
+    """
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return stream.groupBy("endpoint_id", "url").transformWithStateInPandas(_Labels(ttl_ms), "observation_id long, label string", "Append", mode)
 
 
 def stale_runs(stream: DataFrame, minutes: int = 60) -> DataFrame:
@@ -57,16 +69,27 @@ def request_counts(requests: DataFrame, limit: int = 120, window: str = "60 seco
 
 
 def append_each_batch(stream: DataFrame, operator, path: str, keys: list[str], checkpoint: str):
-    """STR-5: runs a batch operator on every micro-batch and appends rows whose key is new; a replayed batch adds nothing."""
+    """STR-5: runs a batch operator on every micro-batch and adds rows whose key is new; a replayed batch replaces what it wrote before.
+
+    Each batch writes a folder of its own, named by the checkpoint and the epoch, and looks up its keys in all other folders.
+    """
+    spark = stream.sparkSession
+    empty = operator(spark.createDataFrame([], stream.schema))
+    empty.write.mode("overwrite").parquet(f"{path}/batch=none")
+    schema = StructType([*empty.schema.fields, StructField("batch", StringType())])
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = operator(batch).dropDuplicates(keys)
-        try:
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("append").parquet(path)
+        mine = f"{name}_{epoch}"
+        known = batch.sparkSession.read.schema(schema).option("basePath", path).parquet(path).where(F.col("batch") != mine).select(*keys)
+        new = operator(batch).dropDuplicates(keys).join(known, keys, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={mine}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """What the stream appends for all that is there now, as files in the folder."""
+    rows = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    rows.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
