@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,18 @@ def columns_of(df: DataFrame, **names: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(k) for k, c in names.items()])
 
 
+def clear_of(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span (start, end) overlaps none of these, found by bisection."""
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    starts = [a for a, _ in joined]
+    return lambda a, b: not (k := bisect_left(starts, b)) or joined[k - 1][1] <= a
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType) -> DataFrame:
     """Applies fn to small batches of df: {column: values} to {column: values}, in Python tasks over Arrow."""
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, map_batches, table
+from .common import clear_of, columns_of, map_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to the base ones; their order follows.
@@ -109,14 +108,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)] if "-" in text else []
     if not found:
         return []
-    taken: list[list[int]] = []  # base spans, joined where they overlap
-    for a, b in sorted((a, b) for _, a, b in base):
-        if taken and a <= taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], b)
-        else:
-            taken.append([a, b])
-    starts = [a for a, _ in taken]
-    free = lambda a, b: not (k := bisect_left(starts, b)) or taken[k - 1][1] <= a
+    free = clear_of((a, b) for _, a, b in base)
     return [s for s in found if free(s[1], s[2]) and score(text, *s) >= LEAST]
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut_lineage, map_batches, table
+from .common import clear_of, columns_of, cut_lineage, map_batches, spread_join, table
 
 KINDS = ("assign", "access", "hex")
 #: The kind that the method adds: tokens of high entropy that few owners have.
@@ -54,10 +54,10 @@ def added_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[
     """Dense tokens that are no base span: letters of both cases and digits, of high entropy."""
     if not _WORD24.search(text.encode()):
         return []
-    out = []
+    out, free = [], clear_of((a, b) for _, a, b, _ in base)
     for m in _DENSE.finditer(text):
         v = m.group()
-        if any(c.islower() for c in v) and any(c.isupper() for c in v) and entropy(v) >= LEAST_BITS and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+        if any(c.islower() for c in v) and any(c.isupper() for c in v) and entropy(v) >= LEAST_BITS and free(*m.span()):
             out.append((ADDED, *m.span(), v))
     return out
 
@@ -104,7 +104,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no spans, and a null owner counts as none. Repeated rows give repeated
     results, an empty table an empty one; only the named columns are read. Texts are read once, and
     what was found (no text) is written to the shared checkpoint folder. Rows without candidates are
-    never shuffled; equal rows are told apart by number only, so any row order gives the same.
+    never shuffled; the places of a widely copied value meet its counts in several tasks; equal rows are told apart by number only, so any row order gives the same.
     """
     rows = cut_lineage(candidates(docs, id_col, text_col, owner_col))
     some = rows.where(F.size("found") > 0)
@@ -112,7 +112,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each = some.select(*key, F.size("found").alias("of"), F.explode("found").alias("c")).select(*key, "of", "c.*")
     stats = ownership(each.select("value", "owner", "id"))
     is_live = (F.col("owners") < owners) & (F.col("repositories") < repositories)
-    judged = each.join(stats, "value").select(*key, "of", "kind", "start", "end", is_live.alias("looks_live"))
+    judged = spread_join(each, stats, "value", ["print", "start"]).select(*key, "of", "kind", "start", "end", is_live.alias("looks_live"))
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
     # Equal rows fall into one group and hold `of` candidates each; the group is written out as often as there were rows.
     spans = judged.groupBy(*key, "of").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.struct("start", order.alias("k"), "end", "kind", "looks_live"))).alias("s"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import regex
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, map_batches, table
 
-#: Merged pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Merged pre-tokens that a worker remembers before it starts anew, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 
-#: Texts of these characters only are cut into pre-tokens here; the library encodes the others whole.
+#: Words of these characters only are cut into pre-tokens here; the library encodes the others, each on its own.
 #: In this range lower case is a matter of single characters, and canonical composition changes nothing.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-›€]")
 #: Fixed value: the vocabulary's own rule for pre-tokens.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPACE = re.compile("[ \t\n\r]+")
 
 
 def whole_tokens(definition: str) -> frozenset[str]:
@@ -62,15 +64,25 @@ class Counter(dict):
         if len(self) > len(self.whole) + REMEMBERED:
             self.clear()
             self.update(self.whole)
-        self[pre_token] = n = len(self.library.encode(pre_token, add_special_tokens=False).ids)
+        n = len(self.library.encode(pre_token, add_special_tokens=False).ids)
+        if len(pre_token) <= LONGEST:
+            self[pre_token] = n
         return n
 
+    def parts(self, text: str) -> Iterator[str]:
+        """What is counted on its own: a plain text's pre-tokens; of another one its words, cut into pre-tokens where they are plain. No token spans white space."""
+        for word in _SPACE.split(text) if _PLAIN.search(text) else (text,):
+            if _PLAIN.search(word):
+                yield word
+            else:
+                yield from _PRE_TOKEN.findall(word.lower())
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if _PLAIN.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+        return sum(map(self.__getitem__, self.parts(text)))
 
 
 @lru_cache(maxsize=1)
