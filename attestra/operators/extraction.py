@@ -180,9 +180,10 @@ def ambiguity_fact(ambiguities: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return ambiguities.groupBy(id_col).agg(F.to_json(F.array_sort(F.collect_set("message"))).alias("value")).withColumn("path", F.lit("extraction.ambiguities"))
 
 
-def quality_report(docs: DataFrame, headings: DataFrame, structured: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """EXT-13: by document, its headings (30 at most) and status."""
-    h = headings.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_set("heading")), 1, 30).alias("headings"))
+def quality_report(docs: DataFrame, headings: DataFrame, structured: DataFrame, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
+    """EXT-13: by document, its headings (all, or `most` of them) and status."""
+    told = F.array_sort(F.collect_set("heading"))
+    h = headings.groupBy(id_col).agg((told if most is None else F.slice(told, 1, most)).alias("headings"))
     return docs.select(id_col).join(h, id_col, "left").join(structured.select(id_col, "status", "strategy"), id_col, "left")
 
 

@@ -11,9 +11,11 @@ from attestra.operators import history as H
 from attestra.operators import postings as N
 from attestra.operators import serving as P
 from attestra.operators import verification as V
+from attestra.sources import tables as T
 
 from . import bindings as B
 from .core import COUNTS_SQL, verified
+from .streams import folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -346,3 +348,69 @@ def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = B.t(spark, sf_dir, "orders")
     body = F.struct(F.struct(F.col("o_orderstatus").alias("men"), F.struct(F.col("o_orderpriority").alias("total")).alias("women")).alias("OBC"), F.col("o_custkey").alias("UR"))
     return E.breakdown_rows(o.select(F.col("o_orderkey").alias("id"), F.to_json(body).alias("json")), "id", "json", depth=4)
+
+
+# Sources: files are written under the shared folder first, and read as a source
+
+
+@query("SELECT s_name || ' ' || s_suppkey AS text FROM supplier WHERE contains(s_name, '7')")
+def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2: a JSON feed for each nation's suppliers, of which the rows with a term are kept."""
+    into = folder(spark, "feed")
+    rows = B.t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct("s_name", "s_suppkey")).alias("result"))
+    rows.select("s_nationkey", F.to_json(F.struct("result")).alias("value")).write.partitionBy("s_nationkey").text(into)
+    return T.scan_json_feed(spark, into, ["7"]).select("text").where(F.regexp_extract("text", r"^(\S+)", 1).contains("7"))
+
+
+@query("""SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","none":null}' AS value FROM customer""")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7: customers as JSON lines with sorted keys, read again as text."""
+    into = folder(spark, "lines")
+    T.write_json_lines(B.t(spark, sf_dir, "customer").select(F.lit(None).cast("string").alias("none"), "c_mktsegment", "c_custkey"), into)
+    return spark.read.text(into)
+
+
+@query("""SELECT source, sha256(text) AS sha, count(*) AS rows FROM documents WHERE text IS NOT NULL GROUP BY 1, 2""")
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-1: the sink: contents land once by source and hash, and are read again beside how often they came."""
+    into = folder(spark, "raw")
+    files = B.t(spark, sf_dir, "documents").where("text is not null").select("source", F.col("text").cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"))
+    T.write_raw(T.land_raw(files), into)
+    landed = spark.read.parquet(into).select(F.col("source").cast("string").alias("source"), "sha")
+    return landed.join(files.groupBy("source", F.sha2("content", 256).alias("sha")).agg(F.count(F.lit(1)).alias("rows")), ["source", "sha"])
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN 'short text' END AS a, CASE WHEN lang <> 'en' THEN 'other language' END AS b FROM documents)
+SELECT doc_id, '["' || concat_ws('","', b, a) || '"]' AS value, 'extraction.ambiguities' AS path FROM s WHERE a IS NOT NULL OR b IS NOT NULL""")
+def ambiguity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-12: all ambiguities of a document as one fact."""
+    d = B.t(spark, sf_dir, "documents")
+    found = F.array_compact(F.array(F.when(F.col("n_chars") < 300, "short text"), F.when(F.col("lang") != "en", "other language")))
+    return E.ambiguity_fact(d.select("doc_id", F.explode(found).alias("message")))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'posts.k.vacancies' WHEN '2-HIGH' THEN 'posts.k.pay.scale' ELSE o_orderpriority END AS path FROM orders""")
+def rekeyed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-15, FN-16: a post's paths by their alias; others stay."""
+    aliases = {"1-URGENT": "vacancies", "2-HIGH": "pay.scale"}
+    return B.t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), E.rekeyed(F.col("o_orderpriority"), aliases, "posts.k.").alias("path"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)),
+s AS (SELECT *, sum((length(line) < 25)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM l WHERE line <> ''),
+f AS (SELECT doc_id, section_no, trim(regexp_replace(line, '^\s*(?:[-*•]|\(?(?:\d{1,2}|[ivxIVX]{1,5}|[a-zA-Z])[.)])\s+', '')) AS line, min(i) AS i FROM s WHERE length(line) >= 25 GROUP BY 1, 2, 3)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, CAST(row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i) - 1 AS INTEGER) AS item_no, line AS item FROM f""")
+def section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-8, SET-7, FN-17: the distinct lines of each section, in order."""
+    lines = E.document_lines(B.t(spark, sf_dir, "documents"))
+    return E.section_items(E.sections(lines, F.length("line") < 25))
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents)
+SELECT d.doc_id, (SELECT count(DISTINCT line) FROM l WHERE l.doc_id = d.doc_id AND line <> '' AND length(line) < 25) AS headings, 'LEGACY_UNSPLIT' AS status FROM documents d WHERE NOT contains(coalesce(text, ''), '|')""")
+def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-13: documents without a table, with all their headings."""
+    d = B.t(spark, sf_dir, "documents").where(~F.coalesce(F.col("text"), F.lit("")).contains("|"))
+    headings = E.document_lines(d).where(F.length("line") < 25).select("doc_id", F.col("line").alias("heading"))
+    report = E.quality_report(d, headings, E.pipe_tables(d).select("doc_id", "status", F.lit("TABLE").alias("strategy")))
+    return report.select("doc_id", F.coalesce(F.size("headings"), F.lit(0)).cast("long").alias("headings"), "status")
