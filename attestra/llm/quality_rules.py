@@ -52,10 +52,10 @@ def _but_last(array: str, short: int) -> Column:
 
 
 def _hashes(df: DataFrame) -> DataFrame:
-    """id, text, w (words), lines (those with a word), n (number of words), h (a hash of each word) and p (one of each pair of neighbours)."""
+    """id, text, lines (those with a word), n (number of words), h (a hash of each word) and p (one of each pair of neighbours)."""
     t = F.coalesce("text", F.lit(""))
     out = df.select("id", t.alias("text"), words(t).alias("w"), _lines(t).alias("lines"))
-    out = out.select("id", "text", "w", "lines", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    out = out.select("id", "text", "lines", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     return out.withColumn("p", F.zip_with(_but_last("h", 1), _from("h", 2), lambda a, b: F.xxhash64(a, b)))
 
 
@@ -79,7 +79,9 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     out = out.withColumn("same", F.zip_with(_but_last("m", 1), _from("m", 2), lambda a, b: _unshift(a, F.col("bits")) == _unshift(b, F.col("bits"))))
     places = F.transform(_beside_equal("m", "same"), lambda x: x.bitwiseAND(F.expr("shiftleft(1L, bits) - 1")))
     out = out.withColumn("maybe", F.when(F.array_contains("same", True), places).otherwise(none))
-    whole = F.sort_array(F.transform("maybe", lambda i: F.struct(F.get("t", i.cast("int")).alias("h"), F.slice("w", i.cast("int") + 1, F.lit(3)).alias("words"), i.alias("at"))))
+    window = lambda w, i: F.struct(F.get("t", i.cast("int")).alias("h"), F.slice(w, i.cast("int") + 1, F.lit(3)).alias("words"), i.alias("at"))
+    # The words are split once more, as the only item of an array, so that the optimizer can't move the split into the inner loop.
+    whole = F.get(F.transform(F.array(words(F.col("text"))), lambda w: F.sort_array(F.transform("maybe", lambda i: window(w, i)))), F.lit(0))
     out = out.withColumn("m", F.when(F.size("maybe") > 0, whole).otherwise(nothing))
     out = out.withColumn("same", F.zip_with(_but_last("m", 1), _from("m", 2), lambda a, b: (a["h"] == b["h"]) & (a["words"] == b["words"])))
     out = out.withColumn("at", F.sort_array(F.transform(_beside_equal("m", "same"), lambda x: x["at"])))
@@ -127,14 +129,12 @@ def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: in
     """
     buckets = buckets_for(docs) if buckets is None else buckets
     of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).alias("trusted"), F.concat("h", "p").alias("g"))
-    bucket = F.pmod("x", F.lit(buckets)).cast("int") + F.when(F.col("trusted"), F.lit(buckets)).otherwise(F.lit(0))
-    counted = of.select("trusted", F.explode("g").alias("x")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    line = counted.agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "b", "n"))).alias("line")).first()["line"]
+    each = of.select(F.col("trusted").cast("long").alias("trusted"), F.explode("g").alias("x"))
+    counted = each.groupBy(F.pmod("x", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t"))
+    line = counted.agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "b", "n", "t"))).alias("line")).first()["line"]
     target, raw = [0] * buckets, [0] * buckets
-    for b, n in (map(int, x.split(":")) for x in line.split(",") if x):
-        raw[b % buckets] += n
-        if b >= buckets:
-            target[b - buckets] = n
+    for b, n, t in (map(int, x.split(":")) for x in line.split(",") if x):
+        raw[b], target[b] = n, t
     shift = math.log((SMOOTHING * buckets + sum(raw)) / (SMOOTHING * buckets + sum(target)))
     return [round(UNIT * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + shift)) for t, r in zip(target, raw)]
 
