@@ -198,7 +198,9 @@ def attached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.unambiguous_matches(rows, posts, ["k"], "row_id")
 
 
-@query()
+@query("""WITH g AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(DISTINCT (l_suppkey, l_linenumber)) AS k, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'NARRATIVE' ELSE 'SINGLE' END AS strategy, CASE WHEN (doc_id % 3 = 0 AND k < n) OR (doc_id % 3 = 1 AND s < n) THEN 'AMBIGUOUS' ELSE 'EXPLICIT' END AS status,
+  CAST(CASE doc_id % 3 WHEN 0 THEN CASE WHEN k < n THEN 0 ELSE n END WHEN 1 THEN n ELSE 1 END AS INTEGER) AS posts FROM g""")
 def structured_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT-1, EXT-2, EXT-5, EXT-6: vacancies of notices that are written out of orders and their lines, every third with a table."""
     li = B.t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q")))).alias("r"))
