@@ -1,9 +1,12 @@
 """The registered queries of this package and, where SQL can say it, the same in SQL."""
 
+from .alignment import op12_alignment
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .fill_middle import OP13_SQL, op13_fill_in_middle
 from .html_extract import op2_html_extract
 from .mixing import op10_mixing
 from .near_duplicates import OP7_SQL, op7_near_duplicates
+from .pieces import op11_sentencepiece
 from .pii import op9_pii
 from .quality_model import op5_quality_model
 from .quality_rules import op6_quality_rules
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_alignment": op12_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_near_duplicates": OP7_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op7_near_duplicates": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
