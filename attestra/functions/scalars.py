@@ -118,7 +118,12 @@ def canonical_post_name(title: str | Column, unit: str | Column, previous: str |
 
 
 def header_key(value: str | Column) -> Column:
-    """FN-13: words of letters and digits, as names are compared by."""
+    """FN-13: the letters and digits of a header, in lower case, without spaces."""
+    return F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]", "")
+
+
+def word_key(value: str | Column) -> Column:
+    """FN-13: the words of letters and digits of a name, in lower case, a space between them."""
     return F.trim(F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]+", " "))
 
 
@@ -133,7 +138,7 @@ def without_trailing_date(value: str | Column) -> Column:
 def labelled(line: str | Column) -> Column:
     """struct(label, value) of 'label: value'."""
     line = _c(line)
-    return F.struct(header_key(F.regexp_extract(line, r"^\s*([^:]{1,80}?)\s*:", 1)).alias("label"), F.trim(F.regexp_extract(line, r"^[^:]*:\s*(.*)$", 1)).alias("value"))
+    return F.struct(word_key(F.regexp_extract(line, r"^\s*([^:]{1,80}?)\s*:", 1)).alias("label"), F.trim(F.regexp_extract(line, r"^[^:]*:\s*(.*)$", 1)).alias("value"))
 
 
 def clean_item(line: str | Column) -> Column:

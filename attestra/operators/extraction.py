@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import clean_item, header_key, post_key
-
-#: How many characters of a document the reference reads; a caller of document_lines may set it, no query does.
-MOST_CHARACTERS = 120_000
-
+from attestra.functions.scalars import clean_item, word_key
 
 def extract_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """SRC-3: anchors of list items, table rows and articles, with link text (an image's alt counts) and the text of what encloses them."""
@@ -55,93 +51,6 @@ def joined_continuations(lines: DataFrame, has_key: Column, id_col: str = "doc_i
     return g.select(id_col, "row_no", F.array_join(F.transform("b", lambda x: x["line"]), " ").alias("line"))
 
 
-def look_ahead(lines: DataFrame, pattern: str, n: int = 8, id_col: str = "doc_id") -> DataFrame:
-    """WIN-9: whether a pattern holds on this line and the next n - 1, joined."""
-    ahead = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(0, n - 1)
-    return lines.withColumn("ahead", F.array_join(F.collect_list("line").over(ahead), " ").rlike(pattern))
-
-
-def serial_breaks(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """WIN-10: whether serials (I and l read as 1) run 1, 2, 3 …; a skip makes the whole table ambiguous."""
-    order = Window.partitionBy(id_col).orderBy("row_no")
-    n = F.translate("serial", "Il", "11").try_cast("int")
-    return rows.withColumn("ok", n.eqNullSafe(F.row_number().over(order))).groupBy(id_col).agg(F.bool_and("ok").alias("continuous"))
-
-
-#: Fixed value: table headers and what they mean.
-HEADERS = {
-    "post": ("post", "name of post", "post name", "designation", "name of the post"), "organisation": ("organisation", "organization", "unit", "department"), "total": ("total", "total posts", "no of posts", "vacancies"),
-    "category": ("ur", "obc", "sc", "st", "ews", "general"),
-}
-
-
-def pipe_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """EXT-1, WIN-7, AGG-15: id, status, posts, errors: vacancies in a table of cells between bars.
-
-    A header names at least a post and a total column. Rows follow it without a gap. One bad row
-    (its width, a total that is no number, categories that don't sum to it, a key again) makes the
-    table ambiguous with all errors, and so do two tables or none under a header; without a header
-    the text is unsplit.
-    """
-    lines = document_lines(docs, id_col, text_col).where(F.col("line").contains("|"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
-    keyed = lines.withColumn("cells", cells).withColumn("keys", F.transform("cells", lambda x: header_key(x)))
-    meaning = lambda kind: F.exists("keys", lambda k: k.isin(*HEADERS[kind]))
-    keyed = keyed.withColumn("header", meaning("post") & meaning("total")).where(~F.col("line").rlike(r"^[|\s:-]+$"))
-    order = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("table_no", F.sum(F.col("header").cast("int")).over(order))
-    heads = F.last(F.when(F.col("header"), F.struct("keys", "line_no")), ignorenulls=True).over(order)
-    rows = placed.withColumn("head", heads).withColumn("rank", F.row_number().over(Window.partitionBy(id_col, "table_no").orderBy("line_no")) - 1)
-    gapless = F.col("line_no") - F.col("head.line_no") <= F.col("rank") + 2
-    body = rows.where(~F.col("header") & (F.col("table_no") > 0) & gapless)
-    at = lambda kind: F.array_position(F.transform("head.keys", lambda k: k.isin(*HEADERS[kind])), True)
-    cell = lambda kind: F.when(at(kind) > 0, F.get("cells", (at(kind) - 1).cast("int")))
-    total = cell("total").try_cast("int")
-    wide = F.size("cells") == F.size("head.keys")
-    shares = F.filter(F.arrays_zip(F.col("head.keys").alias("k"), F.col("cells").alias("v")), lambda z: z["k"].isin(*HEADERS["category"]))
-    numbers = F.transform(shares, lambda z: z["v"].try_cast("int"))
-    sums = F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
-    reconciles = (F.size(numbers) == 0) | F.exists(numbers, lambda x: x.isNull()) | (sums == total)
-    key = post_key(cell("post"), cell("organisation"))
-    error = F.when(~wide, "WIDTH").when(total.isNull(), "TOTAL").when(~reconciles, "SUM")
-    parsed = body.select(id_col, "table_no", "line_no", key.alias("post_key"), cell("post").alias("name"), total.alias("total"), error.alias("error"))
-    again = F.count(F.lit(1)).over(Window.partitionBy(id_col, "table_no", "post_key")) > 1
-    parsed = parsed.withColumn("error", F.coalesce("error", F.when(again, "DUPLICATE")))
-    found = parsed.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("error")).alias("errors"), F.array_sort(F.collect_list(F.struct("line_no", "post_key", "name", "total"))).alias("posts"))
-    tables = keyed.where("header").groupBy(id_col).agg(F.count(F.lit(1)).alias("tables"))
-    out = docs.select(id_col).join(tables, id_col, "left").join(found, id_col, "left")
-    status = F.when(F.col("tables").isNull(), "LEGACY_UNSPLIT").when((F.col("tables") > 1) | F.col("rows").isNull() | (F.size("errors") > 0), "AMBIGUOUS").otherwise("EXPLICIT")
-    none = F.expr("cast(array() as array<struct<line_no:int,post_key:string,name:string,total:int>>)")
-    return out.select(id_col, status.alias("status"), F.when(status == "EXPLICIT", F.col("posts")).otherwise(none).alias("posts"), F.coalesce("errors", F.expr("cast(array() as array<string>)")).alias("errors"))
-
-
-def narrative_posts(text: Column) -> Column:
-    """EXT-2, WIN-11: array of (n, name, organisation) of 'n posts of X in Y'; an organisation named later holds for the posts before it."""
-    items = F.regexp_extract_all(text, F.lit(r"(?i)(\d{1,5}\s+(?:nos?\.?\s+of\s+)?posts?\s+of\s+.+?)(?=,\s*\d|\s+(?:and|&)\s+\d|[.;]|$)"), F.lit(1))
-    part = lambda x, i: F.trim(F.regexp_extract(x, r"(?i)^(\d{1,5})\s+(?:nos?\.?\s+of\s+)?posts?\s+of\s+(.+?)(?:\s+(?:in|under)\s+(.+))?$", i))
-    own = F.transform(items, lambda x: F.struct(part(x, 1).cast("int").alias("n"), part(x, 2).alias("name"), F.nullif(part(x, 3), F.lit("")).alias("organisation")))
-    later = lambda i: F.get(F.filter(F.transform(own, lambda y, j: F.when(j >= i, y["organisation"])), lambda o: o.isNotNull()), F.lit(0))
-    return F.transform(own, lambda x, i: F.struct(x["n"].alias("n"), x["name"].alias("name"), later(i).alias("organisation")))
-
-
-def single_post(title: Column, text: Column) -> Column:
-    """EXT-5: the one post of a title 'recruitment to the post of X'; null where the text speaks of several."""
-    name = F.nullif(F.trim(F.regexp_extract(title, r"(?i)recruitment (?:to|for) the post of\s+(.+?)(?:\s+(?:in|under|dated)\b.*)?$", 1)), F.lit(""))
-    return F.when(~F.coalesce(text, F.lit("")).rlike(r"(?i)following\s+(?:\w+\s+)?posts"), name)
-
-
-def structure_posts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
-    """EXT-6: table, then narrative, then single post: the first that isn't unsplit."""
-    tables = pipe_tables(docs, id_col, text_col)
-    rest = docs.join(tables.where("status = 'LEGACY_UNSPLIT'").select(id_col), id_col, "left_semi")
-    story, one = narrative_posts(F.col(text_col)), single_post(F.col(title_col), F.col(text_col))
-    names = F.when(F.size(story) > 0, F.transform(story, lambda x: x["name"])).when(one.isNotNull(), F.array(one)).otherwise(F.expr("cast(array() as array<string>)"))
-    how = F.when(F.size(story) > 0, "NARRATIVE").when(one.isNotNull(), "SINGLE").otherwise("NONE")
-    later = rest.select(id_col, how.alias("strategy"), names.alias("names")).withColumn("status", F.when(F.size("names") == 0, "LEGACY_UNSPLIT").when(F.size(F.array_distinct("names")) < F.size("names"), "AMBIGUOUS").otherwise("EXPLICIT"))
-    first = tables.where("status <> 'LEGACY_UNSPLIT'").select(id_col, F.lit("TABLE").alias("strategy"), F.transform("posts", lambda x: x["name"]).alias("names"), "status")
-    return first.unionByName(later)
-
-
 def labelled_fields(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """EXT-7: id, path, value: the first match of each rule (path, pattern with one group); the last rule of a path wins."""
     found = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("path"), F.trim(F.regexp_extract(text_col, r, 1)).alias("value")) for i, (p, r) in enumerate(rules)])
@@ -163,7 +72,7 @@ def unambiguous_matches(rows: DataFrame, posts: DataFrame, keys: list[str], row_
 
 def token_overlap(a: Column, b: Column) -> Column:
     """JOIN-12: shared words of two names."""
-    words = lambda x: F.array_distinct(F.split(header_key(x), " "))
+    words = lambda x: F.array_distinct(F.split(word_key(x), " "))
     return F.size(F.array_intersect(words(a), words(b)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import canonical_post_name, collapsed, header_key, post_key, split_camel
+from attestra.functions.scalars import canonical_post_name, collapsed, post_key, split_camel, word_key
 
 # What heads a table, and what its rows are made of.
 TABLE_HEADER = (
@@ -23,15 +23,29 @@ SERIAL_ROW = r"^\s*([0-9Il]{1,3})[.)]?\s+(\S.*?)\s*$"
 CATEGORIES = ("UR", "OBC", "SC", "ST", "EWS")
 
 
-def _lines(docs: DataFrame, header: str, within: int, ahead: int, id_col: str, text_col: str) -> DataFrame:
-    """id, line_no, ahead (this line and those after it) of the lines after the first that heads a table; a header may run over `within` lines."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, "\r\n", "\n"), "\n")).alias("line_no", "line"))
-    order = Window.partitionBy(id_col).orderBy("line_no")
-    clean = lines.select(id_col, "line_no", collapsed("line").alias("line"))
-    shown = clean.withColumn("head", F.array_join(F.collect_list("line").over(order.rowsBetween(0, within - 1)), " ").rlike(header))
-    first = shown.where("head").groupBy(id_col).agg(F.min("line_no").alias("header_no"))
-    after = clean.join(first, id_col).where("line_no > header_no")
-    return after.select(id_col, "line_no", F.collect_list("line").over(order.rowsBetween(0, ahead)).alias("ahead"))
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's variable stands for it, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _headed(docs: DataFrame, header: str, within: int, id_col: str, text_col: str) -> DataFrame:
+    """id, lines (white space collapsed; null without a header's word), header_no: the first line that heads a table together with the `within` - 1 after it; null if none does."""
+    lines = F.transform(F.split(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), collapsed)
+    told = lambda x, i: F.array_join(F.slice(x, i + 1, F.lit(within)), " ").rlike(header)
+    first = lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: told(x, i)), F.lit(0))
+    # a header's own word anywhere in the text: cheap to find, and missing from nearly all texts
+    maybe = F.col(text_col).rlike(r"(?i)\bqualification\b")
+    found = F.when(maybe, let(lines, lambda x: F.struct(x.alias("lines"), first(x).alias("header_no"))))
+    return docs.select(id_col, found.alias("h")).select(id_col, "h.lines", "h.header_no")
+
+
+def _rows_ahead(headed: DataFrame, ahead: int, id_col: str) -> DataFrame:
+    """id, line_no, ahead (that line and the next `ahead`) of the lines after the header that begin with a serial."""
+    n = F.size("lines")  # lines are null where there is no header
+    after = F.when(n - 1 > F.col("header_no"), F.sequence(F.col("header_no") + 1, n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    rows = F.filter(after, lambda i: F.get("lines", i).rlike(SERIAL_ROW))
+    cut = F.transform(rows, lambda i: F.struct(i.alias("line_no"), F.slice("lines", i + 1, F.lit(ahead + 1)).alias("ahead")))
+    return headed.select(id_col, F.explode(F.when(F.col("header_no").isNotNull(), cut)).alias("r")).select(id_col, "r.*")
 
 
 def _first(lines: str, ok, start: Column, end: Column) -> Column:
@@ -53,7 +67,8 @@ def numbered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A document without the header is unsplit; a repeated name, or a header without any post, makes it ambiguous.
     """
-    rows = _lines(docs, POSITION_HEADER, 4, 7, id_col, text_col).where(_is_row(F.get("ahead", F.lit(0))))
+    headed = _headed(docs, POSITION_HEADER, 4, id_col, text_col)
+    rows = _rows_ahead(headed, 7, id_col)
     at = _first("ahead", lambda x: x.rlike(COUNT_ONLY) | (x == "") | _is_row(x) | x.rlike("[.;:]$"), F.lit(1), F.size("ahead"))
     rows = rows.withColumn("at", at).where(F.get("ahead", F.col("at")).rlike(COUNT_ONLY))
     title = F.concat(F.array(F.regexp_extract(F.get("ahead", F.lit(0)), SERIAL_ROW, 2)), F.slice("ahead", F.lit(2), F.col("at") - 1))
@@ -65,9 +80,8 @@ def numbered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (F.count_distinct("post_key") < F.count("post_key")).alias("again"),
         F.array_sort(F.collect_list(F.when(F.col("total") > 0, F.struct("line_no", "post_key", "name", "total")))).alias("posts"),
     )
-    heads = _lines(docs, POSITION_HEADER, 4, 0, id_col, text_col).select(id_col).distinct().withColumn("headed", F.lit(True))
-    out = docs.select(id_col).join(heads, id_col, "left").join(found, id_col, "left")
-    status = F.when(F.col("headed").isNull(), "LEGACY_UNSPLIT").when(F.col("again") | F.coalesce(F.size("posts") == 0, F.lit(True)), "AMBIGUOUS").otherwise("EXPLICIT")
+    out = headed.select(id_col, "header_no").join(found, id_col, "left")
+    status = F.when(F.col("header_no").isNull(), "LEGACY_UNSPLIT").when(F.col("again") | F.coalesce(F.size("posts") == 0, F.lit(True)), "AMBIGUOUS").otherwise("EXPLICIT")
     return out.select(id_col, status.alias("status"), F.when(status == "EXPLICIT", F.col("posts")).alias("posts"))
 
 
@@ -80,7 +94,8 @@ def whitespace_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of a document's candidates.
     """
     line = lambda i: F.get("ahead", i)
-    rows = _lines(docs, TABLE_HEADER, 8, 39, id_col, text_col).where(_is_row(line(F.lit(0)))).withColumn("serial", _serial(line(F.lit(0)))).where("serial is not null")
+    headed = _headed(docs, TABLE_HEADER, 8, id_col, text_col)
+    rows = _rows_ahead(headed, 39, id_col).withColumn("serial", _serial(line(F.lit(0)))).where("serial is not null")
     title = F.regexp_extract(line(F.lit(0)), SERIAL_ROW, 2)
     inline = F.regexp_extract(title, f"(?i)^(.*?){QUALIFICATION}", 1)
     has_inline = title.rlike(f"(?i){QUALIFICATION}")
@@ -106,10 +121,9 @@ def whitespace_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
           when exists(s.posts, p -> p.post_key = c.post_key) then named_struct('expected', s.expected, 'from', s.from, 'error', 'DUPLICATE', 'posts', s.posts)
           else named_struct('expected', s.expected + 1, 'from', c.end + 1, 'error', cast(null as string), 'posts', array_append(s.posts, named_struct('post_key', c.post_key, 'name', c.name, 'total', c.total))) end)""")
     found = each.groupBy(id_col).agg(F.array_sort(F.collect_list("c")).alias("cs")).select(id_col, walked.alias("w"))
-    heads = _lines(docs, TABLE_HEADER, 8, 0, id_col, text_col).select(id_col).distinct().withColumn("headed", F.lit(True))
-    out = docs.select(id_col).join(heads, id_col, "left").join(found, id_col, "left")
+    out = headed.select(id_col, "header_no").join(found, id_col, "left")
     wrong = F.col("w.error").isNotNull() | F.coalesce(F.size("w.posts") == 0, F.lit(True))
-    status = F.when(F.col("headed").isNull(), "LEGACY_UNSPLIT").when(wrong, "AMBIGUOUS").otherwise("EXPLICIT")
+    status = F.when(F.col("header_no").isNull(), "LEGACY_UNSPLIT").when(wrong, "AMBIGUOUS").otherwise("EXPLICIT")
     return out.select(id_col, status.alias("status"), F.when(status == "EXPLICIT", F.col("w.posts")).alias("posts"), F.col("w.error").alias("error"))
 
 
@@ -131,18 +145,23 @@ def refined_parents(parents: DataFrame, children: DataFrame) -> DataFrame:
     return kept.unionByName(new).withColumn("ordinal", F.row_number().over(order))
 
 
-def aligned_names(docs: DataFrame, id_col: str = "doc_id", listing: str = "listing", parsed: str = "parsed") -> DataFrame:
-    """JOIN-12: id, aligned, names: the listing's names for the parsed posts, in order, if each shares more words with its own post than any other name does.
-
-    listing and parsed are arrays of names; all names are taken or none.
-    """
-    words = lambda x: F.array_distinct(F.split(header_key(x), " "))
-    out = docs.withColumn("l", F.transform(listing, words)).withColumn("p", F.transform(parsed, words))
+def aligned(listing: Column, parsed: Column) -> Column:
+    """JOIN-12: struct(aligned, names): the listing's names for the parsed posts, in order, if each shares more words with its own post than any other name does; all names are taken or none."""
+    words = lambda names: F.transform(names, lambda x: F.array_distinct(F.split(word_key(x), " ")))
     shared = lambda a, b: F.size(F.filter(F.array_intersect(a, b), lambda w: w != ""))
-    best = F.transform("p", lambda p, i: F.struct(shared(F.get("l", i), p).alias("own"), F.array_max(F.transform("l", lambda x, j: F.when(i == j, F.lit(0)).otherwise(shared(x, p)))).alias("other")))
-    fits = F.forall(best, lambda b: (b["own"] > 0) & (b["own"] > b["other"]))
-    ok = (F.size(listing) == F.size(parsed)) & (F.size(listing) > 1) & fits
-    return out.select(id_col, F.coalesce(ok, F.lit(False)).alias("aligned"), F.when(ok, F.col(listing)).otherwise(F.col(parsed)).alias("names"))
+
+    def fits(w: Column) -> Column:
+        other = lambda p, i: F.array_max(F.transform(w["l"], lambda x, j: F.when(i == j, F.lit(0)).otherwise(shared(x, p))))
+        best = F.transform(w["p"], lambda p, i: F.struct(shared(F.get(w["l"], i), p).alias("own"), other(p, i).alias("other")))
+        return F.forall(best, lambda b: (b["own"] > 0) & (b["own"] > b["other"]))
+
+    ok = (F.size(listing) == F.size(parsed)) & (F.size(listing) > 1) & let(F.struct(words(listing).alias("l"), words(parsed).alias("p")), fits)
+    return let(F.coalesce(ok, F.lit(False)), lambda k: F.struct(k.alias("aligned"), F.when(k, listing).otherwise(parsed).alias("names")))
+
+
+def aligned_names(docs: DataFrame, id_col: str = "doc_id", listing: str = "listing", parsed: str = "parsed") -> DataFrame:
+    """JOIN-12 by row: id, aligned, names; listing and parsed are arrays of names."""
+    return docs.select(id_col, aligned(F.col(listing), F.col(parsed)).alias("a")).select(id_col, "a.*")
 
 
 def owner_posts(owners: DataFrame, posts: DataFrame, most_words: int = 6) -> DataFrame:
@@ -151,10 +170,10 @@ def owner_posts(owners: DataFrame, posts: DataFrame, most_words: int = 6) -> Dat
     owners: owner_id, phrase; posts: post_id, organisation, base, of at most most_words words each. A
     phrase meets an organisation by one of its runs of words, so that no pair is made that shares none.
     """
-    words = F.split(header_key("phrase"), " ")
+    words = F.split(word_key("phrase"), " ")
     runs = F.expr(f"array_distinct(flatten(transform(sequence(1, {most_words}), n -> transform(sequence(0, greatest(size(w) - n, 0)), i -> array_join(slice(w, i + 1, n), ' ')))))")
     told = owners.select("owner_id", words.alias("w")).select("owner_id", runs.alias("runs"))
-    known = posts.select("post_id", header_key("organisation").alias("run"), header_key("base").alias("base"))
+    known = posts.select("post_id", word_key("organisation").alias("run"), word_key("base").alias("base"))
     met = told.select("owner_id", "runs", F.explode("runs").alias("run")).join(known, "run")
     return met.where(F.array_contains("runs", F.col("base"))).select("owner_id", "post_id").distinct()
 

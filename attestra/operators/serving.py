@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import age_on, header_key, lifecycle
+from attestra.functions.scalars import age_on, word_key, lifecycle
 
 #: Fixed value: the order in which lifecycles are listed.
 LIFECYCLES = ("OPEN", "RECENTLY_CLOSED", "UPCOMING", "CLOSED", "UNKNOWN")
@@ -145,7 +145,7 @@ def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
 
 def qualification_outcome(required: Column, kind: Column, held: Column) -> Column:
     """PIPE-19, qualification: only the same text is a match; anything else is for review."""
-    match = F.exists(held, lambda x: header_key(x) == header_key(required))
+    match = F.exists(held, lambda x: word_key(x) == word_key(required))
     return F.when(required.isNull() | F.coalesce(F.size(held) == 0, F.lit(True)), "UNKNOWN").when((kind == "STRING") & match, "ELIGIBLE").otherwise("REVIEW_REQUIRED")
 
 

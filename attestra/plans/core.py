@@ -443,7 +443,7 @@ def normalized_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.t(spark, sf_dir, "pages").select("page_id", S.normalize_url("url").alias("url"), S.host("url").endswith(".org").alias("allowed"))
 
 
-@query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS header, trim(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS post_key, 'N_ADVT_' || (1990 + c_nationkey) || '_' || upper(sha256(c_name)[1:12]) AS subject_key, sha256('=' || c_name || chr(31) || '=' || c_mktsegment) AS content_hash FROM customer")
+@query("SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS header, trim(regexp_replace(lower(c_name || ' ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS post_key, 'N_ADVT_' || (1990 + c_nationkey) || '_' || upper(sha256(c_name)[1:12]) AS subject_key, sha256('=' || c_name || chr(31) || '=' || c_mktsegment) AS content_hash FROM customer")
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-1, FN-8, FN-11, FN-13."""
     return B.t(spark, sf_dir, "customer").select("c_custkey", S.header_key("c_name").alias("header"), S.post_key("c_name", "c_mktsegment").alias("post_key"), S.subject_key(F.lit("N"), 1990 + F.col("c_nationkey"), "c_name").alias("subject_key"), S.canonical_hash(F.col("c_name"), F.col("c_mktsegment")).alias("content_hash"))

@@ -9,6 +9,7 @@ from attestra.functions import scalars as S
 from attestra.operators import extraction as E
 from attestra.operators import history as H
 from attestra.operators import postings as N
+from attestra.operators.notices import pipe_tables
 from attestra.operators import serving as P
 from attestra.operators import verification as V
 from attestra.sources import tables as T
@@ -407,10 +408,10 @@ def section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents)
-SELECT d.doc_id, (SELECT count(DISTINCT line) FROM l WHERE l.doc_id = d.doc_id AND line <> '' AND length(line) < 25) AS headings, 'LEGACY_UNSPLIT' AS status FROM documents d WHERE NOT contains(coalesce(text, ''), '|')""")
+SELECT d.doc_id, (SELECT count(DISTINCT line) FROM l WHERE l.doc_id = d.doc_id AND line <> '' AND length(line) < 25) AS headings, 'LEGACY_UNSPLIT' AS status FROM documents d""")
 def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EXT-13: documents without a table, with all their headings."""
-    d = B.t(spark, sf_dir, "documents").where(~F.coalesce(F.col("text"), F.lit("")).contains("|"))
+    """EXT-13: all documents with all their headings; some have bars, but none a header of a vacancy table."""
+    d = B.t(spark, sf_dir, "documents")
     headings = E.document_lines(d).where(F.length("line") < 25).select("doc_id", F.col("line").alias("heading"))
-    report = E.quality_report(d, headings, E.pipe_tables(d).select("doc_id", "status", F.lit("TABLE").alias("strategy")))
+    report = E.quality_report(d, headings, pipe_tables(d).select("doc_id", "status", F.lit("TABLE").alias("strategy")))
     return report.select("doc_id", F.coalesce(F.size("headings"), F.lit(0)).cast("long").alias("headings"), "status")

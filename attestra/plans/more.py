@@ -198,18 +198,6 @@ def attached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.unambiguous_matches(rows, posts, ["k"], "row_id")
 
 
-@query("""WITH g AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(DISTINCT (l_suppkey, l_linenumber)) AS k, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'NARRATIVE' ELSE 'SINGLE' END AS strategy, CASE WHEN (doc_id % 3 = 0 AND k < n) OR (doc_id % 3 = 1 AND s < n) THEN 'AMBIGUOUS' ELSE 'EXPLICIT' END AS status,
-  CAST(CASE doc_id % 3 WHEN 0 THEN CASE WHEN k < n THEN 0 ELSE n END WHEN 1 THEN n ELSE 1 END AS INTEGER) AS posts FROM g""")
-def structured_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EXT-1, EXT-2, EXT-5, EXT-6: vacancies of notices that are written out of orders and their lines, every third with a table."""
-    li = B.t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q")))).alias("r"))
-    table = F.concat(F.lit("Name of post | Unit | Total\n"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("Clerk "), x["l_suppkey"].cast("string"), F.lit(" | Unit "), x["l_linenumber"].cast("string"), F.lit(" | "), x["q"].cast("string"))), "\n"))
-    story = F.array_join(F.transform("r", lambda x: F.concat(x["q"].cast("string"), F.lit(" posts of Clerk "), x["l_suppkey"].cast("string"))), ", ")
-    docs = li.select("doc_id", F.when(F.col("doc_id") % 3 == 0, table).when(F.col("doc_id") % 3 == 1, story).otherwise("No vacancies.").alias("text"), F.lit("Recruitment to the post of Driver").alias("title"))
-    return E.structure_posts(docs).select("doc_id", "strategy", "status", F.size("names").alias("posts"))
-
-
 @query("SELECT a.c_custkey AS a, b.n_nationkey AS b, CASE WHEN a.c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS overlap FROM customer a JOIN nation b ON a.c_nationkey = b.n_nationkey")
 def name_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-12."""
@@ -266,7 +254,7 @@ def streamed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(seen.schema).parquet(rows)
 
 
-@query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS header, CASE WHEN contains(url, 'example.com') THEN 'COM' WHEN contains(url, 'example.org') THEN 'ORG' ELSE 'Official PAGE' END AS label, CASE WHEN regexp_matches(lower(url), 'page|en') AND NOT regexp_matches(lower(url), 'ref|top') THEN TRUE ELSE FALSE END AS opening FROM pages")
+@query("SELECT page_id, regexp_replace(lower(url), '[^a-z0-9]+', '', 'g') AS header, CASE WHEN contains(url, 'example.com') THEN 'COM' WHEN contains(url, 'example.org') THEN 'ORG' ELSE 'Official PAGE' END AS label, CASE WHEN regexp_matches(lower(url), 'page|en') AND NOT regexp_matches(lower(url), 'ref|top') THEN TRUE ELSE FALSE END AS opening FROM pages")
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-6, FLT-8, FLT-9, FLT-20."""
     return B.t(spark, sf_dir, "pages").select("page_id", S.header_key("url").alias("header"), S.first_label("url", [("example.com", "COM"), ("example.org", "ORG")], F.lit("Official PAGE")).alias("label"), S.opening_notice("url", "page|en", ("ref", "top")).alias("opening"))

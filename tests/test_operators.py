@@ -78,30 +78,6 @@ def test_fact_set_hash_ignores_order(spark):
 TABLE = "Intro\n| Name of Post | Unit | UR | SC | Total |\n| Clerk | A | 2 | 1 | 3 |\n| Clerk | B | 1 | 1 | 2 |\nEnd"
 
 
-@pytest.mark.parametrize(
-    ("text", "status", "errors"),
-    [
-        (TABLE, "EXPLICIT", []), (TABLE.replace("| 2 | 1 | 3 |", "| 2 | 1 | 4 |"), "AMBIGUOUS", ["SUM"]), (TABLE.replace("| B |", "| A |"), "AMBIGUOUS", ["DUPLICATE"]), (TABLE.replace("| 1 | 1 | 2 |", "| 1 | 2 |"), "AMBIGUOUS", ["TOTAL", "WIDTH"]),
-        (TABLE + "\n" + TABLE, "AMBIGUOUS", None), ("Post | Total", "AMBIGUOUS", []), ("no table", "LEGACY_UNSPLIT", []),
-    ],
-)
-def test_pipe_tables(spark, text, status, errors):
-    got = E.pipe_tables(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
-    assert got["status"] == status
-    assert len(got["posts"]) == (2 if status == "EXPLICIT" else 0)
-    assert errors is None or got["errors"] == errors or set(got["errors"]) <= set(errors)
-
-
-def test_narrative_posts(spark):
-    got = value(spark, E.narrative_posts(F.lit("Recruitment for 12 posts of Clerk, 3 posts of Driver in Transport Office and 1 post of Cook in Hostel.")))
-    assert [(x["n"], x["name"], x["organisation"]) for x in got] == [(12, "Clerk", "Transport Office"), (3, "Driver", "Transport Office"), (1, "Cook", "Hostel")]
-
-
-def test_cascade(spark):
-    docs = spark.createDataFrame([(1, TABLE, "t"), (2, "2 posts of Clerk, 1 post of Cook", "t"), (3, "x", "Recruitment to the post of Driver in Hostel"), (4, "the following posts", "Recruitment to the post of Driver")], "doc_id int, text string, title string")
-    assert {r["doc_id"]: (r["strategy"], r["status"]) for r in E.structure_posts(docs).collect()} == {1: ("TABLE", "EXPLICIT"), 2: ("NARRATIVE", "EXPLICIT"), 3: ("SINGLE", "EXPLICIT"), 4: ("NONE", "LEGACY_UNSPLIT")}
-
-
 def test_history_repoints_without_changes(spark):
     rows = [(1, i, i, p, p, "x") for i, p in enumerate("AABA")]
     v = spark.createDataFrame(rows, "subject int, seq_ts int, seq_id int, projection string, status string, priority string")
