@@ -16,9 +16,9 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import columns_of, table, written
-from .pieces import Pieces, read_model
+from .pieces import SPACE, read_model
 
-#: Parts that a worker remembers before it starts anew, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 48
 #: Bytes of text that are aligned together, unless one text is longer.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Pairs that are looked up by broadcast at most: about 20 MB.
 FREQUENT = 1 << 19
 
-#: White space of ASCII, letters below U+0250, and characters whose class no version of Unicode changes.
-_WHITE, _LETTERS = " \t\n\r", "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
+#: Fixed value: the split of byte-level vocabularies before their merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Any character beyond those that all versions of Unicode class alike.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-›€]")
-_ODD_WHITE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: Parts that end where the tokenizer's own split ends a word: before white space and, in plain texts, after a letter before what is none.
-_PLAIN_PARTS = re.compile(f"[{_WHITE}]*[^{_WHITE}{_LETTERS}]*[{_LETTERS}]+|[{_WHITE}]*[^{_WHITE}{_LETTERS}]+|[{_WHITE}]+")
-_WORDS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
-class ByteTokens(dict):
-    """A byte-level merge vocabulary of the tokenizers library; as a dict, the ids of the parts met so far, as packed 32-bit integers."""
+class ByteTokens:
+    """A byte-level merge vocabulary of the tokenizers library."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,33 +49,37 @@ class ByteTokens(dict):
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        split = json.loads(definition)
-        before = split.get("pre_tokenizer") or {}
+        told = json.loads(definition)
+        before = told.get("pre_tokenizer") or {}
         if before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
             raise ValueError("the vocabulary is not of bytes, or adds a space")
-        #: Texts may be cut at the ends of words only if nothing rewrites them first and the split is the usual one.
-        self.cuttable = split.get("normalizer") is None and before.get("use_regex", False)
         shown = sorted(pre_tokenizers.ByteLevel.alphabet())
         same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in same} | dict(zip([c for c in shown if ord(c) >= 256], [b for b in range(256) if b not in same]))
-        names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        own, every = (self.library.get_vocab(with_added_tokens=x) for x in (False, True))
+        names = {i: t for t, i in every.items()}
         self.bytes = [bytes(byte_of[c] for c in names[i]) if all(c in byte_of for c in names.get(i, " ")) else names.get(i, "").encode() for i in range(max(names) + 1)]
+        self.quick = None
+        if told.get("normalizer") is None and before.get("use_regex") and self._by_rank(told["model"], own, every):
+            self.quick = self._ranked({self.bytes[i]: i for t, i in own.items() if t not in {x["content"] for x in told.get("added_tokens", [])}})
 
-    def __missing__(self, part: str) -> bytes:
-        ids = array("i", self.library.encode(part, add_special_tokens=False).ids).tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = ids
-        return ids
+    def _by_rank(self, model: dict, own: dict[str, int], every: dict[str, int]) -> bool:
+        """Whether merging by the rank of the joined token gives the same: ids follow the merges' order, and every token that merges make is made of its own bytes alone."""
+        joined = [own.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        single = all(len(self.library.model.tokenize(t)) == 1 for t in own)
+        return None not in joined and joined == sorted(joined) and single
 
-    def parts(self, text: str) -> list[str]:
-        if not self.cuttable or _ODD_WHITE.search(text):
-            return [text]
-        return (_WORDS if _NOT_PLAIN.search(text) else _PLAIN_PARTS).findall(text)
+    @staticmethod
+    def _ranked(ranks: dict[bytes, int]):
+        import tiktoken
 
-    def packed(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.parts(text)))
+        return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        """The library's ids; of plain texts by rank, which is quicker."""
+        if self.quick is not None and not _NOT_PLAIN.search(text):
+            return self.quick.encode_ordinary(text)
+        return self.library.encode(text, add_special_tokens=False).ids
 
 
 def coalesced(a_ids, a_len, b_ids, b_len):
@@ -110,29 +109,31 @@ class Aligner:
     """Encodes and aligns texts; one a worker."""
 
     def __init__(self, definition: str, model: bytes):
-        self.a, self.b = ByteTokens(definition), Pieces(model)
+        import sentencepiece
+
+        self.a, self.b = ByteTokens(definition), sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a_bytes = self.a.bytes
-        self.b_bytes = [self.b.token_bytes(i) for i in range(len(self.b.piece))]
+        pieces = [(self.b.is_byte(i), self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[1:-1], 16)]) if is_byte else p.replace(SPACE, " ").encode() for is_byte, p in pieces]
         self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.size = max(len(self.a_bytes), len(self.b_bytes))
         #: decimal ids, each followed by what may stand behind it
         self.said = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
 
-    def encoded(self, text: str | None) -> tuple[bytes, bytes]:
-        """Packed ids of both sides; none where there is no text or a side's tokens don't join to it."""
-        if not text:
-            return b"", b""
-        spaced = f" {text}"
-        a, b, whole = self.a.packed(spaced), self.b.ids(text).tobytes(), spaced.encode()
-        for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(known.__getitem__, memoryview(ids).cast("i"))) != whole:
-                return b"", b""
-        return a, b
-
-    def aligned(self, found: list[tuple[bytes, bytes]]) -> Iterator[tuple]:
+    def encoded(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+        """The ids of both sides of each text; none where there is no text or a side's tokens don't join to it."""
+        found = []
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts], num_threads=1)):
+            spaced = f" {text}"
+            a, whole = self.a.ids(spaced) if text else [], spaced.encode()
+            fits = bool(text) and all(b"".join(map(known.__getitem__, ids)) == whole for ids, known in ((a, self.a_bytes), (b, self.b_bytes)))
+            found.append((a, b) if fits else ([], []))
+        return found
+
+    def aligned(self, found: list[tuple[list[int], list[int]]]) -> Iterator[tuple]:
         """For each text (n_a, n_b, n_groups, groups, keys): groups as `a1,a2|b1;a3|b2`, keys one packed id pair for each link."""
-        a, b = (np.frombuffer(b"".join(x[k] for x in found), np.int32).astype(np.int64) for k in (0, 1))
-        n_a, n_b = (np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in found), np.int64) for k in (0, 1))
+        n_a, n_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
         order, side, group, links_a, links_b = coalesced(a, self.a_len[a], b, self.b_len[b])
         keys = a[links_a] * len(self.b_bytes) + b[links_b]
         mark = np.full(len(order), 2)
@@ -160,7 +161,7 @@ def align(docs: DataFrame, definition: str, model: str, *, groups: bool = True,
     merge-type piece model (B, which adds it) that the driver can read; a few MB go to the tasks.
     Null and empty texts, and texts that the tokens of a side don't join to, have zeros and the empty
     group text, unhashed. Ids may be null or repeat; each row stands for itself. An empty table gives an
-    empty one; only the named columns are read. Texts are aligned about a MB at a time, a longer one as
+    empty one; only the named columns are read. Texts are aligned about 256 KB at a time, a longer one as
     a whole: memory grows with the longest text, about 100 bytes a character.
     """
     with open(definition, encoding="utf-8") as f:
@@ -174,12 +175,11 @@ def align(docs: DataFrame, definition: str, model: str, *, groups: bool = True,
         for batch in batches:
             texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
-                to, size, found = at, 0, []
-                while to < len(texts) and (not found or size < AT_ONCE):
-                    found.append(work.encoded(texts[to]))
+                to, size = at, 0
+                while to < len(texts) and (to == at or size < AT_ONCE):
                     size += len(texts[to] or "")
                     to += 1
-                n_a, n_b, n_groups, said, keys = map(list, zip(*work.aligned(found)))
+                n_a, n_b, n_groups, said, keys = map(list, zip(*work.aligned(work.encoded(texts[at:to]))))
                 lengths = [len(k) for k in keys]
                 columns = [
                     batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at),
