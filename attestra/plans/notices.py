@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import notices as N
+from attestra.operators import post_details as D
+from attestra.operators.postings import let
 
 from . import bindings as B
 
@@ -29,7 +31,7 @@ def orders_with_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("int").alias("q"))))
     lines = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(r.alias("r"))
     of = o.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.col("o_custkey").alias("customer"))
-    return lines.join(of, "doc_id")
+    return lines.join(of, "doc_id").repartition(spark.sparkContext.defaultParallelism, "doc_id")  # notices take more time than room: AQE would leave them to one task
 
 
 #: An order as in orders_with_lines: n lines, k suppliers, the sum of quantities, the suppliers in order.
@@ -84,3 +86,27 @@ def structured_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = N.structure_posts(written_notices(spark, sf_dir))
     total = F.aggregate("posts", F.lit(0).cast("long"), lambda a, p: a + p["total"])
     return out.select("doc_id", "strategy", "status", F.size("posts").alias("posts"), F.when(F.size("posts") > 0, total).alias("total"), F.get("posts", F.lit(0))["name"].alias("first_post"))
+
+
+def detailed_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, title, text: an order as a table of posts, followed by a detail table (fulfilled), aligned columns (open), or clauses and rosters (pending)."""
+    docs = orders_with_lines(spark, sf_dir)
+    pipes = _text(DETAIL_HEAD, "concat('| clerk | UNIT ', x.s, ' | HSLC | ', if(x.q > 25, 'young', '18 years'), ' | Rs ', x.q, ' |')")
+    columns = _text("\\n\\nName of Post        Organisation        Minimum Qualification    Age\\n", "concat(rpad('Clerk', 20, ' '), rpad(concat('Unit ', x.s), 20, ' '), rpad('HSLC', 25, ' '), '18 to ', 18 + x.q, ' years\\n', repeat(' ', 40), 'passed')")
+    clauses = _text("\\n\\nPage 2 of 3\\n", "concat('5.', k + 1, ' For the post of Clerk in Unit ', x.s, ': The age\\nof all must be 18-', 18 + x.q, ' as on\\n01-01-2030.')", tail="\\n6.1 Rosters\\n")
+    sixth = "x.q div 6"
+    roster = _text("", f"concat('Clerk in Unit ', x.s, ' with Grade Pay of Rs. ', x.q, '/-\\nUnreserved ', x.q - 5 * ({sixth}), '\\nOBC/MOBC ', {sixth}, '\\nSC ', {sixth}, '\\nST (P) ', {sixth}, '\\nST (H) ', {sixth}, '\\nEWS ', {sixth}, '\\nTotal ', x.q)")
+    more = F.when(F.col("status") == "F", pipes).when(F.col("status") == "O", columns).otherwise(F.concat(clauses, roster))
+    return docs.select("doc_id", F.lit("Notice").alias("title"), F.concat(vacancy_rows(), more).alias("text"))
+
+
+@query("WITH " + ORDERS_SQL + """
+SELECT doc_id, 9 * n + CASE st WHEN 'F' THEN 2 * n + len(list_filter(q, lambda x: x <= 25)) WHEN 'O' THEN 3 * n ELSE 4 * n END AS facts,
+  CAST(CASE st WHEN 'F' THEN 18 * len(list_filter(q, lambda x: x <= 25)) ELSE 36 * n + total END AS BIGINT) AS ages,
+  CASE WHEN st = 'F' THEN len(list_filter(q, lambda x: x > 25)) ELSE 0 END AS problems FROM g WHERE k = n""")
+def post_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-9, EXT-10, WIN-7, WIN-12, JOIN-10, JOIN-11, AGG-16: facts of posts from detail tables, aligned columns, scoped clauses and rosters; an order of a repeated supplier has no posts."""
+    parsed = detailed_notices(spark, sf_dir).select("doc_id", "text", let(N.source_lines("text"), N.vacancy_table)["posts"].alias("posts"))
+    told = D.attached(D.claims(parsed))
+    age = F.when(F.col("path").isin("age.minimum", "age.maximum") & F.col("problem").isNull(), F.col("value").cast("long"))
+    return told.groupBy("doc_id").agg(F.count_if(F.col("problem").isNull()).alias("facts"), F.coalesce(F.sum(age), F.lit(0)).alias("ages"), F.count("problem").alias("problems"))
