@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, map_batches, table
 
-#: Parts that a worker remembers before it starts anew, and the longest of them in characters.
-REMEMBERED, LONGEST = 400_000, 48
+#: Characters of the longest part that a worker remembers.
+LONGEST = 48
 #: The library's sign for a space inside pieces, and the letters that words are made of here.
 SPACE = "▁"
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
@@ -29,7 +29,13 @@ NEVER = 1 << 62
 
 
 class Pieces(dict):
-    """The vocabulary of a merge-type model; as a dict, the ids of the parts met so far, as packed 32-bit integers."""
+    """The vocabulary of a merge-type model; as a dict, the ids of the parts met lately, as packed 32-bit integers.
+
+    A full generation of parts becomes the old one, from which parts that are met again are taken over.
+    """
+
+    #: Parts of a generation: about 100 MB.
+    most = 500_000
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -47,6 +53,7 @@ class Pieces(dict):
         self.byte = {int(self.piece[i][1:-1], 16): i for i in every if self.library.is_byte(i)}
         self.unknown = self.library.unk_id()
         self.cut = self._cuts([p for p in self.id if len(p) > 1])
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _cuts(longer: list[str]) -> re.Pattern[str] | None:
@@ -98,18 +105,24 @@ class Pieces(dict):
                 heappush(agenda, (cost, prev, size + len(symbols[prev])))
         return [s for s in symbols if s is not None]
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         ids = array("i")
         for symbol in self.merged(part):
             if symbol in self.id:
                 ids.append(self.id[symbol])
             else:
                 ids.extend(self.byte[b] for b in symbol.encode()) if self.byte else ids.append(self.unknown)
+        return ids.tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        if (found := self.old.get(part)) is None:
+            found = self.made(part)
         if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
-            self[part] = ids.tobytes()
-        return ids.tobytes()
+            self[part] = found
+        return found
 
     def ids(self, text: str) -> array:
         """All ids of a text, without those of begin and end."""
@@ -119,10 +132,6 @@ class Pieces(dict):
             found.frombytes(b"".join(map(self.__getitem__, self.cut.findall(whole) if self.cut else [whole])))
         return found
 
-    def token_bytes(self, i: int) -> bytes:
-        """The bytes that an id stands for: a byte piece's byte, else the piece with spaces for the sign."""
-        return bytes([int(self.piece[i][1:-1], 16)]) if self.library.is_byte(i) else self.piece[i].replace(SPACE, " ").encode()
-
 
 @lru_cache(maxsize=2)
 def pieces(model: bytes) -> Pieces:
@@ -151,7 +160,8 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
         texts = [t or "" for t in x["text"]]
         ids = [p.ids(t).tolist() for t in texts]
         check = p.library.encode(texts, num_threads=1)
-        decoded = [p.library.decode(i) if i else "" for i in ids]
+        told = iter(p.library.decode([i for i in ids if i], num_threads=1) if any(ids) else [])
+        decoded = [next(told) if i else "" for i in ids]
         return {"id": x["id"], "ids": ids, "decoded": decoded, "agrees": [a == b for a, b in zip(ids, check)]}
 
     out = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string, agrees boolean")
