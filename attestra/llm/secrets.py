@@ -104,7 +104,9 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no spans, and a null owner counts as none. Repeated rows give repeated
     results, an empty table an empty one; only the named columns are read. Texts are read once, and
     what was found (no text) is written to the shared checkpoint folder. Rows without candidates are
-    never shuffled; the places of a widely copied value meet its counts in several tasks; equal rows are told apart by number only, so any row order gives the same.
+    never shuffled; the places of a widely copied value, also those in exact copies of a text, meet its
+    counts in several tasks. A text of any length is searched whole in its task; equal rows are told
+    apart by number only, so ties and any row order give the same.
     """
     rows = cut_lineage(candidates(docs, id_col, text_col, owner_col))
     some = rows.where(F.size("found") > 0)
@@ -112,7 +114,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     each = some.select(*key, F.size("found").alias("of"), F.explode("found").alias("c")).select(*key, "of", "c.*")
     stats = ownership(each.select("value", "owner", "id"))
     is_live = (F.col("owners") < owners) & (F.col("repositories") < repositories)
-    judged = spread_join(each, stats, "value", ["print", "start"]).select(*key, "of", "kind", "start", "end", is_live.alias("looks_live"))
+    judged = spread_join(each, stats, "value", ["id", "print", "start"]).select(*key, "of", "kind", "start", "end", is_live.alias("looks_live"))
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
     # Equal rows fall into one group and hold `of` candidates each; the group is written out as often as there were rows.
     spans = judged.groupBy(*key, "of").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.struct("start", order.alias("k"), "end", "kind", "looks_live"))).alias("s"))

@@ -46,3 +46,18 @@ def test_no_added_span_over_a_base_span():
     base, every = pii.find(text)
     added = [s for s in every if s[0] in pii.ADDED]
     assert len(added) == 50 and not any(a < e and s < b for _, s, e, _ in added for _, a, b in base)
+
+
+def test_copies_of_one_secret_are_dealt_out(spark):
+    """5,000 exact copies of a text: its candidate meets its counts in as many tasks as rows of one key are split into, and the result is that of each copy."""
+    from pyspark.sql import functions as F
+
+    from attestra.llm import secrets
+
+    text = "token = 93f225f22ac4fd8e52991f66d5fe2fb55b67009f"
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"))
+    found = secrets.candidates(docs, "doc_id", "text", "source").select("id", "print", F.explode("found").alias("c")).select("id", "print", "c.start")
+    salts = found.groupBy(F.pmod(F.xxhash64("id", "print", "start"), F.lit(20)).alias("salt")).count().collect()
+    assert len(salts) == 20 and max(r["count"] for r in salts) < 2 * found.count() / 20
+    out = secrets.find_secrets(docs)
+    assert out.count() == 5000 and out.select("n_assign", "n_hex", "spans", "base_sha256").distinct().count() == 1
