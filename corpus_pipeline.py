@@ -62,10 +62,18 @@ STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decont
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; stages are written to the shared checkpoint folder."""
+    """Applies STAGES to documents; a stage is written to the shared checkpoint folder, and the one before it deleted once it is: at any time two of them exist."""
     folder, docs = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
