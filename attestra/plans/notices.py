@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.operators import notices as N
 from attestra.operators import post_details as D
+from attestra.operators import section_rules as S
 from attestra.operators.postings import let
 
 from . import bindings as B
@@ -110,3 +111,39 @@ def post_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = D.attached(D.claims(parsed))
     age = F.when(F.col("path").isin("age.minimum", "age.maximum") & F.col("problem").isNull(), F.col("value").cast("long"))
     return told.groupBy("doc_id").agg(F.count_if(F.col("problem").isNull()).alias("facts"), F.coalesce(F.sum(age), F.lit(0)).alias("ages"), F.count("problem").alias("problems"))
+
+
+def sectioned_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: an order as a notice of headed sections; pending orders state another maximum age in a second section."""
+    docs = orders_with_lines(spark, sf_dir)
+    head = F.expr("concat('Page 1 of 2\\n1. ELIGIBILITY CRITERIA:\\n1.1 Applicant must be a Citizen of India and Permanent Resident of Nord.\\n2.1 AGE LIMIT:\\nMinimum age: 18 years\\nMaximum: ', 20 + size(r), ' years\\n')")
+    second = F.when(F.col("status") == "P", "2.2 AGE\nMaximum: 99 years\n").otherwise("")
+    relaxed = F.expr("concat('2.3 AGE RELAXATION:\\nOBC/MOBC ', size(r), ' years\\n')")
+    listed = _text("3 DOCUMENTS REQUIRED\\n", "concat('(i) Bill of unit ', x.s, ' with\\nits copy.')")
+    exam = F.expr("concat('\\n4.1 WRITTEN TEST: There will be ', aggregate(r, 0, (a, x) -> a + x.q), ' questions.\\nPage 2 of 2\\nTotal marks will be 50.\\nAge is no heading here.')")
+    return docs.select("doc_id", F.concat(head, second, relaxed, listed, exam).alias("text"))
+
+
+@query("WITH " + ORDERS_SQL + """
+SELECT doc_id, 'nationality.requirement' AS path, 'Applicant must be a Citizen of India' AS value FROM g
+UNION ALL SELECT doc_id, 'domicile.requirement', 'Applicant must be a Citizen of India and Permanent Resident of Nord' FROM g
+UNION ALL SELECT doc_id, 'age.minimum', '18' FROM g UNION ALL SELECT doc_id, 'age.maximum', CAST(20 + n AS VARCHAR) FROM g WHERE st <> 'P'
+UNION ALL SELECT doc_id, 'age.relaxations', '[{"category":"OBC / MOBC","relaxation":"' || n || ' years"}]' FROM g
+UNION ALL SELECT doc_id, 'application.documents_required', '[' || array_to_string(list_transform(list_filter(s, lambda x, i: list_position(s, x) = i), lambda x: '"Bill of unit ' || x || ' with its copy"'), ',') || ']' FROM g
+UNION ALL SELECT doc_id, 'selection.exam_pattern', '[{"questions":' || total || ',"marks":50}]' FROM g""")
+def section_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT-8, WIN-6, SET-7, SRC-4, AGG-19: facts of headed sections by rules that are rows; of two maximum ages none is chosen."""
+    rules = S.rule_table(spark, S.default_rules("Nord", "Nordic"))
+    return S.section_facts(S.headed_sections(sectioned_notices(spark, sf_dir)), rules).select("doc_id", "path", "value")
+
+
+@query("""WITH m AS (SELECT doc_id, 'mail' AS path, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}')) AS value FROM documents
+UNION ALL SELECT doc_id, 'number', unnest(regexp_extract_all(text, '[0-9]{5,}')) FROM documents
+UNION ALL SELECT doc_id, 'code', unnest(regexp_extract_all(text, '([A-Z]{4}[0-9A-Z]*)[ .,]', 1)) FROM documents WHERE lang = 'en')
+SELECT doc_id, path, value, count(*) AS n FROM m GROUP BY ALL""")
+def grammar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function of user grammars: two patterns for all documents, a third for those in English."""
+    mail, number, code = '"mail": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]{2,}"', '"number": "[0-9]{5,}"', '"code": "([A-Z]{4}[0-9A-Z]*)[ .,]"'
+    grammar = F.when(F.col("lang") == "en", f"{{{mail}, {number}, {code}}}").otherwise(f"{{{mail}, {number}}}")
+    found = S.grammar_fields(B.t(spark, sf_dir, "documents"), grammar)
+    return found.groupBy("doc_id", "path", "value").agg(F.count(F.lit(1)).alias("n"))
