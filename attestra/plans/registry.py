@@ -1,7 +1,7 @@
 """All registered queries of the library."""
 
-from . import core, detail, more, notices, streams
+from . import core, detail, listed, more, notices, streams
 
-MODULES = (core, more, detail, notices, streams)
+MODULES = (core, more, detail, notices, listed, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
