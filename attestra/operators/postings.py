@@ -164,18 +164,21 @@ def aligned_names(docs: DataFrame, id_col: str = "doc_id", listing: str = "listi
     return docs.select(id_col, aligned(F.col(listing), F.col(parsed)).alias("a")).select(id_col, "a.*")
 
 
-def owner_posts(owners: DataFrame, posts: DataFrame, most_words: int = 6) -> DataFrame:
+def owner_posts(owners: DataFrame, posts: DataFrame) -> DataFrame:
     """JOIN-11: owner_id, post_id of each owner phrase that contains a post's organisation and its base name, as whole words.
 
-    owners: owner_id, phrase; posts: post_id, organisation, base, of at most most_words words each. A
-    phrase meets an organisation by one of its runs of words, so that no pair is made that shares none.
+    owners: owner_id, phrase; posts: post_id, organisation, base; of any number of words. An inverted index
+    of the phrases' words is probed by that word of an organisation that fewest phrases have; what meets
+    is compared in full. A post without an organisation has no owner.
     """
-    words = F.split(word_key("phrase"), " ")
-    runs = F.expr(f"array_distinct(flatten(transform(sequence(1, {most_words}), n -> transform(sequence(0, greatest(size(w) - n, 0)), i -> array_join(slice(w, i + 1, n), ' ')))))")
-    told = owners.select("owner_id", words.alias("w")).select("owner_id", runs.alias("runs"))
-    known = posts.select("post_id", word_key("organisation").alias("run"), word_key("base").alias("base"))
-    met = told.select("owner_id", "runs", F.explode("runs").alias("run")).join(known, "run")
-    return met.where(F.array_contains("runs", F.col("base"))).select("owner_id", "post_id").distinct()
+    told = owners.select("owner_id", word_key("phrase").alias("told")).where("told <> ''").distinct()
+    index = told.select("owner_id", "told", F.explode(F.array_distinct(F.split("told", " "))).alias("word"))
+    counts = index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = posts.select("post_id", word_key("organisation").alias("unit"), word_key("base").alias("base")).where("unit <> ''").distinct()
+    of = known.select("*", F.explode(F.array_distinct(F.split("unit", " "))).alias("word")).join(counts, "word", "left")
+    rare = of.groupBy("post_id", "unit", "base").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
+    within = lambda x: F.contains(F.concat(F.lit(" "), "told", F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" ")))
+    return index.join(rare, "word").where(within("unit") & ((F.col("base") == "") | within("base"))).select("owner_id", "post_id").distinct()
 
 
 def category_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

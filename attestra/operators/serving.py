@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import age_on, word_key, lifecycle
+from attestra.functions.scalars import age_on, lifecycle, word_key
 
 #: Fixed value: the order in which lifecycles are listed.
 LIFECYCLES = ("OPEN", "RECENTLY_CLOSED", "UPCOMING", "CLOSED", "UNKNOWN")
@@ -129,18 +129,39 @@ def age_outcome(age: Column, low: Column, high: Column, category: Column, relaxa
 def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """JOIN-13, the age rule of PIPE-19 alone: by profile, how many rules' outcomes there are.
 
-    Profiles are first reduced to distinct ages and categories, rules to distinct bounds with their
-    number. These few meet, and profiles take their counts by an equi-join. profiles: profile_id, age,
-    category; rules: low, high, relaxation.
+    A rule's outcome changes at a few ages, so that the counts of all rules at an age are the running sum
+    of their changes: nothing is paired. Rules are first reduced to distinct bounds and these to the
+    changes at an age; profiles take their counts by an equi-join. profiles: profile_id, age, category;
+    rules: low, high, relaxation. Ages and bounds are whole years.
     """
     bounds = rules.groupBy("low", "high", "relaxation").agg(F.count(F.lit(1)).alias("jobs"))
-    packed = bounds.agg(F.collect_list(F.struct("low", "high", "relaxation", "jobs")).alias("b"))  # whole years: one row
-    each = profiles.select("age", "category").distinct().join(packed, F.lit(True)).select("age", "category", F.explode("b").alias("r"))
-    outcome = age_outcome(F.col("age"), F.col("r.low"), F.col("r.high"), F.col("category"), F.col("r.relaxation"))
-    counts = [F.coalesce(F.sum(F.when(F.col("outcome") == s, F.col("jobs"))), F.lit(0)).alias(s.lower()) for s in SEVERITY]
-    told = each.select("age", "category", outcome.alias("outcome"), F.col("r.jobs").alias("jobs")).groupBy("age", "category").agg(*counts)
-    same = profiles["age"].eqNullSafe(told["age"]) & profiles["category"].eqNullSafe(told["category"])
-    return profiles.join(told, same).select("profile_id", *[s.lower() for s in SEVERITY])
+    low, high = F.col("low").cast("int"), F.col("high").cast("int")
+    ever = F.lit(-(1 << 31))
+    above = F.greatest(high + 1, F.coalesce(low, high + 1))
+    # what a rule says from an age on, for the general category and for the others
+    start = F.when(low.isNull() & high.isNull(), "UNKNOWN").when(low.isNull(), "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+    over = F.when(F.col("general"), "NOT_ELIGIBLE").when(F.col("relaxation").isNull(), "REVIEW_REQUIRED").otherwise("ELIGIBLE")
+    eased = F.greatest((high + F.col("relaxation") + 1).cast("int"), above)
+    says = F.array_compact(F.array(
+        F.struct(ever.alias("age"), start.alias("outcome")), F.when(low.isNotNull(), F.struct(low.alias("age"), F.lit("ELIGIBLE").alias("outcome"))),
+        F.when(high.isNotNull(), F.struct(above.alias("age"), over.alias("outcome"))),
+        F.when(high.isNotNull() & ~F.col("general") & F.col("relaxation").isNotNull(), F.struct(eased.alias("age"), F.lit("NOT_ELIGIBLE").alias("outcome"))),
+    ))
+    change = lambda s, i, name: (s["outcome"] == name).cast("long") - F.coalesce((F.get("says", i - 1)["outcome"] == name).cast("long"), F.lit(0))
+    names = [s.lower() for s in SEVERITY]
+    moves = F.transform("says", lambda s, i: F.struct(s["age"].alias("age"), *[(F.col("jobs") * F.when(i > 0, change(s, i, n.upper())).otherwise((s["outcome"] == n.upper()).cast("long"))).alias(n) for n in names]))
+    both = bounds.withColumn("general", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("says", says)
+    changes = both.select("general", F.explode(moves).alias("m")).select("general", "m.*")
+    seen = profiles.select("profile_id", F.col("age").cast("int").alias("age"), (F.col("category").isNull() | (F.col("category") == "GENERAL")).alias("general"))
+    ages = seen.where("age is not null").select("general", "age").distinct().select("general", "age", *[F.lit(0).cast("long").alias(n) for n in names])
+    at = changes.unionByName(ages).groupBy("general", "age").agg(*[F.sum(n).alias(n) for n in names])
+    so_far = Window.partitionBy("general").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)  # a row for each year
+    told = at.select("general", "age", *[F.sum(n).over(so_far).alias(n) for n in names])
+    ageless = bounds.agg(F.coalesce(F.sum("jobs"), F.lit(0)).alias("all"))
+    known = seen.where("age is not null").join(told, ["general", "age"]).select("profile_id", *names)
+    zero = F.lit(0).cast("long")
+    unknown = seen.where("age is null").join(F.broadcast(ageless), F.lit(True)).select("profile_id", *[(F.col("all") if n == "unknown" else zero).alias(n) for n in names])  # one row
+    return known.unionByName(unknown)
 
 
 def qualification_outcome(required: Column, kind: Column, held: Column) -> Column:

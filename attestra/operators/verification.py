@@ -142,35 +142,53 @@ def interpret_text(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("fact_id", "evidence_id", F.when(inside, "SUPPORTS").otherwise("CONTEXT_ONLY").alias("assessment"))
 
 
-def interpret_counts(text: Column, expected: Column) -> Column:
-    """PIPE-3, AGG-17, AGG-18 for totals: counts of 'N posts' that sum to the value support; several others are context, one other contradicts."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d{1,6})\s+(?:posts?|vacancies)"), F.lit(1)), lambda x: x.cast("int"))
-    total, n = F.aggregate(found, F.lit(0), lambda a, x: a + x), F.size(F.array_distinct(found))
-    return F.when(F.size(found) == 0, "CONTEXT_ONLY").when(total == expected, "SUPPORTS").when(n > 1, "CONTEXT_ONLY").when(F.get(found, F.lit(0)) == expected, "SUPPORTS").otherwise("CONTRADICTS")
-
-
 #: Words of a window by which a fact finds the texts that may contain it.
 WINDOW = 8
 
 
+#: Characters of a gram by which a short fact finds them.
+GRAM = 3
+
+
 def contained_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:
     """PIPE-3 for strings over all pairs: doc_id and fact_id of each text that contains a fact; all other pairs are context.
 
-    facts: fact_id, value; documents: doc_id, text; ids may repeat. A fact's inner words are whole words of a text that contains it, so they
-    meet in one window, the one of least hash; what meets is compared in full. Facts of one or two
-    words have no inner word and are compared with all texts.
+    facts: fact_id, value; documents: doc_id, text; ids may repeat. A fact's inner words are whole words of
+    a text that contains it, so they meet in one window, the one of least hash. A fact of one or two words
+    has no inner word and meets texts in one run of characters, of its own the one that fewest texts
+    have. What meets is compared in full. Texts are read once for their windows, once for their runs, and
+    once to be compared; nothing meets without a key in common.
     """
     known = facts.select("fact_id", comparison_text("value", F.lit(None).cast("string")).alias("value")).where("value <> ''").distinct()
     inner = known.withColumn("words", F.split("value", " ")).withColumn("words", F.expr("slice(words, 2, greatest(size(words) - 2, 0))")).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
-    windows = lambda width: F.expr(f"transform(sequence(0, size(words) - {width}), i -> xxhash64(slice(words, i + 1, {width})))")
+    windows = lambda width: F.expr(f"transform(sequence(0, size(words) - {width}), i -> struct({width} as width, xxhash64(slice(words, i + 1, {width})) as key))")
+    none = F.expr("cast(array() as array<struct<width:int,key:bigint>>)")
     texts = documents.select("doc_id", comparison_text("text", F.lit(None).cast("string")).alias("text"))
-    words = texts.select("doc_id", F.split("text", " ").alias("words"))
-    pairs = texts.crossJoin(inner.where("width = 0").select("fact_id", "value")).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id")
-    for width in sorted(r["width"] for r in inner.where("width > 0").select("width").distinct().collect()):  # WINDOW at most
-        keys = inner.where(F.col("width") == width).select("fact_id", "value", F.array_min(windows(width)).alias("window"))
-        met = words.where(F.size("words") >= width).select("doc_id", F.explode(F.array_distinct(windows(width))).alias("window")).join(keys, "window").select(F.col("doc_id").alias("met"), "fact_id", "value").distinct()
-        pairs = pairs.unionByName(texts.join(met, F.col("doc_id").eqNullSafe(F.col("met"))).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id"))
-    return pairs.distinct()
+    widths = sorted(r["width"] for r in inner.where("width > 0").select("width").distinct().collect())  # WINDOW at most
+    met = _met_by_gram(inner.where("width = 0").select("fact_id", "value"), texts)
+    if widths:
+        least = F.coalesce(*[F.when(F.col("width") == w, F.array_min(windows(w))) for w in widths])
+        keys = inner.where("width > 0").select("fact_id", "value", least.alias("k")).select("fact_id", "value", "k.*")
+        every = F.array_distinct(F.concat(*[F.when(F.size("words") >= w, windows(w)).otherwise(none) for w in widths]))
+        own = texts.select("doc_id", F.split("text", " ").alias("words")).select("doc_id", F.explode(every).alias("k")).select("doc_id", "k.*")
+        met = met.unionByName(own.join(keys, ["width", "key"]).select("doc_id", "fact_id", "value"))
+    met = met.select(F.col("doc_id").alias("met"), "fact_id", "value").distinct()
+    return texts.join(met, F.col("doc_id").eqNullSafe(F.col("met"))).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id").distinct()
+
+
+def _met_by_gram(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, fact_id, value where a text has the run of up to GRAM characters that is the rarest of the fact's own: an inverted index of runs, kept to those that facts have."""
+    runs = lambda text, n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    sizes = [r["n"] for r in facts.select(F.least(F.length("value"), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM at most
+    if not sizes:
+        return texts.select("doc_id").join(facts, F.lit(False))
+    size = F.least(F.length("value"), F.lit(GRAM))
+    own = facts.select("fact_id", "value", F.explode(F.array_distinct(F.coalesce(*[F.when(size == n, runs("value", n)) for n in sizes]))).alias("gram"))
+    held = texts.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs("text", n) for n in sizes]))).alias("gram"))
+    held = held.join(own.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = own.join(counts, "gram", "left").groupBy("fact_id", "value").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return held.join(rare, "gram").select("doc_id", "fact_id", "value")
 
 
 # What labels a number, and a date in the order in which labels are tried.

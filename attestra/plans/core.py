@@ -217,7 +217,7 @@ def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-17, WIN-17."""
+    """FLT-17, keys that repeat."""
     return H.duplicates(B.t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
@@ -417,7 +417,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT user_id AS source_id, max(ts) AS last_attempt FROM events GROUP BY 1), s AS (SELECT DISTINCT user_id AS source_id, user_id % 4 AS g FROM events WHERE user_id % 9 <> 0) SELECT source_id, source_id % 5 AS priority, CAST(CASE WHEN source_id % 3 = 0 THEN 45 ELSE g * 30 + 30 END AS INTEGER) AS minutes, coalesce(last_attempt + to_minutes(CAST(CASE WHEN source_id % 3 = 0 THEN 45 ELSE g * 30 + 30 END AS INTEGER)) <= TIMESTAMP '2024-01-30 23:30:00', TRUE) AS is_due FROM s JOIN a USING (source_id)")
 def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MON-3, JOIN-9, FN-26, SORT-7, AGG-25."""
+    """MON-3, JOIN-9, FN-26, SORT-7."""
     e = B.t(spark, sf_dir, "events")
     u = F.col("user_id")
     sources = e.select(u.alias("source_id"), (u % 4).alias("group"), (u % 5).alias("priority"), F.when(u % 3 == 0, 45).alias("interval_minutes"), (u % 9 != 0).alias("enabled")).distinct()

@@ -212,7 +212,7 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + 10 AS end_date, CAST(o_orderdate AS DATE) AS worded, o_orderdate >= TIMESTAMP '1999-06-01' AS within,
   strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS due FROM orders""")
 def window_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-19, FN-21, FN-22, FN-26: dates that notices write in several ways."""
+    """FLT-10, FN-21, FN-22, FN-26: dates that notices write in several ways."""
     o, day = B.t(spark, sf_dir, "orders"), F.to_date("o_orderdate")
     write = lambda d: F.date_format(d, "d/M/yyyy")
     window = S.application_window(F.concat(F.lit("Apply from "), write(day), F.lit(" until "), write(F.date_add(day, 10)), F.lit(".")))
@@ -223,7 +223,7 @@ def window_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, contains(lower(url), 'page') AND NOT contains(lower(url), 'old') AS accepted FROM pages""")
 def accepted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-10: by a rule of wanted and unwanted terms."""
+    """FLT-9: by a rule of wanted and unwanted terms."""
     return B.t(spark, sf_dir, "pages").select("page_id", S.accepted_by_rule("url", ("page",), ("old",)).alias("accepted"))
 
 

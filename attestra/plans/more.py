@@ -192,7 +192,7 @@ def labelled_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS post_id, CASE count(s_suppkey) WHEN 1 THEN 'ATTACHED' WHEN 0 THEN 'UNMATCHED' ELSE 'AMBIGUOUS' END AS status FROM lineitem LEFT JOIN (SELECT s_suppkey, s_suppkey % 60 AS k FROM supplier WHERE s_suppkey % 4 <> 0) ON k = l_partkey % 60 GROUP BY l_orderkey, l_linenumber")
 def attached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-10, EXT-9, AGG-18."""
+    """JOIN-10."""
     rows = B.t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_partkey") % 60).alias("k"))
     posts = B.t(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("post_id"), (F.col("s_suppkey") % 60).alias("k"))
     return E.unambiguous_matches(rows, posts, ["k"], "row_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.streaming import jobs as J
+from attestra.streaming import timers as T
 
 from . import bindings as B
 
@@ -83,3 +84,35 @@ def appended_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for state in ("first", "second"):
         J.append_each_batch(read_stream(spark, sf_dir, "orders"), pick, f"{into}/rows", ["subject", "status"], f"{into}/{state}").awaitTermination()
     return spark.read.parquet(f"{into}/rows").select("subject", "status")
+
+
+def with_rocksdb(spark: SparkSession, run) -> DataFrame:
+    """run() while the session's state store is RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, J.ROCKSDB)
+    try:
+        return run()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events),
+w AS (SELECT user_id, min(ms) AS s FROM e GROUP BY 1 UNION ALL SELECT user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND ms >= w.s + 60000) FROM w WHERE s IS NOT NULL),
+x AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS n FROM w WHERE s IS NOT NULL),
+c AS (SELECT x.user_id, s, n, count(*) AS requests FROM x JOIN e ON e.user_id = x.user_id AND ms >= s AND ms < s + 60000 GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS client, s AS start_ms, requests, requests > 1 AS limited FROM c WHERE n IS NOT NULL OR s + 60000 <= (SELECT max(ms) FROM e) - 300000""")
+def first_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-4, exact: windows that start with a client's first request; the last one of a client is closed by its timer."""
+    e = read_stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    run = lambda: J.run_to_end(T.request_windows(e, limit=1, client="user_id"), folder(spark, "windows"))
+    return with_rocksdb(spark, run).select("client", F.unix_millis("start").alias("start_ms"), "requests", "limited")
+
+
+@query("WITH " + B.RUNS_SQL + """, s AS (SELECT DISTINCT source_id, epoch_us(started_at) // 1000 AS ms FROM runs WHERE status = 'SUCCESS'),
+g AS (SELECT source_id, ms, lead(ms) OVER (PARTITION BY source_id ORDER BY ms) AS next FROM s)
+SELECT CAST(source_id AS VARCHAR) AS source, ms AS since_ms FROM g WHERE next > ms + 26 * 3600000 OR (next IS NULL AND ms + 26 * 3600000 <= (SELECT max(ms) FROM s) - 3600000)""")
+def overdue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-2: successes after which a source has none for 26 hours, found by a timer where nothing follows."""
+    successes = runs(spark, sf_dir).where("status = 'SUCCESS'")
+    return with_rocksdb(spark, lambda: J.run_to_end(T.overdue_sources(successes), folder(spark, "overdue"))).select("source", F.unix_millis("since").alias("since_ms"))

@@ -4,6 +4,7 @@ import datetime
 
 from attestra.operators import extraction as E
 from attestra.operators import notices as N
+from attestra.operators import postings as O
 from attestra.operators import serving as P
 from attestra.operators import verification as V
 from attestra.plans import registry
@@ -63,3 +64,35 @@ def test_lifecycle_order_has_all_jobs(spark):
     sf_dir = "/root/testdata/sf0.001"
     page, everything = (registry.QUERIES[q](spark, sf_dir).collect() for q in ("lifecycle_page", "lifecycle_table"))
     assert len(everything) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() > 200 and everything[:200] == page
+
+
+def test_short_facts_and_long_names_meet_by_an_index(spark):
+    docs = spark.createDataFrame([(1, "xfoo bary and more"), (2, "foo  BAR"), (3, "fo bar"), (4, "a"), (5, None)], "doc_id int, text string")
+    facts = spark.createDataFrame([("two", "foo bar"), ("one", "oo"), ("letter", "A"), ("none", "zzz")], "fact_id string, value string")
+    assert {tuple(r) for r in V.contained_facts(facts, docs).collect()} == {(1, "two"), (2, "two"), (1, "one"), (2, "one"), (1, "letter"), (2, "letter"), (3, "letter"), (4, "letter")}
+    assert V.contained_facts(facts.where("1 = 0"), docs).count() == 0 == V.contained_facts(facts, docs.where("1 = 0")).count()
+    long = "Office of the Joint Director of Public Works and Roads"
+    owners = spark.createDataFrame([(1, f"Clerk at the {long}, North"), (2, "Office of the Joint Director"), (3, f"{long}s clerk"), (4, None)], "owner_id int, phrase string")
+    posts = spark.createDataFrame([(7, long, "clerk"), (8, long, "driver"), (9, "", "clerk"), (10, "joint director", "office")], "post_id int, organisation string, base string")
+    assert {tuple(r) for r in O.owner_posts(owners, posts).collect()} == {(1, 7), (1, 10), (2, 10), (3, 10)}
+
+
+def test_counts_of_outcomes_by_age_against_all_pairs(spark):
+    ages = [(k, a, c) for k, (a, c) in enumerate((a, c) for a in (None, 5, 17, 18, 20, 25, 26, 30, 31, 36, 90) for c in (None, "GENERAL", "OTHER"))]
+    rules = [(lo, hi, r) for lo in (None, 18, 30) for hi in (None, 25, 30, 10) for r in (None, 0, 5)] * 2
+
+    def outcome(age, category, lo, hi, r):
+        if lo is None and hi is None or age is None:
+            return "unknown"
+        if lo is not None and age < lo:
+            return "not_eligible"
+        if hi is None or age <= hi:
+            return "eligible"
+        if category in (None, "GENERAL"):
+            return "not_eligible"
+        return "review_required" if r is None else "not_eligible" if age > hi + r else "eligible"
+
+    names = ("eligible", "unknown", "review_required", "not_eligible")
+    want = {(k, *(sum(outcome(a, c, *x) == n for x in rules) for n in names)) for k, a, c in ages}
+    got = P.eligible_jobs(spark.createDataFrame(ages, "profile_id int, age int, category string"), spark.createDataFrame(rules, "low int, high int, relaxation int"))
+    assert {(r["profile_id"], *(r[n] for n in names)) for r in got.collect()} == want
