@@ -96,14 +96,17 @@ def quality_report(docs: DataFrame, headings: DataFrame, structured: DataFrame,
     return docs.select(id_col).join(h, id_col, "left").join(structured.select(id_col, "status", "strategy"), id_col, "left")
 
 
-def breakdown_rows(df: DataFrame, id_col: str, json_col: str, depth: int) -> DataFrame:
-    """FN-29: id, path, value of the scalars in a JSON object, as deep as `depth` keys; keys are joined by dots."""
+def breakdown_rows(df: DataFrame, id_col: str, json_col: str, depth: int | None = None) -> DataFrame:
+    """FN-29: id, path, value of the scalars and lists in a JSON object, however deep; keys are joined by dots. With depth, objects below so many keys are left out.
+
+    A level of keys is read at a time; without depth a job looks whether there is another.
+    """
     level = df.select(id_col, F.lit("").alias("path"), F.try_parse_json(json_col).alias("v"))
-    found = None
-    for _ in range(depth):
+    found, seen = None, 0
+    while found is None or (seen < depth if depth is not None else not level.isEmpty()):
         entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
         level = level.select(id_col, "path", F.explode(entries).alias("e")).select(id_col, F.concat_ws(".", F.nullif("path", F.lit("")), F.col("e.key")).alias("path"), F.col("e.value").alias("v"))
         rows = level.where(~F.schema_of_variant("v").startswith("OBJECT")).select(id_col, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        found = rows if found is None else found.unionByName(rows)
+        found, seen = rows if found is None else found.unionByName(rows), seen + 1
         level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
     return found

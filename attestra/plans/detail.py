@@ -348,7 +348,7 @@ def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-28, FN-29: nested JSON as rows of path and value."""
     o = B.t(spark, sf_dir, "orders")
     body = F.struct(F.struct(F.col("o_orderstatus").alias("men"), F.struct(F.col("o_orderpriority").alias("total")).alias("women")).alias("OBC"), F.col("o_custkey").alias("UR"))
-    return E.breakdown_rows(o.select(F.col("o_orderkey").alias("id"), F.to_json(body).alias("json")), "id", "json", depth=4)
+    return E.breakdown_rows(o.select(F.col("o_orderkey").alias("id"), F.to_json(body).alias("json")), "id", "json")
 
 
 # Sources: files are written under the shared folder first, and read as a source

@@ -108,6 +108,8 @@ def test_breakdowns_go_as_deep_as_asked(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": 1, "c": {"d": [2]}}, "e": null, "f": "x"}'), (2, "not json"), (3, None)], "id long, json string")
     got = {(r["id"], r["path"], r["value"]) for r in E.breakdown_rows(df, "id", "json", 3).collect()}
     assert {g for g in got if g[1] != "e"} == {(1, "a.b", "1"), (1, "a.c.d", "[2]"), (1, "f", "x")}
+    deep = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": {"e": {"f": 7}}}}}, "g": {}}')], "id long, json string")
+    assert [tuple(r) for r in E.breakdown_rows(deep, "id", "json").collect()] == [(1, "a.b.c.d.e.f", "7")] and E.breakdown_rows(deep, "id", "json", 3).count() == 0
 
 
 def test_a_replayed_batch_replaces_its_folder(spark, tmp_path):
