@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, table
 
-#: Hash buckets of words and word pairs, together: a power of two, this many at least, and as many as BUCKETS_A_ROOT times the square root of the corpus's bytes.
-BUCKETS, BUCKETS_A_ROOT = 1 << 15, 5
+#: Hash buckets of words and word pairs, together, whatever the size of the corpus: a verdict depends on the counts alone.
+BUCKETS = 1 << 17
 #: Thousandths of a nat, as which ratios are stored: sums are then exact and the same in any order.
 UNIT = 1000
 #: Nats for each n-gram; a document below this reads less like the trusted ones than like the others.
@@ -114,26 +114,18 @@ def trusted_by_rule() -> Column:
     return (n >= 50) & (100 * symbols <= n) & (20 * shouts <= n) & (100 * F.size(F.array_distinct("h")) >= 35 * n) & (F.size("lines") == F.size(F.array_distinct("lines")))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """How many buckets the texts of docs (id, text) get: distinct n-grams grow with a corpus, and so do the statistics about them."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    return max(BUCKETS, 1 << math.ceil(math.log2(max(1.0, BUCKETS_A_ROOT * math.sqrt(size)))))
-
-
-def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: int | None = None) -> list[int]:
+def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: int = BUCKETS) -> list[int]:
     """For each bucket, the log of its share among trusted documents over its share among all, in thousandths.
 
     docs has id and text; trusted is a condition on text, lines and n (the number of words). All
-    documents are counted, each n-gram first within its task. What reaches the driver is one line
-    with the counts of the buckets, which grow with the square root of the corpus.
+    documents are counted, first within each task. What reaches the driver is a row for each bucket,
+    `buckets` of them at most, whatever the corpus.
     """
-    buckets = buckets_for(docs) if buckets is None else buckets
     of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).alias("trusted"), F.concat("h", "p").alias("g"))
     each = of.select(F.col("trusted").cast("long").alias("trusted"), F.explode("g").alias("x"))
     counted = each.groupBy(F.pmod("x", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t"))
-    line = counted.agg(F.concat_ws(",", F.collect_list(F.concat_ws(":", "b", "n", "t"))).alias("line")).first()["line"]
     target, raw = [0] * buckets, [0] * buckets
-    for b, n, t in (map(int, x.split(":")) for x in line.split(",") if x):
+    for b, n, t in counted.select("b", "n", "t").collect():
         raw[b], target[b] = n, t
     shift = math.log((SMOOTHING * buckets + sum(raw)) / (SMOOTHING * buckets + sum(target)))
     return [round(UNIT * (math.log((t + SMOOTHING) / (r + SMOOTHING)) + shift)) for t, r in zip(target, raw)]

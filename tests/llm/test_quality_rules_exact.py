@@ -1,4 +1,4 @@
-"""Quality rules: repeated windows by their words, whatever their hashes, and buckets that grow with the corpus."""
+"""Quality rules: repeated windows by their words, whatever their hashes, and buckets whose number no corpus changes."""
 
 import random
 
@@ -30,8 +30,13 @@ def test_windows_with_equal_hashes_count_by_their_words(spark):
     assert {r["id"]: r["n_repeat_words"] for r in quality_rules._repeat_words(same).collect()} == {0: 6, 1: 0, 2: 4}
 
 
-def test_buckets_grow_with_the_corpus(spark):
-    small = spark.createDataFrame([(1, "x" * 1000), (2, None)], "id long, text string")
-    large = spark.range(2000).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
-    assert quality_rules.buckets_for(small) == quality_rules.BUCKETS and quality_rules.buckets_for(small.where("1 = 0")) == quality_rules.BUCKETS
-    assert quality_rules.buckets_for(large) == 1 << 17
+def test_a_verdict_does_not_depend_on_size_steps(spark):
+    """A corpus of any size has the same buckets, and a document that shares no word with the others keeps its verdict."""
+    words = " ".join(f"w{i}" for i in range(60))
+    small = spark.createDataFrame([(1, words), (2, None)], "id long, text string")
+    assert len(quality_rules.bucket_ratios(small.where("1 = 0"))) == quality_rules.BUCKETS
+    large = small.union(spark.range(3, 2003).select("id", F.repeat(F.lit("x"), 50_000).alias("text")))
+    few, many = quality_rules.bucket_ratios(small), quality_rules.bucket_ratios(large)
+    assert len(few) == len(many) == quality_rules.BUCKETS
+    kept = [{r["id"]: r["kept"] for r in quality_rules.quality_rules(small, r, id_col="id").collect()} for r in (few, many)]
+    assert kept[0] == kept[1] == {1: True, 2: False}
