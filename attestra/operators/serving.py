@@ -164,27 +164,88 @@ def eligible_jobs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
-def qualification_outcome(required: Column, kind: Column, held: Column) -> Column:
-    """PIPE-19, qualification: only the same text is a match; anything else is for review."""
-    match = F.exists(held, lambda x: word_key(x) == word_key(required))
-    return F.when(required.isNull() | F.coalesce(F.size(held) == 0, F.lit(True)), "UNKNOWN").when((kind == "STRING") & match, "ELIGIBLE").otherwise("REVIEW_REQUIRED")
+#: What an eligibility rule is made of.
+RULE = ("low", "high", "cutoff", "relaxations", "qualification", "qualification_kind", "domicile", "months", "years", "experience")
+#: Slices into which the profiles of one year of birth are dealt, so that a year that many share is many tasks' work; each rule meets every slice.
+SLICES = 8
+
 
+def day_key(day: Column) -> Column:
+    """A date as an integer in which a year is 10,000: someone is at least n years old on a day if the key of the birth is at most the day's less 10,000 n."""
+    return F.year(day).cast("long") * 10_000 + F.month(day) * 100 + F.dayofmonth(day)
 
-def domicile_outcome(required: Column, lives_there: Column, region: str) -> Column:
-    """PIPE-19, domicile: a rule that names the region and residence is decided, another is for review."""
-    text = F.lower(required)
+
+def _distinct_rules(rules: DataFrame, region: str) -> DataFrame:
+    """The distinct rules, what their texts say decided once: first_job, jobs, birth bounds, wanted (a qualification's key), domicile_rule, least (months)."""
+    whole = lambda c: F.col(c).try_cast("int").cast("long")
+    low, high, text = whole("low"), whole("high"), F.lower("domicile")
+    unread = F.col("cutoff").isNull() | (F.col("low").isNotNull() & low.isNull()) | (F.col("high").isNotNull() & high.isNull())
+    cutoff, least = day_key(F.col("cutoff")), F.coalesce(F.col("months"), F.col("years") * 12)
     known = text.contains(region.lower()) & text.rlike("domicile|resident")
-    return F.when(required.isNull(), "UNKNOWN").when(~known, "REVIEW_REQUIRED").when(lives_there.isNull(), "UNKNOWN").when(lives_there, "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+    return rules.groupBy(*RULE).agg(F.count(F.lit(1)).alias("jobs"), F.min("job_id").alias("first_job")).select(
+        "first_job", "jobs", "relaxations",
+        F.when(F.col("low").isNull() & F.col("high").isNull(), "NONE").when(unread, "UNREAD").otherwise("BOUNDS").alias("age_rule"),
+        (cutoff - low * 10_000).alias("old_enough"), (cutoff - (high + 1) * 10_000).alias("too_old"),
+        F.when(F.col("qualification").isNull(), "NONE").when(F.col("qualification_kind") == "STRING", "TEXT").otherwise("OTHER").alias("qualification_rule"), word_key("qualification").alias("wanted"),
+        F.when(text.isNull(), "NONE").when(known, "REGION").otherwise("OTHER").alias("domicile_rule"),
+        F.when(least.isNotNull(), "MONTHS").when(F.col("experience").isNotNull(), "OTHER").otherwise("NONE").alias("experience_rule"), least.alias("least"),
+    )
 
 
-def experience_outcome(months: Column, years: Column, text: Column, has: Column) -> Column:
-    """PIPE-19, experience: months before years; a rule without either is for review."""
-    least = F.coalesce(months, years * 12)
-    return F.when(least.isNull() & text.isNull(), "UNKNOWN").when(least.isNull(), "REVIEW_REQUIRED").when(has.isNull(), "UNKNOWN").when(has >= least, "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+#: Keys below and above those of all dates.
+_EVER, _NEVER = -(1 << 62), 1 << 62
 
 
-#: What an eligibility rule is made of.
-RULE = ("low", "high", "cutoff", "relaxations", "qualification", "qualification_kind", "domicile", "months", "years", "experience")
+def _zones(rules: DataFrame) -> DataFrame:
+    """Rules by the zones of births in which their age criterion says one thing: after (exclusive), upto (inclusive), zone.
+
+    FIT lies between the bounds, YOUNG below the minimum and OLD above the maximum, which relaxations may
+    mend; a rule without bounds that can be read has one zone of all births. The zones of a rule
+    are disjoint and cover every birth.
+    """
+    low, high = F.coalesce("old_enough", F.lit(_NEVER)), F.coalesce("too_old", F.lit(_EVER))
+    zone = lambda name, after, upto: F.struct(F.lit(name).alias("zone"), after.alias("after"), upto.alias("upto"))
+    ever, never = F.lit(_EVER), F.lit(_NEVER)
+    bounds = F.array(zone("YOUNG", low, never), zone("FIT", F.least(high, low), low), zone("OLD", ever, F.least(high, low)))
+    out = rules.withColumn("z", F.explode(F.when(F.col("age_rule") == "BOUNDS", bounds).otherwise(F.array(zone("ANY", ever, never)))))
+    return out.select("*", "z.*").drop("z").where("after < upto")
+
+
+def _seen(profiles: DataFrame) -> DataFrame:
+    """Profiles with their key and year of birth, their slice and the keys of their qualifications; a profile without a birth is of the year 0, in every zone."""
+    return profiles.select(
+        "profile_id", "category", "lives_there", "experience_months", day_key(F.col("born")).alias("birth"), F.coalesce(F.year("born").cast("long"), F.lit(0)).alias("year"),
+        F.pmod(F.xxhash64("profile_id"), F.lit(SLICES)).cast("int").alias("slice"), F.array_distinct(F.transform("qualifications", lambda x: word_key(x))).alias("held"),
+    )
+
+
+def _years(zones: DataFrame, seen: DataFrame) -> DataFrame:
+    """Zones once for each year of birth that they touch, among the years in which a profile was born, and for each slice."""
+    born = seen.select("year").where("year <> 0").distinct()
+    years = born.agg(F.coalesce(F.min("year"), F.lit(0).cast("long")).alias("first"), F.coalesce(F.max("year"), F.lit(-1).cast("long")).alias("last"))  # one row
+    of = lambda key: F.floor(key / 10_000).cast("long")
+    start, stop = F.greatest(of(F.col("after")), F.col("first")), F.least(of(F.col("upto")), F.col("last"))
+    near = zones.join(F.broadcast(years), F.lit(True)).withColumn("year", F.explode(F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>")))).drop("first", "last")
+    return near.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+
+
+def _outcomes(pairs: DataFrame) -> DataFrame:
+    """PIPE-19 of pairs of a profile and the zone of a rule: the four criteria's outcomes and the most severe."""
+    relaxation = F.get(F.transform(F.filter("relaxations", lambda x: x["category"] == F.col("category")), lambda x: x["years"]), F.lit(0))
+    general = F.col("category").isNull() | (F.col("category") == "GENERAL")
+    older = F.when(general, "NOT_ELIGIBLE").when(relaxation.isNull(), "REVIEW_REQUIRED").when(F.col("birth") <= F.col("too_old") - relaxation.cast("long") * 10_000, "NOT_ELIGIBLE").otherwise("ELIGIBLE")
+    age = (
+        F.when((F.col("age_rule") == "NONE") | F.col("birth").isNull(), "UNKNOWN").when(F.col("age_rule") == "UNREAD", "REVIEW_REQUIRED").when(F.col("zone") == "YOUNG", "NOT_ELIGIBLE")
+        .when(F.col("zone") == "FIT", "ELIGIBLE").otherwise(older)
+    )
+    match = (F.col("qualification_rule") == "TEXT") & F.array_contains("held", F.col("wanted"))
+    qualification = F.when((F.col("qualification_rule") == "NONE") | F.coalesce(F.size("held") == 0, F.lit(True)), "UNKNOWN").when(match, "ELIGIBLE").otherwise("REVIEW_REQUIRED")
+    lives, has = F.col("lives_there"), F.col("experience_months")
+    domicile = F.when(F.col("domicile_rule") == "NONE", "UNKNOWN").when(F.col("domicile_rule") == "OTHER", "REVIEW_REQUIRED").when(lives.isNull(), "UNKNOWN").when(lives, "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+    rule = F.col("experience_rule")
+    experience = F.when(rule == "NONE", "UNKNOWN").when(rule == "OTHER", "REVIEW_REQUIRED").when(has.isNull(), "UNKNOWN").when(has >= F.col("least"), "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+    out = pairs.select("profile_id", "first_job", "jobs", age.alias("age"), qualification.alias("qualification"), domicile.alias("domicile"), experience.alias("experience"))
+    return out.withColumn("outcome", overall(*map(F.col, ("age", "qualification", "domicile", "experience"))))
 
 
 def evaluate_eligibility(profiles: DataFrame, rules: DataFrame, region: str) -> DataFrame:
@@ -192,20 +253,37 @@ def evaluate_eligibility(profiles: DataFrame, rules: DataFrame, region: str) ->
 
     profiles: profile_id, born, category, qualifications (array), lives_there, experience_months. rules:
     job_id and RULE; low and high are text as published, relaxations an array of (category, years).
-    A rule's jobs, counted in jobs and the least in first_job, share its outcome, so that no
-    pair of profile and job is written; jobs meet their rule again by RULE.
+    A rule's jobs, counted in jobs and the least in first_job, share its outcome; jobs meet their rule again
+    by RULE. Every profile is told about every distinct rule, so the result is as large as that says:
+    eligible_pairs finds the fitting ones without it. A profile meets the one zone of a rule's ages in which it
+    was born, by year and slice; texts are read once a rule or profile.
     """
-    packed = rules.groupBy(*RULE).agg(F.count(F.lit(1)).alias("jobs"), F.min("job_id").alias("first_job")).agg(F.collect_list(F.struct(*RULE, "jobs", "first_job")).alias("all"))
-    each = profiles.join(F.broadcast(packed), F.lit(True)).select(*profiles.columns, F.explode("all").alias("r")).select("*", "r.*").drop("r")
-    low, high = F.col("low").try_cast("int"), F.col("high").try_cast("int")
-    relaxation = F.get(F.transform(F.filter("relaxations", lambda x: x["category"] == F.col("category")), lambda x: x["years"]), F.lit(0))
-    unread = F.col("cutoff").isNull() | (F.col("low").isNotNull() & low.isNull()) | (F.col("high").isNotNull() & high.isNull())
-    age = F.when((F.col("low").isNull() & F.col("high").isNull()) | F.col("born").isNull(), "UNKNOWN").when(unread, "REVIEW_REQUIRED").otherwise(age_outcome(age_on("born", "cutoff"), low, high, F.col("category"), relaxation))
-    out = each.select(
-        "profile_id", "first_job", "jobs", age.alias("age"), qualification_outcome(F.col("qualification"), F.col("qualification_kind"), F.col("qualifications")).alias("qualification"),
-        domicile_outcome(F.col("domicile"), F.col("lives_there"), region).alias("domicile"), experience_outcome(F.col("months"), F.col("years"), F.col("experience"), F.col("experience_months")).alias("experience"),
-    )
-    return out.withColumn("outcome", overall(*map(F.col, ("age", "qualification", "domicile", "experience"))))
+    seen, zones = _seen(profiles), _zones(_distinct_rules(rules, region))
+    dated = seen.join(_years(zones, seen), ["year", "slice"]).where("birth > after and birth <= upto")
+    # without a birth no zone is needed: the rule meets it as it is
+    all_births = F.lit("ANY").alias("zone"), F.lit(_EVER).alias("after"), F.lit(_NEVER).alias("upto"), F.lit(0).cast("long").alias("year")
+    undated = _distinct_rules(rules, region).select("*", *all_births, F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    missing = seen.where("birth is null").join(undated, ["year", "slice"])
+    return _outcomes(dated.unionByName(missing))
+
+
+def eligible_pairs(profiles: DataFrame, rules: DataFrame, region: str) -> DataFrame:
+    """JOIN-13, PIPE-19: the pairs of a profile and a distinct rule that come out ELIGIBLE, and no others are made.
+
+    A pair is eligible only if a qualification that the profile holds has the rule's key and the birth lies
+    in a zone that is not YOUNG, so profiles and rules meet by that key, year of birth and slice; what
+    is left is decided on the pair. Same inputs and columns as evaluate_eligibility. A profile
+    without a birth, qualification, residence or experience is eligible nowhere.
+    """
+    may = "age_rule = 'BOUNDS' and qualification_rule = 'TEXT' and domicile_rule = 'REGION' and experience_rule = 'MONTHS'"
+    seen = _seen(profiles).where("birth is not null and lives_there and experience_months is not null")
+    eased = F.coalesce(F.array_max(F.transform("relaxations", lambda x: x["years"])), F.lit(0))
+    zones = _zones(_distinct_rules(rules, region).where(may)).where("zone <> 'YOUNG'")
+    zones = zones.withColumn("after", F.when(F.col("zone") == "OLD", F.col("too_old") - eased.cast("long") * 10_000).otherwise(F.col("after"))).where("after < upto")
+    wanted = _years(zones, seen)
+    each = seen.withColumn("wanted", F.explode("held"))
+    pairs = each.join(wanted, ["wanted", "year", "slice"]).where("birth > after and birth <= upto and experience_months >= least")
+    return _outcomes(pairs).where("outcome = 'ELIGIBLE'")
 
 
 def detail_results(jobs: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:

@@ -334,9 +334,8 @@ o AS (SELECT profile_id, first_job, jobs, CASE WHEN (low IS NULL AND open_) OR b
 SELECT *, CASE WHEN 'NOT_ELIGIBLE' IN (age, qualification, domicile, experience) THEN 'NOT_ELIGIBLE' WHEN 'REVIEW_REQUIRED' IN (age, qualification, domicile, experience) THEN 'REVIEW_REQUIRED' WHEN 'UNKNOWN' IN (age, qualification, domicile, experience) THEN 'UNKNOWN' ELSE 'ELIGIBLE' END AS outcome FROM o"""
 
 
-@query(_JOB_ELIGIBILITY)
-def job_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PIPE-19, JOIN-13, AGG-28: customers as profiles, parts as jobs whose rules follow from their size."""
+def _profiles_and_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as profiles, parts as jobs whose rules follow from their size."""
     c, p = B.t(spark, sf_dir, "customer"), B.t(spark, sf_dir, "part")
     k, n, s = F.col("c_custkey"), F.col("c_nationkey"), F.col("p_size")
     profiles = c.select(
@@ -351,7 +350,19 @@ def job_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 4 == 1, "Local candidates").when(s % 4 == 2, "Permanent resident of ASSAM").when(s % 4 == 3, "Assam domicile").alias("domicile"),
         F.when(s % 5 == 1, s).alias("months"), F.when(s % 5 == 2, s % 6).alias("years"), F.when(s % 5 == 3, "Some").alias("experience"),
     )
-    return P.evaluate_eligibility(profiles, rules, "Assam")
+    return profiles, rules
+
+
+@query(_JOB_ELIGIBILITY)
+def job_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PIPE-19, JOIN-13, AGG-28."""
+    return P.evaluate_eligibility(*_profiles_and_rules(spark, sf_dir), "Assam")
+
+
+@query(f"SELECT * FROM ({_JOB_ELIGIBILITY}) WHERE outcome = 'ELIGIBLE'")
+def eligible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOIN-13, PIPE-19: where each profile is eligible, by a range join."""
+    return P.eligible_pairs(*_profiles_and_rules(spark, sf_dir), "Assam")
 
 
 @query("SELECT l_orderkey AS fact_id, n_name AS authority, CASE l_suppkey % 3 WHEN 0 THEN 'AUTHORITATIVE_OFFICIAL' WHEN 1 THEN 'OFFICIAL_SUPPORTING' ELSE 'SECONDARY_DISCOVERY_ONLY' END AS source_class, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3")

@@ -1,6 +1,7 @@
 """Cases in which a query once did less than its whole job."""
 
 import datetime
+import random
 
 from attestra.operators import extraction as E
 from attestra.operators import notices as N
@@ -36,6 +37,44 @@ def test_eligibility_by_all_criteria(spark):
     assert got["too new", 1] == (2, yes, yes, yes, no, no) and got["says nothing", 1] == (2, *[unknown] * 5) and got["relaxed", 1] == (2, yes, yes, yes, yes, yes)
 
 
+def test_eligible_pairs_are_those_of_all_pairs(spark):
+    """The range join against every pair, on bounds that cross, days at the edge, leap days, odd numbers and nulls."""
+    rng = random.Random(5)
+    days = [datetime.date(1988, 2, 29), datetime.date(1990, 12, 31), datetime.date(1991, 1, 1), datetime.date(1990, 1, 1)]
+    pick = lambda *xs: rng.choice(xs)
+    profiles = [(i, pick(*days, None), pick("GENERAL", "OBC", "SC", None), pick(["B.A."], ["b a", "M.A."], [], None, [None, "b.a"]), pick(True, True, False, None), pick(24, 36, 0, None)) for i in range(90)]
+    rules = [(i, pick("18", "30", None, "2000000000", "x"), pick("28", "30", "33", None, "x"), pick(datetime.date(2020, 12, 31), datetime.date(2021, 1, 1), datetime.date(2021, 2, 28), None), pick([], [("OBC", 3)], [("OBC", 1), ("SC", 5)], None),
+              pick("B.A.", "b-a", "M.A.", None), pick("STRING", "STRING", "JSON"), pick("Resident of Assam", "assam domicile", "local", None), pick(24, 36, None), pick(2, None), pick("some", None)) for i in range(240)]
+    given = spark.createDataFrame(profiles, "profile_id int, born date, category string, qualifications array<string>, lives_there boolean, experience_months int")
+    held = spark.createDataFrame(rules, "job_id int, low string, high string, cutoff date, relaxations array<struct<category:string,years:int>>, qualification string, qualification_kind string, domicile string, months int, years int, experience string")
+
+    def age_says(p, r):
+        low, high, cutoff = r[1], r[2], r[3]
+        if (low is None and high is None) or p[1] is None:
+            return "UNKNOWN"
+        if cutoff is None or "x" in (low, high):
+            return "REVIEW_REQUIRED"
+        age = cutoff.year - p[1].year - ((cutoff.month, cutoff.day) < (p[1].month, p[1].day))
+        if low is not None and age < int(low):
+            return "NOT_ELIGIBLE"
+        if high is None or age <= int(high):
+            return "ELIGIBLE"
+        if p[2] in (None, "GENERAL"):
+            return "NOT_ELIGIBLE"
+        years = dict(r[4] or []).get(p[2])
+        return "REVIEW_REQUIRED" if years is None else "NOT_ELIGIBLE" if age > int(high) + years else "ELIGIBLE"
+
+    rule_of = {}
+    for r in rules:
+        rule_of.setdefault(repr(r[1:]), r)
+    every = P.evaluate_eligibility(given, held, "Assam").collect()
+    assert {(r["profile_id"], r["first_job"]): r["age"] for r in every} == {(p[0], r[0]): age_says(p, r) for p in profiles for r in rule_of.values()}
+    assert len(every) == 90 * len(rule_of)
+    pairs = sorted(P.eligible_pairs(given, held, "Assam").collect())
+    assert pairs == sorted(r for r in every if r["outcome"] == "ELIGIBLE") and len(pairs) > 20
+    assert P.eligible_pairs(given.limit(0), held, "Assam").count() == P.evaluate_eligibility(given, held.limit(0), "Assam").count() == 0
+
+
 def test_facts_contained_anywhere(spark):
     many = " ".join(f"word{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"x {many} y"), (2, f"pre{many}post"), (None, f"  {many.upper()}\n"), (4, many[:-1]), (5, "a short ONE"), (5, "a shor"), (6, "")], "doc_id int, text string")
