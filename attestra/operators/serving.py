@@ -53,12 +53,13 @@ def in_history(as_of: Column) -> Column:
     return (F.col("status") != "CLOSED") | F.coalesce(F.col("end_date") >= F.add_months(as_of, -12), F.lit(True))
 
 
-def lifecycle_order(id_col: str) -> list[Column]:
-    """SORT-2: by lifecycle; open and upcoming ones soonest first, closed ones latest first, nulls last."""
+def lifecycle_order(id_col: str, *, start: str = "start_date", end: str = "end_date", refreshed: str | None = None) -> list[Column]:
+    """SORT-2: by lifecycle; open and upcoming ones soonest first, closed ones latest first, others latest refreshed first where that is known, nulls last."""
     rank = F.array_position(F.array(*map(F.lit, LIFECYCLES)), F.col("lifecycle"))
     days = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    within = F.when(F.col("lifecycle") == "OPEN", days("end_date")).when(F.col("lifecycle") == "UPCOMING", days("start_date")).when(F.col("lifecycle").isin("RECENTLY_CLOSED", "CLOSED"), -days("end_date"))
-    return [rank.asc(), within.asc_nulls_last(), F.col(id_col).asc()]
+    within = F.when(F.col("lifecycle") == "OPEN", days(end)).when(F.col("lifecycle") == "UPCOMING", days(start)).when(F.col("lifecycle").isin("RECENTLY_CLOSED", "CLOSED"), -days(end))
+    unknown = [] if refreshed is None else [F.when(F.col("lifecycle") == "UNKNOWN", F.col(refreshed)).desc_nulls_last()]
+    return [rank.asc(), within.asc_nulls_last(), *unknown, F.col(id_col).asc()]
 
 
 SORTS = {
