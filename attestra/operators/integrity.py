@@ -98,3 +98,27 @@ def review_violations(cases: DataFrame, confidences: DataFrame, items: DataFrame
         "OUTCOME": resolved & ~F.col("outcome").eqNullSafe(expected),
         "UNDECIDED": resolved & F.col("undecided"),
     })
+
+
+def revision_violations(revisions: DataFrame, fields: DataFrame, posts: DataFrame, facts: DataFrame) -> DataFrame:
+    """FLT-17: revision_id, violation, each once: what keeps a revision from being taken in.
+
+    revisions: revision_id, split_status; fields: revision_id, path; posts: revision_id, post_key, ordinal;
+    facts: revision_id, post_key, path, a post's own fields. EMPTY has neither a field nor a post;
+    NO_POSTS is EXPLICIT without any; NOT_EXPLICIT has posts under another status; POST_KEY, ORDINAL and PATH
+    occur twice, a fact's path as posts.key.path among those of the fields. Values are counted once, by
+    revision and value, so that neither a revision nor a value is one task's work.
+    """
+    text = lambda c: F.col(c).cast("string")
+    item = lambda df, kind, value: df.select("revision_id", F.lit(kind).alias("kind"), value.alias("value"))
+    own = F.concat(F.lit("posts."), text("post_key"), F.lit("."), F.col("path"))
+    all_items = item(fields, "FIELD", F.col("path")).unionByName(item(facts, "FACT", own)).unionByName(item(posts, "KEY", text("post_key"))).unionByName(item(posts, "ORDINAL", text("ordinal")))
+    shared = F.when(F.col("kind").isin("FIELD", "FACT"), "PATH").otherwise(F.col("kind"))
+    counted = all_items.groupBy("revision_id", shared.alias("of"), "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "FIELD").alias("fields"))
+    twice = lambda of: F.bool_or((F.col("of") == of) & (F.col("n") > 1) & F.col("value").isNotNull()).alias(of)
+    found = counted.groupBy("revision_id").agg(F.sum("fields").alias("fields"), F.sum(F.when(F.col("of") == "KEY", F.col("n"))).alias("posts"), *map(twice, ("KEY", "ORDINAL", "PATH")))
+    j = revisions.select("revision_id", "split_status").join(found, "revision_id", "left")
+    n_fields, n_posts, explicit = F.coalesce("fields", F.lit(0)), F.coalesce("posts", F.lit(0)), F.col("split_status").eqNullSafe("EXPLICIT")
+    return _reported(j, "revision_id", {
+        "EMPTY": n_fields + n_posts == 0, "NO_POSTS": explicit & (n_posts == 0), "NOT_EXPLICIT": ~explicit & (n_posts > 0), "POST_KEY": F.col("KEY"), "ORDINAL": F.col("ORDINAL"), "PATH": F.col("PATH"),
+    })

@@ -68,3 +68,31 @@ def freshness(runs: DataFrame, visible: DataFrame) -> DataFrame:
 def counts_with_all(df: DataFrame, column: str, total: str = "ALL") -> DataFrame:
     """AGG-21: counts by value and one row for all."""
     return df.rollup(column).agg(F.count(F.lit(1)).alias("n"), F.grouping(column).alias("g")).select(F.when(F.col("g") == 1, total).otherwise(F.col(column)).alias(column), "n")
+
+
+#: What keeps a candidate from being published, and the kinds that are.
+SKIPPED = ("REVIEW_MISSING", "REVIEW_PENDING", "REVIEW_CANCELLED", "REJECTED", "REVERIFICATION_REQUESTED")
+PUBLISHABLE = {"DIRECT": "direct_verified", "HUMAN_APPROVED": "human_approved", "HUMAN_CORRECTED": "human_corrected"}
+
+
+def verification_summary(results: DataFrame) -> DataFrame:
+    """AGG-27, verification: by batch, the sums over results (batch_id, fields_confirmed, fields_conflicted, fields_insufficient, fields_not_applicable, review_required, failed); a failed one counts as that alone."""
+    done = ~F.col("failed")
+    sums = [F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("fields_confirmed", "fields_conflicted", "fields_insufficient", "fields_not_applicable")]
+    return results.groupBy("batch_id").agg(F.count_if(done).alias("completed"), F.count_if("failed").alias("failed"), *sums, F.count_if(done & F.col("review_required")).alias("review_cases_queued"), F.count_if(done & ~F.col("review_required")).alias("no_review_required"))
+
+
+def publication_summary(results: DataFrame) -> DataFrame:
+    """AGG-27, publication: by batch, candidates by kind, and what became of those that were published.
+
+    results: batch_id, kind, failed, master_exists, revision_exists. A kind of SKIPPED is counted there and
+    as skipped; another one as what it is, and then as failed, or by what there was before: unchanged
+    where the revision existed, updated where a master did, created else.
+    """
+    kind, live = F.col("kind"), F.col("kind").isin(*PUBLISHABLE)
+    done = live & ~F.col("failed")
+    return results.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("selected"), *[F.count_if(kind == k).alias(k.lower()) for k in SKIPPED], F.count_if(kind.isin(*SKIPPED)).alias("skipped"),
+        *[F.count_if(kind == k).alias(c) for k, c in PUBLISHABLE.items()], F.count_if(live & F.col("failed")).alias("failed"), F.count_if(done & F.col("revision_exists")).alias("master_unchanged"),
+        F.count_if(done & ~F.col("revision_exists") & F.col("master_exists")).alias("master_updated"), F.count_if(done & ~F.col("revision_exists") & ~F.col("master_exists")).alias("master_created"),
+    )

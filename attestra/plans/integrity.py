@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.operators import integrity as I
+from attestra.operators import monitoring as M
 
 from . import bindings as B
 
@@ -83,3 +84,45 @@ def review_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.sql(f"SELECT {_ITEM} FROM {{li}} UNION ALL SELECT {_WHOLE} FROM {{o}} WHERE o_orderkey % 3 = 0", li=li, o=o)
     own = spark.sql(f"SELECT {_OWN} FROM {{li}} WHERE {_MARK} % 113 <> 0", li=li)
     return I.review_violations(spark.sql(f"SELECT {_CASE} FROM {{o}}", o=o), spark.sql(f"SELECT {_CONFIDENCE} FROM {{o}}", o=o), items, own)
+
+
+_SPLIT = "o_orderkey AS revision_id, CASE o_orderstatus WHEN 'F' THEN 'EXPLICIT' WHEN 'O' THEN 'LEGACY_UNSPLIT' END AS split_status"
+_POSTS = "SELECT l_orderkey AS revision_id, l_suppkey % 50 AS post_key, l_linenumber AS ordinal FROM lineitem WHERE l_returnflag = 'R'"
+_FACTS = "SELECT l_orderkey AS revision_id, l_suppkey % 50 AS post_key, 'total' AS path FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <> 2"
+_FIELDS = "SELECT l_orderkey AS revision_id, CASE WHEN l_linenumber = 4 THEN 'posts.' || CAST(l_suppkey % 50 AS VARCHAR(9)) || '.total' ELSE 'field' || CAST(l_suppkey AS VARCHAR(9)) END AS path FROM lineitem WHERE l_orderkey % 4 <> 0 AND l_returnflag <> 'A'"
+
+
+@query(f"""WITH r AS (SELECT {_SPLIT} FROM orders), p AS ({_POSTS}), f AS ({_FIELDS}), a AS ({_FACTS}), paths AS (SELECT revision_id, path FROM f UNION ALL SELECT revision_id, 'posts.' || post_key || '.' || path FROM a)
+SELECT revision_id, 'EMPTY' AS violation FROM r WHERE revision_id NOT IN (SELECT revision_id FROM p) AND revision_id NOT IN (SELECT revision_id FROM f)
+UNION ALL SELECT revision_id, 'NO_POSTS' FROM r WHERE split_status = 'EXPLICIT' AND revision_id NOT IN (SELECT revision_id FROM p) UNION ALL SELECT revision_id, 'NOT_EXPLICIT' FROM r WHERE split_status IS DISTINCT FROM 'EXPLICIT' AND revision_id IN (SELECT revision_id FROM p)
+UNION ALL SELECT DISTINCT revision_id, 'POST_KEY' FROM (SELECT revision_id FROM p GROUP BY revision_id, post_key HAVING count(*) > 1) UNION ALL SELECT DISTINCT revision_id, 'ORDINAL' FROM (SELECT revision_id FROM p GROUP BY revision_id, ordinal HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT revision_id, 'PATH' FROM (SELECT revision_id FROM paths GROUP BY revision_id, path HAVING count(*) > 1)""")
+def revision_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-17: orders are revisions; their returned lines posts, the others fields, some with a post's path."""
+    o, li = B.t(spark, sf_dir, "orders"), B.t(spark, sf_dir, "lineitem")
+    of = lambda sql: spark.sql(sql.replace("FROM lineitem", "FROM {li}"), li=li)
+    return I.revision_violations(spark.sql(f"SELECT {_SPLIT} FROM {{o}}", o=o), of(_FIELDS), of(_POSTS), of(_FACTS))
+
+
+_CHECKED = "l_suppkey AS batch_id, l_linenumber AS fields_confirmed, l_orderkey % 3 AS fields_conflicted, l_orderkey % 5 AS fields_insufficient, l_orderkey % 7 AS fields_not_applicable, l_returnflag = 'R' AS review_required, l_orderkey % 11 = 0 AS failed"
+
+
+@query(f"""WITH r AS (SELECT {_CHECKED} FROM lineitem) SELECT batch_id, count(*) FILTER (NOT failed) AS completed, count(*) FILTER (failed) AS failed, """
+       + ", ".join(f"CAST(coalesce(sum({c}) FILTER (NOT failed), 0) AS BIGINT) AS {c}" for c in ("fields_confirmed", "fields_conflicted", "fields_insufficient", "fields_not_applicable"))
+       + ", count(*) FILTER (NOT failed AND review_required) AS review_cases_queued, count(*) FILTER (NOT failed AND NOT review_required) AS no_review_required FROM r GROUP BY 1")
+def verification_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-27, verification."""
+    return M.verification_summary(spark.sql(f"SELECT {_CHECKED} FROM {{li}}", li=B.t(spark, sf_dir, "lineitem")))
+
+
+_KINDS = ("DIRECT", "HUMAN_APPROVED", "HUMAN_CORRECTED", "REVIEW_MISSING", "REVIEW_PENDING", "REVIEW_CANCELLED", "REJECTED", "REVERIFICATION_REQUESTED")
+_TRIED = "o_custkey AS batch_id, CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END AS kind, o_orderpriority = '1-URGENT' AS failed, o_orderstatus <> 'O' AS master_exists, o_orderstatus = 'P' AS revision_exists"
+
+
+@query(f"""WITH r AS (SELECT {_TRIED} FROM orders), l AS (SELECT *, kind IN ('DIRECT', 'HUMAN_APPROVED', 'HUMAN_CORRECTED') AS live FROM r) SELECT batch_id, count(*) AS selected, """
+       + ", ".join(f"count(*) FILTER (kind = '{k}') AS {c}" for k, c in zip(_KINDS, ("direct_verified", "human_approved", "human_corrected", *[k.lower() for k in _KINDS[3:]])))
+       + """, count(*) FILTER (NOT live) AS skipped, count(*) FILTER (live AND failed) AS failed, count(*) FILTER (live AND NOT failed AND revision_exists) AS master_unchanged,
+count(*) FILTER (live AND NOT failed AND NOT revision_exists AND master_exists) AS master_updated, count(*) FILTER (live AND NOT failed AND NOT revision_exists AND NOT master_exists) AS master_created FROM l GROUP BY 1""")
+def publication_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-27, publication."""
+    return M.publication_summary(spark.sql(f"SELECT {_TRIED} FROM {{o}}", o=B.t(spark, sf_dir, "orders")))

@@ -3,6 +3,7 @@
 import pytest
 
 from attestra.operators import integrity as I
+from attestra.operators import monitoring as M
 
 RUN = "run_id int, revision_id int, confidence_revision_id int, status string, hash_snapshot string, fields_total long"
 FIELD = "revision_id int, field_id int, path string, type string, value string"
@@ -79,3 +80,36 @@ def test_reviews(spark, case, items, want):
     confidences = spark.createDataFrame([(5, 7, 3, "V2", "HIGH", 40, ["LOW"])], CASE.replace("case_id int, ", "").replace("status string, outcome string, ", ""))
     out = I.review_violations(cases, confidences, spark.createDataFrame(items, ITEM), spark.createDataFrame([(11, *PART)], OWN))
     assert sorted(r["violation"] for r in out.collect()) == want
+
+
+@pytest.mark.parametrize(
+    "status, fields, posts, facts, want",
+    [
+        ("LEGACY_UNSPLIT", ["a"], [], [], []),
+        ("EXPLICIT", [], [("p", 1), ("q", 2)], [("p", "total"), ("q", "total")], []),
+        ("LEGACY_UNSPLIT", [], [], [], ["EMPTY"]),
+        ("EXPLICIT", [], [], [], ["EMPTY", "NO_POSTS"]),
+        ("EXPLICIT", ["a"], [], [], ["NO_POSTS"]),
+        (None, ["a"], [("p", 1)], [], ["NOT_EXPLICIT"]),
+        ("EXPLICIT", [], [("p", 1), ("p", 2)], [], ["POST_KEY"]),
+        ("EXPLICIT", [], [("p", 1), ("q", 1)], [], ["ORDINAL"]),
+        ("EXPLICIT", ["a", "a"], [("p", 1)], [], ["PATH"]),
+        ("EXPLICIT", ["posts.p.total"], [("p", 1)], [("p", "total")], ["PATH"]),
+        ("EXPLICIT", ["total"], [("p", 1)], [("p", "total"), ("p", "total")], ["PATH"]),
+    ],
+)
+def test_revisions(spark, status, fields, posts, facts, want):
+    out = I.revision_violations(
+        spark.createDataFrame([(1, status)], "revision_id int, split_status string"), spark.createDataFrame([(1, p) for p in fields], "revision_id int, path string"),
+        spark.createDataFrame([(1, *p) for p in posts], "revision_id int, post_key string, ordinal int"), spark.createDataFrame([(1, *p) for p in facts], "revision_id int, post_key string, path string"),
+    )
+    assert sorted(r["violation"] for r in out.collect()) == want
+
+
+def test_batches(spark):
+    checked = spark.createDataFrame([(1, 3, 1, 0, 2, True, False), (1, 4, 0, 1, 0, False, False), (1, 9, 9, 9, 9, True, True), (2, 1, 1, 1, 1, True, True)], "batch_id int, fields_confirmed int, fields_conflicted int, fields_insufficient int, fields_not_applicable int, review_required boolean, failed boolean")
+    assert sorted(map(tuple, M.verification_summary(checked).collect())) == [(1, 2, 1, 7, 1, 1, 2, 1, 1), (2, 0, 1, 0, 0, 0, 0, 0, 0)]
+    kinds = [("DIRECT", False, False, False), ("HUMAN_APPROVED", False, True, False), ("HUMAN_CORRECTED", False, True, True), ("DIRECT", True, False, False), ("REJECTED", False, True, False), ("REVIEW_PENDING", True, False, False)]
+    told = M.publication_summary(spark.createDataFrame([(1, *k) for k in kinds], "batch_id int, kind string, failed boolean, master_exists boolean, revision_exists boolean")).first().asDict()
+    want = {"selected": 6, "skipped": 2, "rejected": 1, "review_pending": 1, "direct_verified": 2, "human_approved": 1, "human_corrected": 1, "failed": 1, "master_unchanged": 1, "master_updated": 1, "master_created": 1}
+    assert {k: told[k] for k in want} == want and told["review_missing"] == 0
