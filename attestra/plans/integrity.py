@@ -68,7 +68,7 @@ _PART = "l_linenumber AS field_id, 'V2' AS policy, l_linestatus AS priority, l_q
 _ITEM = f"""l_orderkey AS case_id, 'FIELD' AS scope, l_orderkey * 10 + l_linenumber AS field_confidence_id, {_PART}, CASE WHEN {_MARK} % 79 = 0 THEN -1 ELSE l_suppkey END AS value,
   CASE WHEN {_MARK} % 83 <> 0 THEN {_DECISION} END AS decision, 'INTEGER' AS original_type, CASE WHEN {_MARK} % 89 = 0 THEN NULL WHEN {_MARK} % 79 = 0 THEN -1 ELSE l_suppkey END AS original_value"""
 _OWN = f"l_orderkey * 10 + l_linenumber AS field_confidence_id, {_PART}, l_suppkey AS value"
-_WHOLE = "o_orderkey AS case_id, 'REVISION' AS scope, NULL AS field_confidence_id, NULL AS field_id, 'V2' AS policy, o_orderpriority AS priority, CASE WHEN o_orderkey % 47 = 0 THEN 0 ELSE o_custkey END AS score, NULL AS reasons, NULL AS path, NULL AS type, NULL AS value, 'APPROVE' AS decision, NULL AS original_type, NULL AS original_value"
+_WHOLE = "o_orderkey AS case_id, 'REVISION' AS scope, NULL AS field_confidence_id, NULL AS field_id, 'V2' AS policy, o_orderpriority AS priority, CASE WHEN o_orderkey % 47 = 0 THEN -1 ELSE o_custkey END AS score, NULL AS reasons, NULL AS path, NULL AS type, NULL AS value, 'APPROVE' AS decision, NULL AS original_type, NULL AS original_value"
 
 
 @query(f"""WITH li AS ({_LINES}), c AS (SELECT {_CASE} FROM orders), i AS (SELECT {_ITEM} FROM li),
