@@ -121,8 +121,9 @@ def bucket_ratios(docs: DataFrame, trusted: Column | None = None, *, buckets: in
     documents are counted, first within each task. What reaches the driver is a row for each bucket,
     `buckets` of them at most, whatever the corpus.
     """
-    of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).alias("trusted"), F.concat("h", "p").alias("g"))
-    each = of.select(F.col("trusted").cast("long").alias("trusted"), F.explode("g").alias("x"))
+    of = _hashes(docs).select(F.coalesce(trusted_by_rule() if trusted is None else trusted, F.lit(False)).cast("long").alias("trusted"), "h", "p")
+    # Of a plain column the optimizer would first filter the rows where it is empty, below the projections, where that computes all arrays once more.
+    each = of.select("trusted", F.explode(F.concat("h", "p")).alias("x"))
     counted = each.groupBy(F.pmod("x", F.lit(buckets)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("trusted").alias("t"))
     target, raw = [0] * buckets, [0] * buckets
     for b, n, t in counted.select("b", "n", "t").collect():

@@ -40,3 +40,17 @@ def test_a_verdict_does_not_depend_on_size_steps(spark):
     assert len(few) == len(many) == quality_rules.BUCKETS
     kept = [{r["id"]: r["kept"] for r in quality_rules.quality_rules(small, r, id_col="id").collect()} for r in (few, many)]
     assert kept[0] == kept[1] == {1: True, 2: False}
+
+
+def test_counting_computes_a_text_once(spark):
+    """What stands in for a costly text says how often it is computed: once for each row, also of texts without words."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def costly(text):
+        calls.add(1)
+        return text
+
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "a c a b")], "id long, text string")
+    ratios = quality_rules.bucket_ratios(docs.withColumn("text", F.udf(costly, "string")("text")), F.col("n") >= 3, buckets=64)
+    assert calls.value == 4
+    assert ratios == quality_rules.bucket_ratios(docs, F.col("n") >= 3, buckets=64) and len(set(ratios)) > 1
