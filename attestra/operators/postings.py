@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import canonical_post_name, collapsed, post_key, split_camel, word_key
+from attestra.functions.scalars import canonical_post_name, collapsed, let, post_key, split_camel, word_key
 
 # What heads a table, and what its rows are made of.
 TABLE_HEADER = (
@@ -23,11 +23,6 @@ SERIAL_ROW = r"^\s*([0-9Il]{1,3})[.)]?\s+(\S.*?)\s*$"
 CATEGORIES = ("UR", "OBC", "SC", "ST", "EWS")
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once: a lambda's variable stands for it, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _headed(docs: DataFrame, header: str, within: int, id_col: str, text_col: str) -> DataFrame:
     """id, lines (white space collapsed; null without a header's word), header_no: the first line that heads a table together with the `within` - 1 after it; null if none does."""
     lines = F.transform(F.split(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), collapsed)

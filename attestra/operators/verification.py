@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import clamp, comparison_text
+from attestra.functions.scalars import clamp, comparison_text, let
 
 CLASSES = {"auth": "AUTHORITATIVE_OFFICIAL", "official": "OFFICIAL_SUPPORTING", "secondary": "SECONDARY_DISCOVERY_ONLY"}
 DIRECTIONS = {"support": "SUPPORTS", "conflict": "CONTRADICTS"}
@@ -157,21 +157,23 @@ def contained_facts(facts: DataFrame, documents: DataFrame) -> DataFrame:
     a text that contains it, so they meet in one window, the one of least hash. A fact of one or two words
     has no inner word and meets texts in one run of characters, of its own the one that fewest texts
     have. What meets is compared in full. Texts are read once for their windows, once for their runs, and
-    once to be compared; nothing meets without a key in common.
+    once to be compared; nothing meets without a key in common. A window is one number, the hash of its
+    words' hashes and its width, so that a text's distinct ones are found by hashing, not pair by pair.
     """
     known = facts.select("fact_id", comparison_text("value", F.lit(None).cast("string")).alias("value")).where("value <> ''").distinct()
-    inner = known.withColumn("words", F.split("value", " ")).withColumn("words", F.expr("slice(words, 2, greatest(size(words) - 2, 0))")).withColumn("width", F.least(F.size("words"), F.lit(WINDOW)))
-    windows = lambda width: F.expr(f"transform(sequence(0, size(words) - {width}), i -> struct({width} as width, xxhash64(slice(words, i + 1, {width})) as key))")
-    none = F.expr("cast(array() as array<struct<width:int,key:bigint>>)")
+    words = lambda text: F.transform(F.split(text, " "), lambda w: F.xxhash64(w))
+    windows = lambda x, width: F.transform(F.sequence(F.lit(0), F.size(x) - width), lambda i: F.xxhash64(F.lit(width), F.slice(x, i + 1, F.lit(width))))
+    inner = known.withColumn("words", F.expr("greatest(size(split(value, ' ')) - 2, 0)")).withColumn("width", F.least("words", F.lit(WINDOW)))
+    none = F.expr("cast(array() as array<bigint>)")
     texts = documents.select("doc_id", comparison_text("text", F.lit(None).cast("string")).alias("text"))
     widths = sorted(r["width"] for r in inner.where("width > 0").select("width").distinct().collect())  # WINDOW at most
     met = _met_by_gram(inner.where("width = 0").select("fact_id", "value"), texts)
     if widths:
-        least = F.coalesce(*[F.when(F.col("width") == w, F.array_min(windows(w))) for w in widths])
-        keys = inner.where("width > 0").select("fact_id", "value", least.alias("k")).select("fact_id", "value", "k.*")
-        every = F.array_distinct(F.concat(*[F.when(F.size("words") >= w, windows(w)).otherwise(none) for w in widths]))
-        own = texts.select("doc_id", F.split("text", " ").alias("words")).select("doc_id", F.explode(every).alias("k")).select("doc_id", "k.*")
-        met = met.unionByName(own.join(keys, ["width", "key"]).select("doc_id", "fact_id", "value"))
+        least = let(F.slice(words("value"), F.lit(2), F.col("words")), lambda x: F.coalesce(*[F.when(F.col("width") == w, F.array_min(windows(x, w))) for w in widths]))
+        keys = inner.where("width > 0").select("fact_id", "value", least.alias("key"))
+        every = let(words("text"), lambda x: F.array_distinct(F.concat(*[F.when(F.size(x) >= w, windows(x, w)).otherwise(none) for w in widths])))
+        own = texts.select("doc_id", F.explode_outer(every).alias("key"))  # outer: no filter is inferred that computes the windows once more; no key, no match
+        met = met.unionByName(own.join(keys, "key").select("doc_id", "fact_id", "value"))
     met = met.select(F.col("doc_id").alias("met"), "fact_id", "value").distinct()
     return texts.join(met, F.col("doc_id").eqNullSafe(F.col("met"))).where(F.col("text").contains(F.col("value"))).select("doc_id", "fact_id").distinct()
 
