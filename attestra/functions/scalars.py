@@ -19,6 +19,12 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def first_place(start: Column, end: Column, ok) -> Column:
+    """The first place from start up to end, exclusive, that is ok; null if there is none. Those after it aren't looked at."""
+    places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(places, F.lit(None).cast("int"), lambda found, i: F.coalesce(found, F.when(ok(i), i)))
+
+
 # Values (FLT-1, FLT-2, FN-27, FN-28, FN-32)
 
 
@@ -91,7 +97,7 @@ def first_label(text: str | Column, markers: list[tuple[str, str]], otherwise: C
 
 
 def slug(value: str | Column, joiner: str = "_") -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]+", joiner), f"^{joiner}+|{joiner}+$", "")
+    return F.btrim(F.regexp_replace(F.lower(_c(value)), "[^a-z0-9]+", joiner), F.lit(joiner))
 
 
 def collapsed(value: str | Column) -> Column:
@@ -101,25 +107,28 @@ def collapsed(value: str | Column) -> Column:
 
 def post_key(title: str | Column, organisation: str | Column, most: int = 110) -> Column:
     """FN-11: the slug of both in lower case, "post" where nothing is left of it, or 97 characters of it and 12 of the hash where it is too long."""
-    seed = F.replace(F.lower(collapsed(F.concat_ws(" ", collapsed(title), collapsed(organisation)))), F.lit("ß"), F.lit("ss"))
-    short = F.coalesce(F.nullif(slug(seed), F.lit("")), F.lit("post"))
-    head = F.regexp_replace(F.substring(short, 1, 97), "_+$", "")
-    return F.when(F.length(short) <= most, short).otherwise(F.concat(head, F.lit("_"), F.substring(F.sha2(seed, 256), 1, 12)))
+    seed = F.replace(F.lower(collapsed(F.concat_ws(" ", _c(title), _c(organisation)))), F.lit("ß"), F.lit("ss"))
+    hashed = lambda seed, short: F.concat(F.regexp_replace(F.substring(short, 1, 97), "_+$", ""), F.lit("_"), F.substring(F.sha2(seed, 256), 1, 12))
+    keyed = lambda seed: let(slug(seed), lambda short: F.when(short == "", "post").when(F.length(short) <= most, short).otherwise(hashed(seed, short)))
+    return let(seed, keyed)
 
 
 def _named(value: str | Column) -> Column:
-    return F.regexp_replace(collapsed(value), r"^[ .,:;]+|[ .,:;]+$", "")
+    return F.btrim(collapsed(value), F.lit(" .,:;"))
 
 
 def canonical_post_name(title: str | Column, unit: str | Column, previous: str | Column | None = None) -> Column:
     """FN-12: title without a trailing ' - unit' or ' – unit', in any case, of the previous unit and of this one; then ' – unit'."""
-    title, unit = _named(title), _named(unit)
-    for ending in ([] if previous is None else [F.coalesce(_c(previous), F.lit(""))]) + [unit]:
+
+    def without(title: Column, ending: Column) -> Column:
         cut = F.length(title) - F.length(ending) - 3
         tail = F.lower(title.substr(cut + 1, F.length(title)))
-        ends = (F.length(ending) > 0) & (cut >= 0) & (tail == F.lower(F.concat(F.lit(" - "), ending))) | (tail == F.lower(F.concat(F.lit(" – "), ending))) & (F.length(ending) > 0) & (cut >= 0)
-        title = F.when(ends, F.trim(F.substring(title, F.lit(1), cut))).otherwise(title)
-    return F.when(F.length(unit) > 0, F.concat(title, F.lit(" – "), unit)).otherwise(title)
+        ends = (F.length(ending) > 0) & (cut >= 0) & ((tail == F.lower(F.concat(F.lit(" - "), ending))) | (tail == F.lower(F.concat(F.lit(" – "), ending))))
+        return F.when(ends, F.trim(F.substring(title, F.lit(1), cut))).otherwise(title)
+
+    last = lambda title, unit: let(without(title, unit), lambda t: F.when(F.length(unit) > 0, F.concat(t, F.lit(" – "), unit)).otherwise(t))
+    first = lambda x: x["title"] if previous is None else without(x["title"], F.coalesce(_c(previous), F.lit("")))
+    return let(F.struct(_named(title).alias("title"), _named(unit).alias("unit")), lambda x: let(first(x), lambda t: last(t, x["unit"])))
 
 
 def header_key(value: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import canonical_post_name, collapsed, let, post_key, split_camel, word_key
+from attestra.functions.scalars import canonical_post_name, collapsed, first_place, let, post_key, split_camel, word_key
 
 # What heads a table, and what its rows are made of.
 TABLE_HEADER = (
@@ -23,38 +23,56 @@ SERIAL_ROW = r"^\s*([0-9Il]{1,3})[.)]?\s+(\S.*?)\s*$"
 CATEGORIES = ("UR", "OBC", "SC", "ST", "EWS")
 
 
-def _headed(docs: DataFrame, header: str, within: int, id_col: str, text_col: str) -> DataFrame:
-    """id, lines (white space collapsed; null without a header's word), header_no: the first line that heads a table together with the `within` - 1 after it; null if none does."""
-    lines = F.transform(F.split(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), collapsed)
+def _headed(text: Column, header: str, within: int) -> Column:
+    """struct(lines, header_no) of a text: its lines, white space collapsed, and the first that heads a table together with the `within` - 1 after it; null if none does."""
+    lines = F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), collapsed)
     told = lambda x, i: F.array_join(F.slice(x, i + 1, F.lit(within)), " ").rlike(header)
-    first = lambda x: F.get(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: told(x, i)), F.lit(0))
+    found = lambda x: F.struct(x.alias("lines"), first_place(F.lit(0), F.size(x), lambda i: told(x, i)).alias("header_no"))
     # a header's own word anywhere in the text: cheap to find, and missing from nearly all texts
-    maybe = F.col(text_col).rlike(r"(?i)\bqualification\b")
-    found = F.when(maybe, let(lines, lambda x: F.struct(x.alias("lines"), first(x).alias("header_no"))))
-    return docs.select(id_col, found.alias("h")).select(id_col, "h.lines", "h.header_no")
+    return F.when(text.rlike(r"(?i)\bqualification\b"), let(let(lines, found), lambda h: F.when(h["header_no"].isNotNull(), h)))
 
 
-def _rows_ahead(headed: DataFrame, ahead: int, id_col: str) -> DataFrame:
-    """id, line_no, ahead (that line and the next `ahead`) of the lines after the header that begin with a serial."""
-    n = F.size("lines")  # lines are null where there is no header
-    after = F.when(n - 1 > F.col("header_no"), F.sequence(F.col("header_no") + 1, n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    rows = F.filter(after, lambda i: F.get("lines", i).rlike(SERIAL_ROW))
-    cut = F.transform(rows, lambda i: F.struct(i.alias("line_no"), F.slice("lines", i + 1, F.lit(ahead + 1)).alias("ahead")))
-    return headed.select(id_col, F.explode(F.when(F.col("header_no").isNotNull(), cut)).alias("r")).select(id_col, "r.*")
+def _whole(digits: Column) -> Column:
+    """Digits as a number, null where there are none: a cast of no digits fails by an exception, which costs far more than the cast."""
+    return let(digits, lambda x: F.when(x != "", x.try_cast("int")))
 
 
-def _first(lines: str, ok, start: Column, end: Column) -> Column:
-    """The place of the first line from start up to end, exclusive, that is ok; null if there is none."""
-    places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.get(F.filter(places, lambda i: F.coalesce(ok(F.get(lines, i)), F.lit(False))), F.lit(0))
+def _below(headed: Column, say) -> Column:
+    """What the lines below a header say, one struct a line; serial is that of a line which begins with one."""
+    serial = lambda x: _whole(F.translate(F.regexp_extract(x, SERIAL_ROW, 1), "Il", "11")).alias("serial")
+    lines = F.slice(headed["lines"], headed["header_no"] + 2, F.size(headed["lines"]))
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), serial(x), *say(x)))
 
 
-def _serial(line: Column) -> Column:
-    return F.translate(F.regexp_extract(line, SERIAL_ROW, 1), "Il", "11").try_cast("int")
+def _rows(told: Column) -> Column:
+    return F.filter(F.transform(told, lambda t, i: F.struct(i.alias("i"), t["serial"].alias("serial"))), lambda r: r["serial"].isNotNull())
 
 
-def _is_row(line: Column) -> Column:
-    return line.rlike(SERIAL_ROW)
+def numbered_position_list(text: Column) -> Column:
+    """EXT-4 of a notice: struct(status, posts); see numbered_positions."""
+    kind = "array<struct<line_no:int,post_key:string,name:string,total:int>>"
+
+    def posts(told: Column) -> Column:
+        at = lambda j: F.get(told, j)
+        ends = lambda j: at(j)["count"].isNotNull() | (at(j)["line"] == "") | at(j)["serial"].isNotNull() | at(j)["ends"]
+
+        def named(i: Column, j: Column) -> Column:
+            title = F.concat(F.array(F.regexp_extract(at(i)["line"], SERIAL_ROW, 2)), F.transform(F.slice(told, i + 2, j - i - 1), lambda t: t["line"]))
+            name = F.btrim(collapsed(F.array_join(title, " ")), F.lit(" ,:-"))
+            fits = lambda x: F.length(x).between(1, 160) & ~x.rlike("[.;:]")
+            return let(name, lambda x: F.when(fits(x), F.struct(i.alias("line_no"), post_key(x, F.lit("")).alias("post_key"), x.alias("name"), at(j)["count"].alias("total"))))
+
+        read = lambda i: let(first_place(i + 1, F.least(i + 8, F.size(told)), ends), lambda j: F.when(at(j)["count"].isNotNull(), named(i, j)))
+        return F.array_compact(F.transform(_rows(told), lambda r: read(r["i"])))
+
+    def judged(found: Column) -> Column:
+        again = F.size(F.array_distinct(F.transform(found, lambda p: p["post_key"]))) < F.size(found)
+        status = lambda some: F.when(again | (F.size(some) == 0), "AMBIGUOUS").otherwise("EXPLICIT")
+        return let(F.filter(found, lambda p: p["total"] > 0), lambda some: let(status(some), lambda x: F.struct(x.alias("status"), F.when(x == "EXPLICIT", some).cast(kind).alias("posts"))))
+
+    count = lambda x: _whole(F.regexp_extract(x, COUNT_ONLY, 1)).alias("count")
+    said = let(_headed(text, POSITION_HEADER, 4), lambda h: F.when(h.isNotNull(), let(let(_below(h, lambda x: (count(x), x.rlike("[.;:]$").alias("ends"))), posts), judged)))
+    return F.coalesce(said, F.struct(F.lit("LEGACY_UNSPLIT").alias("status"), F.lit(None).cast(kind).alias("posts")))
 
 
 def numbered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,22 +80,61 @@ def numbered_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A document without the header is unsplit; a repeated name, or a header without any post, makes it ambiguous.
     """
-    headed = _headed(docs, POSITION_HEADER, 4, id_col, text_col)
-    rows = _rows_ahead(headed, 7, id_col)
-    at = _first("ahead", lambda x: x.rlike(COUNT_ONLY) | (x == "") | _is_row(x) | x.rlike("[.;:]$"), F.lit(1), F.size("ahead"))
-    rows = rows.withColumn("at", at).where(F.get("ahead", F.col("at")).rlike(COUNT_ONLY))
-    title = F.concat(F.array(F.regexp_extract(F.get("ahead", F.lit(0)), SERIAL_ROW, 2)), F.slice("ahead", F.lit(2), F.col("at") - 1))
-    name = F.regexp_replace(collapsed(F.array_join(title, " ")), "^[ ,:-]+|[ ,:-]+$", "")
-    total = F.regexp_extract(F.get("ahead", F.col("at")), COUNT_ONLY, 1).cast("int")
-    named = rows.select(id_col, "line_no", name.alias("name"), total.alias("total")).where((F.length("name").between(1, 160)) & ~F.col("name").rlike("[.;:]"))
-    keyed = named.withColumn("post_key", post_key("name", F.lit("")))
-    found = keyed.groupBy(id_col).agg(
-        (F.count_distinct("post_key") < F.count("post_key")).alias("again"),
-        F.array_sort(F.collect_list(F.when(F.col("total") > 0, F.struct("line_no", "post_key", "name", "total")))).alias("posts"),
-    )
-    out = headed.select(id_col, "header_no").join(found, id_col, "left")
-    status = F.when(F.col("header_no").isNull(), "LEGACY_UNSPLIT").when(F.col("again") | F.coalesce(F.size("posts") == 0, F.lit(True)), "AMBIGUOUS").otherwise("EXPLICIT")
-    return out.select(id_col, status.alias("status"), F.when(status == "EXPLICIT", F.col("posts")).alias("posts"))
+    return docs.select(id_col, numbered_position_list(F.col(text_col)).alias("p")).select(id_col, "p.*")
+
+
+def whitespace_table(text: Column) -> Column:
+    """EXT-3, WIN-9, WIN-10 of a notice: struct(status, posts, error); see whitespace_tables."""
+    kind = "array<struct<post_key:string,name:string,total:int>>"
+
+    def read(told: Column, i: Column, serial: Column) -> Column:
+        """A row's post, the line where it ends, and what is wrong with it; null if it has no qualification."""
+        at, n = lambda j: F.get(told, j), F.size(told)
+        begins = lambda j: at(j)["qualifies"] | (at(j)["line"] == "") | at(j)["serial"].isNotNull()
+        below = let(first_place(i + 1, F.least(i + 8, n), begins), lambda j: F.when(at(j)["qualifies"], j))
+        upto = lambda title: F.when(title.rlike(f"(?i){QUALIFICATION}"), i).otherwise(below)
+
+        def counted(title: Column, q: Column) -> Column:
+            inline = F.regexp_extract(title, f"(?i)^(.*?){QUALIFICATION}", 1)
+            words = F.when(q == i, inline).otherwise(F.array_join(F.concat(F.array(title), F.transform(F.slice(told, i + 2, q - i - 1), lambda t: t["line"])), " "))
+            name = F.btrim(split_camel(words), F.lit(" ,:-"))
+            limit = F.least(q + 25, n)
+            pay = let(F.coalesce(first_place(q + 1, limit, lambda j: at(j)["serial"] == serial + 1), limit), lambda end: first_place(q, end, lambda j: at(j)["pay"]))
+            place = let(pay, lambda p: F.struct(p.alias("pay"), first_place(p + 1, F.least(p + 6, n), lambda j: at(j)["count"].isNotNull()).alias("count_at")))
+            named = lambda x: F.length(x).between(1, 180) & ~x.rlike("[.;]")
+            fault = lambda x, p: F.when(~named(x), "TITLE").when(p["pay"].isNull(), "PAY").when(p["count_at"].isNull(), "COUNT").when(at(p["count_at"])["count"] < 1, "TOTAL")
+            whole = lambda x, p: F.struct(fault(x, p).alias("fault"), post_key(x, F.lit("")).alias("post_key"), x.alias("name"), at(p["count_at"])["count"].alias("total"), p["count_at"].alias("end"))
+            return let(name, lambda x: let(place, lambda p: whole(x, p)))
+
+        titled = F.regexp_extract(at(i)["line"], SERIAL_ROW, 2)
+        return let(titled, lambda title: let(upto(title), lambda q: F.when(q.isNotNull(), counted(title, q))))
+
+    def walked(told: Column) -> Column:
+        state = lambda expected, begin, error, posts: F.struct(expected.alias("expected"), begin.alias("begin"), error.alias("error"), posts.alias("posts"))
+        wrong = lambda s, error: state(s["expected"], s["begin"], error, s["posts"])
+
+        def taken(s: Column, post: Column) -> Column:
+            again = F.exists(s["posts"], lambda p: p["post_key"] == post["post_key"])
+            more = F.array_append(s["posts"], F.struct(post["post_key"].alias("post_key"), post["name"].alias("name"), post["total"].alias("total")))
+            return (
+                F.when(post.isNull(), s).when(post["fault"].isNotNull(), wrong(s, post["fault"])).when(again, wrong(s, F.lit("DUPLICATE")))
+                .otherwise(state(s["expected"] + 1, post["end"] + 1, F.lit(None).cast("string"), more))
+            )
+
+        def step(s: Column, row: Column) -> Column:
+            passed = s["error"].isNotNull() | (row["i"] < s["begin"]) | (row["serial"] < s["expected"])
+            return F.when(passed, s).when(row["serial"] > s["expected"], wrong(s, F.lit("SERIAL"))).otherwise(let(read(told, row["i"], row["serial"]), lambda post: taken(s, post)))
+
+        return F.aggregate(_rows(told), state(F.lit(1), F.lit(0), F.lit(None).cast("string"), F.expr(f"cast(array() as {kind})")), step)
+
+    def judged(w: Column) -> Column:
+        status = F.when(w["error"].isNotNull() | (F.size(w["posts"]) == 0), "AMBIGUOUS").otherwise("EXPLICIT")
+        return let(status, lambda x: F.struct(x.alias("status"), F.when(x == "EXPLICIT", w["posts"]).cast(kind).alias("posts"), w["error"].alias("error")))
+
+    count = lambda x: _whole(F.regexp_extract(x, COUNT_LINE, 1)).alias("count")
+    say = lambda x: (x.rlike(f"(?i)^{QUALIFICATION}").alias("qualifies"), x.rlike(PAY).alias("pay"), count(x))
+    said = let(_headed(text, TABLE_HEADER, 8), lambda h: F.when(h.isNotNull(), let(let(_below(h, say), walked), judged)))
+    return F.coalesce(said, F.struct(F.lit("LEGACY_UNSPLIT").alias("status"), F.lit(None).cast(kind).alias("posts"), F.lit(None).cast("string").alias("error")))
 
 
 def whitespace_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,41 +142,10 @@ def whitespace_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A row is a serial and a title, up to a qualification within eight lines, a range of pay before the
     next row, and a count within five lines of it. Serials run 1, 2, 3 …; the first row that breaks a
-    rule makes the document ambiguous. Rows are found line by line and then walked in order, as an array
-    of a document's candidates.
+    rule makes the document ambiguous. All is worked out within the document's row: what each line is,
+    once, and then the rows in order, of which only those that come next are read.
     """
-    line = lambda i: F.get("ahead", i)
-    headed = _headed(docs, TABLE_HEADER, 8, id_col, text_col)
-    rows = _rows_ahead(headed, 39, id_col).withColumn("serial", _serial(line(F.lit(0)))).where("serial is not null")
-    title = F.regexp_extract(line(F.lit(0)), SERIAL_ROW, 2)
-    inline = F.regexp_extract(title, f"(?i)^(.*?){QUALIFICATION}", 1)
-    has_inline = title.rlike(f"(?i){QUALIFICATION}")
-    stop = _first("ahead", lambda x: x.rlike(f"(?i)^{QUALIFICATION}") | (x == "") | _is_row(x), F.lit(1), F.least(F.lit(8), F.size("ahead")))
-    rows = rows.withColumn("q", F.when(has_inline, F.lit(0)).when(line(stop).rlike(f"(?i)^{QUALIFICATION}"), stop))
-    words = F.when(F.col("q") == 0, F.array(inline)).otherwise(F.concat(F.array(title), F.slice("ahead", F.lit(2), F.col("q") - 1)))
-    rows = rows.withColumn("name", F.regexp_replace(split_camel(F.array_join(words, " ")), "^[ ,:-]+|[ ,:-]+$", ""))
-    limit = F.least(F.col("q") + 25, F.size("ahead"))
-    next_row = _first("ahead", lambda x: _serial(x) == F.col("serial") + 1, F.col("q") + 1, limit)
-    rows = rows.withColumn("pay", _first("ahead", lambda x: x.rlike(PAY), F.col("q"), F.coalesce(next_row, limit)))
-    rows = rows.withColumn("count_at", _first("ahead", lambda x: x.rlike(COUNT_LINE), F.col("pay") + 1, F.least(F.col("pay") + 6, F.size("ahead"))))
-    total = F.regexp_extract(line(F.col("count_at")), COUNT_LINE, 1).try_cast("int")
-    named = F.length("name").between(1, 180) & ~F.col("name").rlike("[.;]")
-    fault = F.when(~named, "TITLE").when(F.col("pay").isNull(), "PAY").when(F.col("count_at").isNull(), "COUNT").when(total < 1, "TOTAL")
-    each = rows.select(
-        id_col, F.struct("line_no", "serial", F.col("q").isNotNull().alias("whole"), fault.alias("fault"), post_key("name", F.lit("")).alias("post_key"), "name", total.alias("total"), (F.col("line_no") + F.col("count_at")).alias("end")).alias("c")
-    )
-    walked = F.expr("""aggregate(cs, named_struct('expected', 1, 'from', 0, 'error', cast(null as string), 'posts', cast(array() as array<struct<post_key:string,name:string,total:int>>)),
-        (s, c) -> case when s.error is not null or c.line_no < s.from or c.serial < s.expected then s
-          when c.serial > s.expected then named_struct('expected', s.expected, 'from', s.from, 'error', 'SERIAL', 'posts', s.posts)
-          when not c.whole then s
-          when c.fault is not null then named_struct('expected', s.expected, 'from', s.from, 'error', c.fault, 'posts', s.posts)
-          when exists(s.posts, p -> p.post_key = c.post_key) then named_struct('expected', s.expected, 'from', s.from, 'error', 'DUPLICATE', 'posts', s.posts)
-          else named_struct('expected', s.expected + 1, 'from', c.end + 1, 'error', cast(null as string), 'posts', array_append(s.posts, named_struct('post_key', c.post_key, 'name', c.name, 'total', c.total))) end)""")
-    found = each.groupBy(id_col).agg(F.array_sort(F.collect_list("c")).alias("cs")).select(id_col, walked.alias("w"))
-    out = headed.select(id_col, "header_no").join(found, id_col, "left")
-    wrong = F.col("w.error").isNotNull() | F.coalesce(F.size("w.posts") == 0, F.lit(True))
-    status = F.when(F.col("header_no").isNull(), "LEGACY_UNSPLIT").when(wrong, "AMBIGUOUS").otherwise("EXPLICIT")
-    return out.select(id_col, status.alias("status"), F.when(status == "EXPLICIT", F.col("w.posts")).alias("posts"), F.col("w.error").alias("error"))
+    return docs.select(id_col, whitespace_table(F.col(text_col)).alias("p")).select(id_col, "p.*")
 
 
 def refined_parents(parents: DataFrame, children: DataFrame) -> DataFrame:
