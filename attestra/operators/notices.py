@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import canonical_post_name, collapsed, header_key, post_key
-from attestra.operators.postings import aligned, let, numbered_positions, whitespace_tables
+from attestra.functions.scalars import canonical_post_name, collapsed, first_place, header_key, let, post_key
+from attestra.operators.postings import aligned, numbered_positions, whitespace_tables
 
 # Headers of vacancy tables and what they mean.
 VACANCY_HEADERS = {
@@ -59,13 +59,18 @@ PARSED = f"struct<status:string,posts:array<{POST}>,errors:array<string>>"
 
 
 def stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\n\x0b\f\r"))
 
 
-def source_lines(text: str | Column) -> Column:
-    """A text's lines, stripped; a null text has one empty line."""
+def raw_lines(text: str | Column) -> Column:
+    """A text's lines as they are; a null text has one empty line."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.transform(F.split(F.replace(whole, F.lit("\r\n"), F.lit("\n")), "\n"), stripped)
+    return F.split(F.replace(whole, F.lit("\r\n"), F.lit("\n")), "\n")
+
+
+def source_lines(text: str | Column) -> Column:
+    """A text's lines, stripped."""
+    return F.transform(raw_lines(text), stripped)
 
 
 def cells_of(line: Column) -> Column:
@@ -84,19 +89,23 @@ def meanings(cells: Column, headers: dict[str, str]) -> Column:
     return F.transform(cells, lambda c: F.try_element_at(known, header_key(c)))
 
 
+def may_head(line: Column) -> Column:
+    """Whether a line's letters and digits have "post" in a row, as every header of a post's name has: cheap to find, and missing from nearly all rows."""
+    return line.rlike("(?i)p[^a-z0-9]*o[^a-z0-9]*s[^a-z0-9]*t")
+
+
 def rows_after(lines: Column, header: Column, *, width: Column | None = None) -> Column:
     """WIN-7: the rows of cells after a header: blank or other lines before the first are passed over, the first after it ends the table, and so does, if width is given, a row of another width, which is the last."""
     n = F.size(lines)
-    places = lambda begin: F.when(begin < n, F.sequence(begin, n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     bar = lambda i: F.get(lines, i).contains("|")
     row = lambda i: bar(i) & ~is_rule(cells_of(F.get(lines, i)))
-    between = lambda first: F.coalesce(F.get(F.filter(places(first + 1), lambda i: ~bar(i)), F.lit(0)), n) - first
+    between = lambda first: F.coalesce(first_place(first + 1, n, lambda i: ~bar(i)), n) - first
     rows = let(
-        F.get(F.filter(places(header + 1), row), F.lit(0)),
+        first_place(header + 1, n, row),
         lambda first: F.filter(F.transform(F.slice(lines, first + 1, between(first)), cells_of), lambda c: ~is_rule(c)),
     )
     if width is not None:
-        odd = lambda r: F.get(F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.size(F.get(r, i)) != width), F.lit(0))
+        odd = lambda r: first_place(F.lit(0), F.size(r), lambda i: F.size(F.get(r, i)) != width)
         rows = let(rows, lambda r: F.slice(r, F.lit(1), F.coalesce(odd(r) + 1, F.size(r))))
     return F.coalesce(rows, F.expr("cast(array() as array<array<string>>)"))
 
@@ -117,14 +126,14 @@ def vacancy_table(lines: Column) -> Column:
     rows, and any bad row (width, name or total, six numeric categories that don't sum to the total, a
     key again) are AMBIGUOUS, with all errors.
     """
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).contains("|"))
-    head = lambda i: meanings(cells_of(F.get(lines, i)), VACANCY_HEADERS)
-    heads = F.filter(places, lambda i: F.coalesce(F.array_contains(head(i), "post_name") & F.array_contains(head(i), "vacancies.total"), F.lit(False)))
-    # one after the other, each step a field of the last, so that nothing is computed twice
-    tables = F.transform(heads, lambda i: F.struct(head(i).alias("means"), rows_after(lines, i).alias("rows")))
-    return F.when(F.size(heads) == 0, _parsed(F.lit("LEGACY_UNSPLIT"), F.array(), _list())).otherwise(
-        F.when(F.size(heads) > 1, _parsed(F.lit("AMBIGUOUS"), F.array(), _list("TABLES"))).otherwise(F.get(F.transform(tables, _posts_of_table), F.lit(0)))
-    )
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: let(F.get(lines, i), lambda x: x.contains("|") & may_head(x)))
+    head = lambda i: let(meanings(cells_of(F.get(lines, i)), VACANCY_HEADERS), lambda m: F.when(F.array_contains(m, "post_name") & F.array_contains(m, "vacancies.total"), F.struct(i.alias("i"), m.alias("means"))))
+    table = lambda h: let(F.struct(h["means"].alias("means"), rows_after(lines, h["i"]).alias("rows")), _posts_of_table)
+    found = lambda heads: (
+        F.when(F.size(heads) == 0, _parsed(F.lit("LEGACY_UNSPLIT"), F.array(), _list()))
+        .when(F.size(heads) > 1, _parsed(F.lit("AMBIGUOUS"), F.array(), _list("TABLES"))).otherwise(let(F.get(heads, F.lit(0)), table))
+    )
+    return let(F.array_compact(F.transform(places, head)), found)
 
 
 def _posts_of_table(table: Column) -> Column:

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import collapsed, numeric_date
-from attestra.operators.notices import cells_of, meanings, rows_after, source_lines
-from attestra.operators.postings import let
+from attestra.functions.scalars import collapsed, first_place, let, numeric_date
+from attestra.operators.notices import cells_of, may_head, meanings, raw_lines, rows_after, source_lines
 
 # Headers of detail tables and the facts below them.
 DETAIL_HEADERS = {
@@ -125,29 +124,40 @@ def _is_detail_head(means: Column) -> Column:
     return F.coalesce(F.array_contains(means, "post_name"), F.lit(False)) & (F.size(_detail_paths(means)) > 0)
 
 
-def _named_posts(posts: Column, name: Column, unit: Column) -> Column:
+def known_posts(posts: Column) -> Column:
+    """Posts with what their owners' names are compared by: made once for all that a notice says."""
+    told = lambda p: F.coalesce(F.nullif(p["department"], F.lit("")), p["organisation"])
+    keys = lambda p: (F.lower(collapsed(p["organisation"])).alias("organisation"), F.lower(collapsed(p["department"])).alias("department"), owner_key(p["base"]).alias("owner_base"), owner_key(told(p)).alias("owner_unit"))
+    return F.transform(posts, lambda p: F.struct(p["ordinal"].alias("ordinal"), p["base"].alias("base"), p["total"].alias("total"), *keys(p)))
+
+
+def _named_posts(known: Column, name: Column, unit: Column) -> Column:
     """JOIN-10: posts of this name and, where a unit is given, of this organisation or department."""
-    same = lambda p: (F.lower(collapsed(p["organisation"])) == unit) | (F.lower(collapsed(p["department"])) == unit)
-    return F.filter(posts, lambda p: (p["base"] == name) & ((unit == "") | F.coalesce(same(p), F.lit(False))))
+    same = lambda p: (p["organisation"] == unit) | (p["department"] == unit)
+    return F.filter(known, lambda p: (p["base"] == name) & ((unit == "") | F.coalesce(same(p), F.lit(False))))
 
 
 def _exact_date(value: Column) -> Column:
     return F.date_format(numeric_date(F.regexp_replace(value, r"\s*([./-])\s*", "$1")), "yyyy-MM-dd")
 
 
-def table_claims(lines: Column, posts: Column) -> Column:
+def table_claims(lines: Column, known: Column) -> Column:
     """EXT-9 between bars: claims of every detail table; a row's width, its one owner and its values' types must fit."""
-    barred = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).contains("|"))
-    heads = F.filter(F.transform(barred, lambda i: F.struct(i.alias("i"), meanings(cells_of(F.get(lines, i)), DETAIL_HEADERS).alias("means"))), lambda h: _is_detail_head(h["means"]))
+    barred = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: let(F.get(lines, i), lambda x: x.contains("|") & may_head(x)))
+    placed = lambda m: F.transform(_detail_paths(m), lambda path: F.struct(path.alias("path"), _last(m, path).alias("at")))
+    head = lambda i: let(meanings(cells_of(F.get(lines, i)), DETAIL_HEADERS), lambda m: F.when(_is_detail_head(m), F.struct(i.alias("i"), F.size(m).alias("width"), placed(m).alias("paths"), *[_last(m, what).alias(what) for what in OWNER_PATHS])))
+    heads = F.array_compact(F.transform(barred, head))
 
     def of_row(h: Column, cells: Column, k: Column) -> Column:
         locator = F.format_string("table=post-details-%d;row=%d", h["i"] + 1, k + 1)
         claim = lambda **more: _claim(PIPES, h["i"], k, locator, **more)
-        cell = lambda what: F.get(cells, _last(h["means"], what))
+        cell = lambda what: F.get(cells, h[what])
         name = F.lower(collapsed(cell("post_name")))
         unit = F.lower(F.coalesce(F.nullif(collapsed(cell("organisation")), F.lit("")), collapsed(cell("department"))))
 
-        def of_path(path: Column, owner: Column) -> Column:
+        def of_path(p: Column, owner: Column) -> Column:
+            path = p["path"]
+
             def typed(raw: Column) -> Column:
                 number, day = F.regexp_extract(raw, r"(?i)^(\d{1,3})(?:\s*years?)?$", 1), _exact_date(raw)
                 whole, dated = path.isin("age.minimum", "age.maximum"), path == "age.reference_date"
@@ -156,15 +166,15 @@ def table_claims(lines: Column, posts: Column) -> Column:
                 problem = F.when(value.isNull(), F.concat(F.lit("not an exact "), F.lower(kind)))
                 return claim(ordinal=F.when(value.isNotNull(), owner), path=path, kind=kind, value=value, problem=problem)
 
-            return let(collapsed(cell(path)), lambda raw: F.when(~raw.isin("", "-", "—"), typed(raw)))
+            return let(collapsed(F.get(cells, p["at"])), lambda raw: F.when(~raw.isin("", "-", "—"), typed(raw)))
 
         def owned(found: Column) -> Column:
-            one = F.array_compact(F.transform(_detail_paths(h["means"]), lambda path: of_path(path, F.get(found, F.lit(0))["ordinal"])))
+            one = F.array_compact(F.transform(h["paths"], lambda p: of_path(p, F.get(found, F.lit(0))["ordinal"])))
             return F.when(F.size(found) == 1, one).otherwise(F.array(claim(problem=F.format_string("matches %d posts", F.size(found)))))
 
-        return F.when(F.size(cells) != F.size(h["means"]), F.array(claim(problem="damaged columns"))).otherwise(let(let(F.struct(name.alias("n"), unit.alias("u")), lambda x: _named_posts(posts, x["n"], x["u"])), owned))
+        return F.when(F.size(cells) != h["width"], F.array(claim(problem="damaged columns"))).otherwise(let(let(F.struct(name.alias("n"), unit.alias("u")), lambda x: _named_posts(known, x["n"], x["u"])), owned))
 
-    return _each(heads, lambda h: F.flatten(F.transform(rows_after(lines, h["i"], width=F.size(h["means"])), lambda cells, k: of_row(h, cells, k))))
+    return _each(heads, lambda h: F.flatten(F.transform(rows_after(lines, h["i"], width=h["width"]), lambda cells, k: of_row(h, cells, k))))
 
 
 def aligned_columns(line: Column) -> Column:
@@ -184,12 +194,12 @@ def aligned_columns(line: Column) -> Column:
     return F.when(~line.contains("|") & line.rlike(r"\S\s{2,}\S"), let(walked, cut))
 
 
-def column_claims(raw_lines: Column, posts: Column) -> Column:
+def column_claims(lines: Column, known: Column) -> Column:
     """EXT-9 in aligned columns: rows are cut by the places of the header's words; a line without a post's name goes on with the row before it."""
     value = "array<struct<path:string,value:string>>"
     state = f"struct<rows:array<{value}>,current:{value},done:boolean>"
-    known = lambda i: let(
-        aligned_columns(F.get(raw_lines, i)),
+    head = lambda i: let(
+        aligned_columns(F.get(lines, i)),
         lambda columns: let(
             meanings(F.transform(columns, lambda c: c["title"]), DETAIL_HEADERS),
             lambda means: F.when(
@@ -204,12 +214,12 @@ def column_claims(raw_lines: Column, posts: Column) -> Column:
             ),
         ),
     )
-    heads = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(raw_lines) - 1), known))
+    heads = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.when(may_head(F.get(lines, i)), head(i))))
     of = lambda values, path: F.coalesce(F.get(F.filter(values, lambda v: v["path"] == path), F.lit(0))["value"], F.lit(""))
 
     def owners(values: Column) -> Column:
         unit = F.coalesce(F.nullif(collapsed(of(values, "organisation")), F.lit("")), collapsed(of(values, "department")))
-        return let(F.struct(F.lower(collapsed(of(values, "post_name"))).alias("n"), F.lower(unit).alias("u")), lambda x: _named_posts(posts, x["n"], x["u"]))
+        return let(F.struct(F.lower(collapsed(of(values, "post_name"))).alias("n"), F.lower(unit).alias("u")), lambda x: _named_posts(known, x["n"], x["u"]))
 
     def step(s: Column, line: Column, cuts: Column) -> Column:
         pushed = F.when(s["current"].isNotNull(), F.array_append(s["rows"], s["current"])).otherwise(s["rows"])
@@ -231,7 +241,7 @@ def column_claims(raw_lines: Column, posts: Column) -> Column:
         return F.when(s["done"], s.cast(state)).when(F.trim(line) == "", make(pushed, nothing, F.size(pushed) > 0)).otherwise(let(values, named))
 
     def rows(h: Column) -> Column:
-        after = F.slice(raw_lines, h["i"] + 2, F.size(raw_lines))
+        after = F.slice(lines, h["i"] + 2, F.size(lines))
         start = F.expr(f"cast(named_struct('rows', array(), 'current', null, 'done', false) as {state})")
         return F.aggregate(after, start, lambda s, line: step(s, line, h["cuts"]), lambda s: F.when(s["current"].isNotNull(), F.array_append(s["rows"], s["current"])).otherwise(s["rows"]))
 
@@ -275,13 +285,12 @@ def _says(text: Column, base: Column) -> Column:
     return out
 
 
-def owner_ordinals(owner: Column, posts: Column) -> Column:
+def owner_ordinals(owner: Column, known: Column) -> Column:
     """JOIN-11 within a notice: the posts that a phrase names.
 
     The phrase is cut into segments, each ending with an organisation of the notice. A post is named if a
     segment of its organisation holds its name, or if there is one and the phrase names no post at all.
     """
-    known = F.transform(posts, lambda p: F.struct(p["ordinal"].alias("ordinal"), owner_key(p["base"]).alias("base"), owner_key(F.coalesce(F.nullif(p["department"], F.lit("")), p["organisation"])).alias("unit")))
 
     def places(told: Column, unit: Column) -> Column:
         def of(parts: Column) -> Column:
@@ -291,19 +300,20 @@ def owner_ordinals(owner: Column, posts: Column) -> Column:
 
         return let(F.split(told, F.concat(F.lit(r"\b"), unit, F.lit(r"\b"))), of)
 
-    def named(x: Column) -> Column:
-        units = F.array_distinct(F.filter(F.transform(x["known"], lambda p: p["unit"]), lambda u: u != ""))
-        cut = lambda found: F.transform(found, lambda o, i: F.struct(o["unit"].alias("unit"), let(F.when(i > 0, F.get(found, i - 1)["end"]).otherwise(0), lambda a: F.substring(x["told"], a + 1, F.greatest(o["end"] - a, F.lit(0)))).alias("words")))
+    def named(told: Column) -> Column:
+        units = F.array_distinct(F.filter(F.transform(known, lambda p: p["owner_unit"]), lambda u: (u != "") & told.contains(u)))
+        words = lambda found, o, i: let(F.when(i > 0, F.get(found, i - 1)["end"]).otherwise(0), lambda a: F.substring(told, a + 1, F.greatest(o["end"] - a, F.lit(0))))
+        cut = lambda found: F.transform(found, lambda o, i: F.struct(o["unit"].alias("unit"), words(found, o, i).alias("words")))
 
-        def pick(segments: Column) -> Column:
-            any_post = F.exists(x["known"], lambda p: _says(x["told"], p["base"]))
-            mine = lambda p: F.filter(segments, lambda s: s["unit"] == p["unit"])
-            chosen = F.filter(x["known"], lambda p: let(mine(p), lambda m: (F.size(m) > 0) & (F.exists(m, lambda s: _says(s["words"], p["base"])) | ~any_post)))
+        def pick(segments: Column, any_post: Column) -> Column:
+            mine = lambda p: F.filter(segments, lambda s: s["unit"] == p["owner_unit"])
+            chosen = F.filter(known, lambda p: let(mine(p), lambda m: (F.size(m) > 0) & (F.exists(m, lambda s: _says(s["words"], p["owner_base"])) | ~any_post)))
             return F.transform(chosen, lambda p: p["ordinal"])
 
-        return let(let(F.array_sort(F.flatten(F.transform(units, lambda u: places(x["told"], u)))), cut), pick)
+        any_post = F.exists(known, lambda p: _says(told, p["owner_base"]))
+        return let(let(F.array_sort(F.flatten(F.transform(units, lambda u: places(told, u)))), cut), lambda segments: let(any_post, lambda said: pick(segments, said)))
 
-    return let(F.struct(owner_key(owner).alias("told"), known.alias("known")), named)
+    return let(owner_key(owner), named)
 
 
 def scope_blocks(lines: Column, start: str = SCOPE_START, end: str = SCOPE_END) -> Column:
@@ -311,42 +321,44 @@ def scope_blocks(lines: Column, start: str = SCOPE_START, end: str = SCOPE_END)
     n = F.size(lines)
     places = F.sequence(F.lit(0), n - 1)
     opens = F.filter(places, lambda i: F.get(lines, i).rlike(start))
-    closer = lambda i: F.get(F.filter(places, lambda j: (j > i) & (F.get(lines, j).rlike(start) | F.get(lines, j).rlike(end))), F.lit(0))
+    closer = lambda i: first_place(i + 1, n, lambda j: F.get(lines, j).rlike(start) | F.get(lines, j).rlike(end))
     return F.transform(opens, lambda i: F.slice(lines, i + 1, F.coalesce(closer(i), n) - i))
 
 
 def body_lines(text: str | Column, headers: str = PAGE_HEADER) -> Column:
     """SRC-4: a text's lines, white space collapsed, without empty ones and page headers."""
-    return F.filter(F.transform(source_lines(text), collapsed), lambda x: (x != "") & ~x.rlike(headers))
+    return F.filter(F.transform(raw_lines(text), collapsed), lambda x: (x != "") & ~x.rlike(headers))
 
 
-def scope_claims(lines: Column, posts: Column) -> Column:
+def scope_claims(lines: Column, known: Column) -> Column:
     """EXT-10, clauses: ages as on a date, and licences, for the posts that a clause names."""
 
-    def of_block(block: Column, n: Column) -> Column:
-        text = collapsed(F.array_join(block, " "))
+    def of_block(text: Column, n: Column) -> Column:
         part = lambda pattern, g: F.regexp_extract(text, pattern, g)
         age_at, licence_at = (F.format_string(f"scope={kind};occurrence=%d", n + 1) for kind in ("age", "licence"))
         age = lambda **more: _claim(SCOPES, n, F.lit(0), age_at, **more)
         licence = lambda **more: _claim(SCOPES, n, F.lit(1), licence_at, **more)
 
-        def aged(owners: Column) -> Column:
-            facts = [("age.minimum", "INTEGER", part(AGE_RULE, 1)), ("age.maximum", "INTEGER", part(AGE_RULE, 2)), ("age.reference_date", "DATE", _exact_date(part(AGE_RULE, 3)))]
-            each = _each(owners, lambda o: F.array(*[age(ordinal=o, path=p, kind=k, value=v) for p, k, v in facts]))
+        def aged(x: Column) -> Column:
+            facts = [("age.minimum", "INTEGER", x["least"]), ("age.maximum", "INTEGER", x["most"]), ("age.reference_date", "DATE", x["day"])]
+            each = _each(x["owners"], lambda o: F.array(*[age(ordinal=o, path=p, kind=k, value=v) for p, k, v in facts]))
             return (
-                F.when((F.size(owners) == 0) | ~text.rlike(AGE_RULE), F.array(age(problem="owner or form is uncertain")))
-                .when(_exact_date(part(AGE_RULE, 3)).isNull(), F.array(age(problem="the date is invalid"))).otherwise(each)
+                F.when((F.size(x["owners"]) == 0) | ~x["ruled"], F.array(age(problem="owner or form is uncertain")))
+                .when(x["day"].isNull(), F.array(age(problem="the date is invalid"))).otherwise(each)
             )
 
         def licensed(owners: Column) -> Column:
             each = F.transform(owners, lambda o: licence(ordinal=o, path="qualification.registration_or_licence", kind="STRING", value=collapsed(part(LICENCE, 2))))
             return F.when(F.size(owners) == 0, F.array(licence(problem="owner is uncertain"))).otherwise(each)
 
-        first = F.when(text.rlike(AGE_OWNER), let(owner_ordinals(part(AGE_OWNER, 1), posts), aged)).otherwise(_no_claims())
-        second = F.when(text.rlike(LICENCE), let(owner_ordinals(part(LICENCE, 1), posts), licensed)).otherwise(_no_claims())
+        rule = lambda: F.struct(
+            owner_ordinals(part(AGE_OWNER, 1), known).alias("owners"), text.rlike(AGE_RULE).alias("ruled"), part(AGE_RULE, 1).alias("least"), part(AGE_RULE, 2).alias("most"), _exact_date(part(AGE_RULE, 3)).alias("day")
+        )
+        first = F.when(text.rlike(AGE_OWNER), let(rule(), aged)).otherwise(_no_claims())
+        second = F.when(text.rlike(LICENCE), let(owner_ordinals(part(LICENCE, 1), known), licensed)).otherwise(_no_claims())
         return F.concat(first, second)
 
-    return _each(scope_blocks(lines), of_block)
+    return _each(F.transform(scope_blocks(lines), lambda block: collapsed(F.array_join(block, " "))), of_block)
 
 
 def roster_counts(block: Column) -> Column:
@@ -355,13 +367,16 @@ def roster_counts(block: Column) -> Column:
     text = F.regexp_replace(text, r"(?im)^(Tea\s+Tribes\s*&\s*Adivasi)\s*\n", "$1 ")
     text = F.regexp_replace(text, r"(?im)^(Tea\s+Tribes\s*&\s*Adivasi [^\d\n]*)\n", "$1 ")
     labels = [(F.lit(label), F.lit(path)) for label, path in ROSTER_CATEGORIES.items()]
-    begins = lambda line, label: F.startswith(F.lower(line), F.concat(label, F.lit(" ")))
+    begins = lambda low, label: F.startswith(low, F.concat(label, F.lit(" ")))
 
     def read(line: Column) -> Column:
+        return let(F.lower(line), lambda low: hits(line, low))
+
+    def hits(line: Column, low: Column) -> Column:
         hit = F.lit(None).cast("struct<path:string,value:int>")
         for label, path in reversed(labels):
             numbers = F.regexp_extract_all(line.substr(F.length(label) + 1, F.length(line)), F.lit(r"\b(\d+)\b"), F.lit(1))
-            hit = F.when(begins(line, label) & (F.size(numbers) > 0), F.struct(path.alias("path"), F.try_element_at(numbers, F.lit(-1)).try_cast("int").alias("value"))).otherwise(hit)
+            hit = F.when(begins(low, label) & (F.size(numbers) > 0), F.struct(path.alias("path"), F.try_element_at(numbers, F.lit(-1)).try_cast("int").alias("value"))).otherwise(hit)
         return hit
 
     found = F.array_compact(F.transform(F.split(text, "\n"), read))
@@ -369,22 +384,22 @@ def roster_counts(block: Column) -> Column:
     return let(found, lambda f: F.map_from_entries(last(f)))
 
 
-def roster_claims(lines: Column, posts: Column, reach: int = ROSTER_REACH) -> Column:
+def roster_claims(lines: Column, known: Column, reach: int = ROSTER_REACH) -> Column:
     """EXT-10, AGG-16, rosters: 'X in Y with Grade Pay of Z' and category counts up to a total; the primary ones must sum to the total of the one post that is named."""
     n = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(ROSTER))
+    roster = lambda i: let(F.get(lines, i), lambda x: x.rlike("(?i)grade") & x.rlike(ROSTER))  # noqa: E731 - its own word first, which few lines have
+    heads = F.filter(F.sequence(F.lit(0), n - 1), roster)
 
-    def of_head(i: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(heads, k + 1), F.least(n, i + reach))
-        block = F.slice(lines, i + 1, stop - i)
-        total = F.get(F.filter(F.sequence(F.lit(0), F.size(block) - 1), lambda j: F.get(block, j).rlike(r"(?i)^Total\s+")), F.lit(0))
+    def of_head(i: Column, k: Column, following: Column) -> Column:
+        stop = F.coalesce(following, F.least(n, i + reach))
+        total = first_place(i, stop, lambda j: F.get(lines, j).rlike(r"(?i)^Total\s+"))
         locator = F.format_string("roster;occurrence=%d", k + 1)
         claim = lambda **more: _claim(ROSTERS, k, F.lit(0), locator, **more)
         line = F.get(lines, i)
         owner = F.concat_ws(" in ", F.regexp_extract(line, ROSTER, 1), F.regexp_extract(line, ROSTER, 2))
 
         def fits(x: Column) -> Column:
-            stated = F.get(F.filter(posts, lambda p: p["ordinal"] == F.get(x["owners"], F.lit(0))), F.lit(0))["total"]
+            stated = F.get(F.filter(known, lambda p: p["ordinal"] == F.get(x["owners"], F.lit(0))), F.lit(0))["total"]
             summed = sum((F.coalesce(F.try_element_at(x["counts"], F.lit(p)), F.lit(0)) for p in ROSTER_PRIMARY), F.lit(0))
             facts = F.transform(F.map_entries(x["counts"]), lambda e: claim(ordinal=F.get(x["owners"], F.lit(0)), path=e["key"], kind="INTEGER", value=e["value"].cast("string")))
             pay = claim(ordinal=F.get(x["owners"], F.lit(0)), path="pay.grade_pay", kind="STRING", value=collapsed(F.regexp_extract(line, ROSTER, 3)))
@@ -394,10 +409,10 @@ def roster_claims(lines: Column, posts: Column, reach: int = ROSTER_REACH) -> Co
                 .when(~sound, F.array(claim(problem="doesn't sum to the post's total"))).otherwise(F.concat(F.array(pay), facts))
             )
 
-        closed = lambda t: F.struct(owner_ordinals(owner, posts).alias("owners"), roster_counts(F.slice(block, F.lit(1), t + 1)).alias("counts"))
+        closed = lambda t: F.struct(owner_ordinals(owner, known).alias("owners"), roster_counts(F.slice(lines, i + 1, t - i + 1)).alias("counts"))
         return let(total, lambda t: F.when(t.isNull(), _no_claims()).otherwise(let(closed(t), fits)))
 
-    return _each(heads, of_head)
+    return let(heads, lambda hs: _each(hs, lambda i, k: of_head(i, k, F.get(hs, k + 1))))
 
 
 def own_claims(posts: Column) -> Column:
@@ -414,12 +429,9 @@ def claims(notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     notices: id, text, posts (as structure_posts gives them). A notice without posts makes no claims.
     """
     text = F.col(text_col)
-    raw = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
-    body = lambda posts: lambda x: F.when(F.size(x) > 0, F.concat(scope_claims(x, posts), roster_claims(x, posts))).otherwise(_no_claims())
-    said = lambda posts: F.concat(
-        own_claims(posts), let(source_lines(text), lambda x: table_claims(x, posts)), let(raw, lambda x: column_claims(x, posts)), let(body_lines(text), body(posts))
-    )
-    made = let(F.col(posts_col), lambda posts: F.when(F.size(posts) > 0, said(posts)))
+    body = lambda known: lambda x: F.when(F.size(x) > 0, F.concat(scope_claims(x, known), roster_claims(x, known))).otherwise(_no_claims())
+    told = lambda known: F.concat(let(source_lines(text), lambda x: table_claims(x, known)), let(raw_lines(text), lambda x: column_claims(x, known)), let(body_lines(text), body(known)))
+    made = let(F.col(posts_col), lambda posts: F.when(F.size(posts) > 0, F.concat(own_claims(posts), let(known_posts(posts), told))))
     return notices.select(id_col, F.explode(made).alias("c")).select(id_col, "c.*")
 
 
