@@ -65,8 +65,12 @@ def section_items(sections_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def unambiguous_matches(rows: DataFrame, posts: DataFrame, keys: list[str], row_id: str) -> DataFrame:
-    """JOIN-10, EXT-9: a row is attached only if exactly one post matches, else it is reported."""
-    j = rows.join(posts, keys, "left").groupBy(row_id).agg(F.count("post_id").alias("matches"), F.min("post_id").alias("post_id"))
+    """JOIN-10, EXT-9: a row is attached only if exactly one post matches, else it is reported.
+
+    Posts are counted by their keys before they meet rows, so that a row meets one row, however many posts it matches; a row id may repeat.
+    """
+    of = posts.groupBy(*keys).agg(F.count("post_id").alias("n"), F.min("post_id").alias("post_id"))
+    j = rows.join(of, keys, "left").groupBy(row_id).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), F.min("post_id").alias("post_id"))
     return j.select(row_id, F.when(F.col("matches") == 1, F.col("post_id")).alias("post_id"), F.when(F.col("matches") == 1, "ATTACHED").when(F.col("matches") == 0, "UNMATCHED").otherwise("AMBIGUOUS").alias("status"))
 
 
