@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.scalars import canonical_post_name, collapsed, first_place, header_key, let, post_key
-from attestra.operators.postings import aligned, numbered_positions, whitespace_tables
+from attestra.operators.postings import aligned, numbered_position_list, whitespace_table
 
 # Headers of vacancy tables and what they mean.
 VACANCY_HEADERS = {
@@ -285,22 +285,20 @@ def listed_posts(title: Column, found: Column) -> Column:
 def structure_posts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
     """EXT-6: id, strategy, status, posts, errors: table, series, table without bars, numbered positions, title: the first that isn't LEGACY_UNSPLIT.
 
-    Ids are unique. All but the third and fourth are worked out within the row; these two see only notices with their header.
+    All is worked out within the row; a strategy is tried where those before it found nothing.
     """
     text, title = F.col(text_col), F.col(title_col)
-    of_table = let(source_lines(text_col), vacancy_table)
-    own = F.struct(of_table.alias("table"), vacancy_series(title, text).alias("series"), single_post(title, text).alias("single"))
-    columns, numbered = (f(docs, id_col, text_col).where("status <> 'LEGACY_UNSPLIT'") for f in (whitespace_tables, numbered_positions))
-    columns = columns.select(id_col, F.struct("status", "posts", "error").alias("columns"))
-    numbered = numbered.select(id_col, F.struct("status", "posts").alias("numbered"))
-    j = docs.select(id_col, title.alias("title"), own.alias("own")).join(columns, id_col, "left").join(numbered, id_col, "left")
-    found = lambda c, posts, errors: _parsed(F.col(f"{c}.status"), _as_posts(posts), errors)
-    tried = [
-        ("TABLE", F.col("own.table")), ("NARRATIVE", F.col("own.series")),
-        ("COLUMNS", F.when(F.col("columns").isNotNull(), found("columns", listed_posts(F.col("title"), F.col("columns.posts")), F.array_compact(F.array("columns.error"))))),
-        ("POSITIONS", F.when(F.col("numbered").isNotNull(), found("numbered", F.col("numbered.posts"), _list()))), ("SINGLE", F.col("own.single")),
+    found = lambda c, posts, errors: _parsed(c["status"], _as_posts(posts), errors)
+    strategies = [
+        ("TABLE", let(source_lines(text_col), vacancy_table)), ("NARRATIVE", vacancy_series(title, text)),
+        ("COLUMNS", let(whitespace_table(text), lambda c: found(c, listed_posts(title, c["posts"]), F.array_compact(F.array(c["error"]))))),
+        ("POSITIONS", let(numbered_position_list(text), lambda c: found(c, c["posts"], _list()))), ("SINGLE", single_post(title, text)),
     ]
-    last = F.struct(F.lit("NONE").alias("strategy"), _parsed(F.lit("LEGACY_UNSPLIT"), F.array(), _list()).alias("p"))
-    each = F.array(*[F.struct(F.lit(name).alias("strategy"), p.alias("p")) for name, p in tried], last)
-    hit = F.filter(each, lambda t: F.coalesce(t["p"]["status"] != "LEGACY_UNSPLIT", F.lit(False)) | (t["strategy"] == "NONE"))
-    return j.select(id_col, F.get(hit, F.lit(0)).alias("hit")).select(id_col, "hit.strategy", "hit.p.*")
+    out, missed, hit = docs, F.lit(True), F.struct(F.lit("NONE").alias("strategy"), _parsed(F.lit("LEGACY_UNSPLIT"), F.array(), _list()).alias("p"))
+    for name, parsed in strategies:  # each is a column of its own: within one another they are more than the analyzer resolves
+        out = out.withColumn(f"of_{name}", F.when(missed, parsed))
+        missed = missed & (F.col(f"of_{name}.status") == "LEGACY_UNSPLIT")
+    for name, _ in reversed(strategies):
+        p = F.col(f"of_{name}")
+        hit = F.when(p["status"] != "LEGACY_UNSPLIT", F.struct(F.lit(name).alias("strategy"), p.alias("p"))).otherwise(hit)
+    return out.select(id_col, hit.alias("hit")).select(id_col, "hit.strategy", "hit.p.*")
