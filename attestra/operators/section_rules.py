@@ -15,9 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.functions.scalars import collapsed
+from attestra.functions.scalars import collapsed, let
 from attestra.operators.post_details import body_lines
-from attestra.operators.postings import let
 
 # Headings and the kind of what stands below them.
 HEADINGS = {
@@ -127,6 +126,11 @@ def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rules, RULE)
 
 
+def _has_small(text: Column) -> Column:
+    """Whether a text isn't all in capitals; only letters beyond a-z need the comparison, which is slow."""
+    return text.rlike("[a-z]") | (text.rlike(r"[^\x00-\x7F]") & (text != F.upper(text)))
+
+
 def heading(line: Column) -> Column:
     """struct(kind, title, rest) of a heading line, else null.
 
@@ -136,12 +140,12 @@ def heading(line: Column) -> Column:
     gap = r"[\s&/()-]+"
     names = "|".join(gap.join(map(re.escape, name.split())) for name in sorted(HEADINGS, key=len, reverse=True))
     known = F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv])
-    bare, number = F.regexp_replace(line, _NUMBER, ""), F.regexp_extract(line, _NUMBER.replace("(?i)^", "(?i)^(") + ")", 1)
+    bare, number = F.regexp_replace(line, _NUMBER, ""), F.trim(F.regexp_extract(line, _NUMBER.replace("(?i)^", "(?i)^(") + ")", 1))
 
     def read(x: Column) -> Column:
         kind = F.try_element_at(known, F.lower(F.regexp_replace(x["title"], gap, " ")))
-        plain = (F.trim(x["number"]) != "") & ~F.rtrim(F.regexp_replace(F.trim(x["number"]), r"\.$", "")).contains(".") & (x["bare"] != F.upper(x["bare"]))
-        sentence = (F.trim(x["number"]) == "") & line.endswith(".") & (line != F.upper(line))
+        plain = (x["number"] != "") & ~F.rtrim(F.regexp_replace(x["number"], r"\.$", "")).contains(".") & _has_small(x["bare"])
+        sentence = (x["number"] == "") & line.endswith(".") & _has_small(line)
         rest = F.regexp_replace(x["bare"].substr(F.length(x["title"]) + 1, F.length(x["bare"])), r"^[\s:.-]+", "")
         return F.when((x["title"] != "") & ~plain & ~sentence, F.struct(kind.alias("kind"), x["title"].alias("title"), rest.alias("rest")))
 
@@ -175,22 +179,25 @@ def section_facts(sections: DataFrame, rules: DataFrame, id_col: str = "doc_id")
     sections as headed_sections gives them; rules: RULE. What PAIR and OBJECT rules of one path find in a
     section is one JSON value. A path with two values in a notice is dropped: no section outranks another.
     """
-    of = rules.withColumnRenamed("kind", "rule_kind")
-    j = sections.join(of, sections["kind"] == of["rule_kind"]).withColumn("body", F.array_join("lines", " "))
-    hit = F.nullif(collapsed(F.expr("regexp_extract(body, coalesce(pattern, '()'), 1)")), F.lit(""))
-    items = list_items(F.col("lines"))
-    value = F.when(F.col("handler") == TEXT, F.nullif(collapsed("body"), F.lit(""))).when(F.col("handler") == LIST, F.when(F.size(items) > 0, F.to_json(items))).otherwise(hit)
-    found = j.select(id_col, "occurrence", "kind", "n", "handler", "path", "label", "type", value.alias("value")).where("value is not null")
-    single = found.where(~F.col("handler").isin(PAIR, OBJECT)).select(id_col, "occurrence", "kind", "path", "type", "value")
-    said = F.array_sort(F.collect_list(F.struct("n", "label", "value")))
-    pairs = F.to_json(F.transform(said, lambda x: F.struct(x["label"].alias("category"), F.concat(x["value"], F.lit(" years")).alias("relaxation"))))
+    several = F.col("handler").isin(PAIR, OBJECT)
+    of = F.array_sort(F.collect_list(F.struct("n", "label", "pattern", "handler")))  # rules that make one value together are one row before they meet sections
+    sets = rules.groupBy(F.col("kind").alias("rule_kind"), "path", "type", F.when(~several, F.col("n")).alias("alone")).agg(of.alias("of")).withColumn("handler", F.get("of", F.lit(0))["handler"])
+    j = sections.join(sets, sections["kind"] == sets["rule_kind"]).withColumn("body", F.array_join("lines", " "))
+    said = lambda x: let(collapsed(x), lambda v: F.when(v != "", v))
+    hit = lambda r: said(F.call_function("regexp_extract", F.col("body"), F.coalesce(r["pattern"], F.lit("()")), F.lit(1)))
+    items = let(list_items(F.col("lines")), lambda v: F.when(F.size(v) > 0, F.to_json(v)))
+    pairs = lambda found: F.to_json(F.transform(found, lambda x: F.struct(x["label"].alias("category"), F.concat(x["value"], F.lit(" years")).alias("relaxation"))))
     quoted = lambda x: F.concat(F.to_json(F.array(x["label"])).substr(F.lit(2), F.length(F.to_json(F.array(x["label"]))) - 2), F.lit(":"), F.when(x["value"].rlike(r"^\d+$"), x["value"]).otherwise(F.concat(F.lit('"'), F.replace(x["value"], F.lit('"'), F.lit('\\"')), F.lit('"'))))
-    whole = F.concat(F.lit("[{"), F.array_join(F.transform(said, quoted), ","), F.lit("}]"))
-    several = found.where(F.col("handler").isin(PAIR, OBJECT)).groupBy(id_col, "occurrence", "kind", "path", "type").agg(F.when(F.first("handler") == PAIR, pairs).otherwise(whole).alias("value"))
-    every = single.unionByName(several.select(single.columns))
+    whole = lambda found: F.concat(F.lit("[{"), F.array_join(F.transform(found, quoted), ","), F.lit("}]"))
+    found = F.filter(F.transform("of", lambda r: F.struct(r["label"].alias("label"), hit(r).alias("value"))), lambda x: x["value"].isNotNull())
+    joined = let(found, lambda x: F.when(F.size(x) > 0, F.when(F.col("handler") == PAIR, pairs(x)).otherwise(whole(x))))
+    value = F.when(F.col("handler") == TEXT, said(F.col("body"))).when(F.col("handler") == LIST, items).when(several, joined).otherwise(hit(F.get("of", F.lit(0))))
+    # one value at most: exploded, so that no filter below computes it once more
+    every = j.select(id_col, "occurrence", "kind", "path", "type", F.explode(F.array_compact(F.array(value))).alias("value"))
     locator = F.concat(F.lit("section="), F.col("kind"), F.lit(";occurrence="), F.col("occurrence").cast("string"))
-    told = every.groupBy(id_col, "path").agg(F.count_distinct("type", "value").alias("values"), F.min_by(F.struct("type", "value", locator.alias("locator")), "occurrence").alias("f"))
-    return told.where("values = 1").select(id_col, "path", "f.*")
+    one = F.struct("type", "value")
+    told = every.groupBy(id_col, "path").agg(F.min(one).alias("least"), F.max(one).alias("most"), F.min_by(F.struct("type", "value", locator.alias("locator")), "occurrence").alias("f"))
+    return told.where("least = most").select(id_col, "path", "f.*")
 
 
 @F.udtf(returnType="path string, value string, start int, end int")
